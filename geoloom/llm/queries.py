@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoloom.llm.decontaminate import decontaminate
 from geoloom.llm.mixing import mix_sources
+from geoloom.llm.ngram_join import jaccard_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -27,6 +33,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op4_decontaminate": op4_decontaminate,
         "op10_mix_sources": op10_mix_sources,
     }
