@@ -20,6 +20,20 @@ comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
+OP3 = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_NON_SPACE}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13)),
+first_seen AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN first_seen USING (k) WHERE d < doc_id),
+per AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id),
+left_over AS (
+  SELECT dw.doc_id, string_agg(w[i], ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw) dw LEFT JOIN gone ON gone.doc_id = dw.doc_id AND gone.j = i
+  WHERE gone.j IS NULL GROUP BY dw.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
 OP4 = rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
@@ -60,4 +74,4 @@ FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op4_decontaminate": OP4, "op10_mix_sources": OP10}
+    return {"op1_ngram_jaccard_join": OP1, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op10_mix_sources": OP10}

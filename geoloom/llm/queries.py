@@ -10,6 +10,7 @@ from geoloom.llm.decontaminate import decontaminate
 from geoloom.llm.mixing import mix_sources
 from geoloom.llm.ngram_join import jaccard_components
 from geoloom.llm.quality import resample
+from geoloom.llm.substring_dedup import dedup_substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -40,6 +46,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mix_sources": op10_mix_sources,
