@@ -37,8 +37,8 @@ from geoloom.llm.textkernel import NON_SPACE, U64, cut, inner, mix, pieces, text
 from geoloom.llm.workspace import renewed, shared_folder, shuffles_dropped
 
 WINDOW = 13
-BUCKET_WINDOWS = 2_000_000
-FLUSH = 1_500_000
+BUCKET_WINDOWS = 1_000_000
+FLUSH = 400_000
 FANOUT = 4
 BATCHES = 2
 _LAST = np.iinfo(np.int64).max
