@@ -11,6 +11,7 @@ from geoloom.llm.mixing import mix_sources
 from geoloom.llm.ngram_join import jaccard_components
 from geoloom.llm.quality import resample
 from geoloom.llm.substring_dedup import dedup_substrings
+from geoloom.llm.token_output import training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, _table(spark, sf_dir, "labels")).drop("text")
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op7_token_output": op7_token_output,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mix_sources": op10_mix_sources,
     }
