@@ -43,8 +43,8 @@ from geoloom.llm.workspace import stored
 
 SHINGLE = 5
 PERCENT = 75
-BUCKET_SHINGLES = 3_000_000
-FLUSH = 1_500_000
+BUCKET_SHINGLES = 1_000_000
+FLUSH = 400_000
 SAMPLE_TEXTS = 4_000
 COMMON_LIMIT = 200_000
 _TOKEN_BITS = 48
@@ -175,79 +175,89 @@ def _send(docs: DataFrame, text_col: str, k: int, buckets: int, common) -> DataF
     return docs.select(text_col).mapInArrow(run, _SENT)
 
 
-_SHARED = "class long, n int, token binary, rank binary"
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each class its tokens that another class has too, in token order."""
-    col = {c: b"".join(x for x in table.column(c).to_pylist()) for c in ("key", "n", "count", "token", "rank")}
-    key, n = np.frombuffer(col["key"], "<u8"), np.frombuffer(col["n"], "<i4")
-    owner = np.repeat(np.arange(len(key), dtype=np.int32), np.frombuffer(col["count"], "<i4"))
-    token = _unpack(col["token"])
-    if table.num_rows and table.column("bucket")[0].as_py() < 0:
-        rank = np.frombuffer(col["rank"], np.uint8)
-        order = np.lexsort((token, key[owner]))
-        token, owner, rank = token[order], owner[order], rank[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (key[owner[1:]] != key[owner[:-1]])
-        token, owner, rank = token[fresh], owner[fresh], rank[fresh]
-    else:
-        order = np.argsort(token)
-        token, owner = token[order], owner[order]
-        twin = np.zeros(len(token) + 1, bool)
-        twin[1:-1] = token[1:] == token[:-1]
-        on = twin[1:] | twin[:-1]
-        token, owner = token[on], owner[on]
-        order = np.lexsort((key[owner], token))
-        token, owner = token[order], owner[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (key[owner[1:]] != key[owner[:-1]])
-        token, owner = token[fresh], owner[fresh]
-        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True]))) if len(token) else np.zeros(1, int)
-        length = np.repeat(np.diff(edge), np.diff(edge))
-        on = length > 1
-        token, owner, length = token[on], owner[on], length[on]
-        rank = np.minimum(199, 8 * np.log2(np.maximum(1, length))).astype(np.uint8)
-        order = np.argsort(key[owner], kind="stable")
-        token, owner, rank = token[order], owner[order], rank[order]
-    k = key[owner]
-    last = np.flatnonzero(np.concatenate((k[1:] != k[:-1], [True]))) if len(k) else np.zeros(0, int)
-    return pa.table({
-        "class": pa.array(k[last].view(np.int64)), "n": pa.array(n[owner[last]], pa.int32()),
-        "token": _binary(_pack(token), 6 * (last + 1)), "rank": _binary(rank, last + 1),
-    })
+_SHARED = "part int, key binary, n binary, count binary, token binary, rank binary"
+_ARRAYS = {"key": "<u8", "n": "<i4", "count": "<i4", "token": None, "rank": "u1"}
+
+
+def _gathered(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Class keys, sizes, the class of each token, tokens and ranks of all rows together."""
+    col = {c: b"".join(x for x in table.column(c).to_pylist()) for c in _ARRAYS}
+    key, n, count, rank = (np.frombuffer(col[c], _ARRAYS[c]) for c in ("key", "n", "count", "rank"))
+    return key, n, np.repeat(np.arange(len(key), dtype=np.int32), count), _unpack(col["token"]), rank
+
+
+def _once(*columns: np.ndarray) -> np.ndarray:
+    """Marks the first of equal neighbours."""
+    fresh = np.zeros(len(columns[0]), bool)
+    fresh[:1] = True
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return fresh
+
+
+def _sharer(parts: int):
+    def shared(table: pa.Table) -> pa.Table:
+        """Of one bucket: the tokens that two classes have at least, with their class, dealt by class."""
+        key, n, owner, token, rank = _gathered(table)
+        if table.column("bucket")[0].as_py() < 0:
+            order = np.lexsort((token, key[owner]))
+            order = order[_once(token[order], key[owner[order]])]
+            token, owner, rank = token[order], owner[order], rank[order]
+        else:
+            order = np.argsort(token)
+            twin = np.zeros(len(token) + 1, bool)
+            twin[1:-1] = token[order[1:]] == token[order[:-1]]
+            order = order[twin[1:] | twin[:-1]]
+            order = order[np.lexsort((key[owner[order]], token[order]))]
+            order = order[_once(token[order], key[owner[order]])]
+            token, owner = token[order], owner[order]
+            edge = np.append(np.flatnonzero(_once(token)), len(token))
+            length = np.repeat(np.diff(edge), np.diff(edge))
+            on = length > 1
+            token, owner = token[on], owner[on]
+            rank = np.minimum(199, 8 * np.log2(np.maximum(1, length[on]))).astype(np.uint8)
+        part = (key % U64(parts)).astype(np.int32)[owner]
+        order = np.lexsort((owner, part))
+        part, owner, token, rank = part[order], owner[order], token[order], rank[order]
+        edge = np.append(np.flatnonzero(_once(part)), len(part))
+        rows = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            own, count = np.unique(owner[a:b], return_counts=True)
+            rows.append({
+                "part": int(part[a]), "key": key[own].tobytes(), "n": n[own].tobytes(), "count": count.astype("<i4").tobytes(),
+                "token": _pack(token[a:b]).tobytes(), "rank": rank[a:b].tobytes(),
+            })
+        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in _ARRAYS]]))
+
+    return shared
 
 
 _SETS = "class long, n int, token binary, prefix array<long>"
 
 
-def _sets(shared: DataFrame, percent: int) -> DataFrame:
-    """Classes that share at least T tokens: sorted tokens for probing, and the shortest lists."""
-    together = shared.groupBy("class", "n").agg(F.collect_list(F.struct("token", "rank")).alias("parts"))
-
-    def run(batches):
-        for batch in batches:
-            kept, tokens, prefixes = [], [], []
-            sizes = batch.column("n").to_numpy()
-            offsets = batch.column("parts").offsets.to_numpy()
-            flat = batch.column("parts").values
-            token, rank = flat.field("token"), flat.field("rank")
-            for i, n in enumerate(sizes.tolist()):
-                low, high = int(offsets[i]), int(offsets[i + 1])
-                own = _unpack(b"".join(token[j].as_py() for j in range(low, high)))
-                short = len(own) - needed(n, percent) + 1
-                if short <= 0:
-                    continue
-                level = np.frombuffer(b"".join(rank[j].as_py() for j in range(low, high)), np.uint8)
-                kept.append(i)
-                prefixes.append(own[np.lexsort((own, level))][:short].astype(np.int64))
-                tokens.append(_pack(np.sort(own)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class").take(pa.array(kept, pa.int32())), batch.column("n").take(pa.array(kept, pa.int32())), pa.array(tokens, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["class", "n", "token", "prefix"],
-            )
-
-    return together.mapInArrow(run, _SETS)
+def _setter(percent: int):
+    def sets(table: pa.Table) -> pa.Table:
+        """Classes that share at least T tokens: sorted tokens for probing, and the shortest lists."""
+        key, n, owner, token, rank = _gathered(table)
+        order = np.lexsort((token, key[owner]))
+        token, owner, rank = token[order], owner[order], rank[order]
+        edge = np.append(np.flatnonzero(_once(key[owner])), len(owner))
+        shared, first = np.diff(edge), edge[:-1]
+        size = n[owner[first]].astype(np.int64)
+        short = shared - needed(size, percent) + 1
+        on = np.repeat(short > 0, shared)
+        token, rank, own = token[on], rank[on], key[owner[on]]
+        first, size, shared, short = (x[short > 0] for x in (key[owner[first]], size, shared, short))
+        order = np.lexsort((token, rank, own))
+        place = np.arange(len(token)) - np.repeat(np.cumsum(shared) - shared, shared)
+        lists = token[order][place < np.repeat(short, shared)]
+        offsets = np.concatenate(([0], np.cumsum(short))).astype(np.int32)
+        return pa.table({
+            "class": pa.array(first.view(np.int64)), "n": pa.array(size, pa.int32()), "token": _binary(_pack(token), 6 * np.cumsum(shared)),
+            "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.view(np.int64))),
+        })
+
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -282,8 +292,8 @@ def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, perc
     total, n_docs = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = max(8, -(-total // BUCKET_SHINGLES))
     common = spark.sparkContext.broadcast(_common(docs, text_col, k, n_docs, SAMPLE_TEXTS, COMMON_LIMIT))
-    shared = _send(docs, text_col, k, buckets, common).groupBy("bucket").applyInArrow(_shared, _SHARED)
-    sets = stored(_sets(shared, percent), "join-sets")
+    shared = _send(docs, text_col, k, buckets, common).groupBy("bucket").applyInArrow(_sharer(buckets), _SHARED)
+    sets = stored(shared.groupBy("part").applyInArrow(_setter(percent), _SETS), "join-sets")
     own = F.size("prefix") - 1 + (F.ceil(F.lit(percent) * F.col("n") / 100)).cast("int")  # shared tokens
     lists = sets.select("class", "n", (F.col("n") - own).alias("unique"), F.posexplode("prefix").alias("at", "list"))
     lists = stored(lists.select("list", "class", "n", (F.col("unique") + F.col("at") + 1).alias("p")), "join-lists")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
@@ -106,6 +106,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = to
 
 
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range of data."""
+    n = len(data)
+    if not n:
+        return np.zeros(len(starts), U64)
+    up, down = _grown(n)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE_VALUE[data] * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
 def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool = True) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``."""
     n = len(data)
@@ -116,12 +127,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool =
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge) & inside[1:])
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
     first = np.searchsorted(starts, offsets)
-    hashes = np.zeros(len(starts), U64)
-    if hashed and n:
-        up, down = _grown(n)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_VALUE[data] * up[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    hashes = segment_hashes(data, starts, ends) if hashed else np.zeros(len(starts), U64)
     return Words(data, starts, ends, hashes, first)
 
 
