@@ -10,8 +10,10 @@ from geoloom.llm.decontaminate import decontaminate
 from geoloom.llm.fingerprint import fingerprints
 from geoloom.llm.mixing import mix_sources
 from geoloom.llm.ngram_join import jaccard_components
+from geoloom.llm.pii import sanitise
 from geoloom.llm.quality import resample
 from geoloom.llm.secrets import scan_secrets
+from geoloom.llm.sharding import assign_shards
 from geoloom.llm.substring_dedup import dedup_substrings
 from geoloom.llm.token_output import training_order
 
@@ -46,10 +48,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "bytes", "shard", "depth", "shard_bytes")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, _table(spark, sf_dir, "labels")).drop("text")
@@ -67,7 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_secret_scan": op5_secret_scan,
+        "op6_sharding": op6_sharding,
         "op7_token_output": op7_token_output,
+        "op8_pii_sanitisation": op8_pii_sanitisation,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mix_sources": op10_mix_sources,
     }
