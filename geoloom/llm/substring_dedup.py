@@ -15,8 +15,8 @@ Scale: window hashes travel as packed blobs (about 9 bytes a window), never as r
 meet first within the task that reads them: there only the smallest id of a hash is sent on and
 the others are settled at once, so a window that a third of all documents share reaches its bucket
 once per task, not once per document.  Bucket count follows the input, so a bucket stays at about
-``BUCKET_WINDOWS`` windows.  Positions of repeats come back per document and are joined to the text
-by a hash of (id, text).
+``BUCKET_WINDOWS`` windows.  Positions of repeats come back in blobs dealt by document, are
+put together there and joined to the text by a hash of (id, text).
 
 Defined results: words are runs of characters other than space and U+0009-000D, unchanged; null or
 wordless texts have n_words 0; a text of fewer than 13 words loses nothing; a window repeated
@@ -144,10 +144,38 @@ def _send(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     return docs.select("id", "row", "text").mapInArrow(run, _SENT)
 
 
-_MERGED = "kind int, bucket int, row long, blob binary"
+_MERGED = "kind int, bucket int, row binary, count binary, blob binary"
 
 
-def _merger(keep_run: bool):
+def _packed(rows: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: int) -> list[dict]:
+    """Repeats dealt by a hash of their document: a blob per part, not a row per document."""
+    part = (rows[owner].view(U64) % U64(parts)).astype(np.int64)
+    order = np.lexsort((place, owner, part))
+    part, owner, place = part[order], owner[order], place[order]
+    edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    out = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        own, count = np.unique(owner[a:b], return_counts=True)
+        out.append({"kind": _SETTLED, "bucket": int(part[a]), "row": rows[own].tobytes(), "count": count.astype("<i4").tobytes(), "blob": place[a:b].astype("<u4").tobytes()})
+    return out
+
+
+def _per_document(table: pa.Table) -> pa.Table:
+    """(row, places) once for each document of a part."""
+    col = {c: b"".join(table.column(c).to_pylist()) for c in ("row", "count", "blob")}
+    rows = np.repeat(np.frombuffer(col["row"], "<i8"), np.frombuffer(col["count"], "<i4"))
+    place = np.frombuffer(col["blob"], "<u4")
+    order = np.lexsort((place, rows))
+    rows, place = rows[order], place[order]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (place[1:] != place[:-1])
+    rows, place = rows[fresh], np.ascontiguousarray(place[fresh])
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    offsets = np.append(first, len(rows)).astype(np.int32)
+    return pa.table({"row": pa.array(rows[first]), "places": pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))})
+
+
+def _merger(keep_run: bool, parts: int):
     def merge(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         blobs = {c: table.column(c).to_pylist() for c in _FIELDS}
@@ -162,7 +190,7 @@ def _merger(keep_run: bool):
             count.append(c)
             place.append(_places(blobs["gap"][i], c))
             value.append(np.frombuffer(blobs["hash"][i], "<u8"))
-        out = {"kind": [], "bucket": [], "row": [], "blob": []}
+        out = []
         fresh = np.zeros(0, U64)
         if len(mine):
             ids, rows, count, place, value = (np.concatenate(x) for x in (ids, rows, count, place, value))
@@ -183,17 +211,11 @@ def _merger(keep_run: bool):
                 repeat[order] = known[group] | (i > least[group])
                 fresh = fresh[~known]
                 owner, place = owner[repeat], place[repeat]
-            order = np.argsort(owner, kind="stable")
-            owner, place = owner[order], place[order].astype("<u4")
-            edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, int)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                out["row"].append(int(rows[owner[a]]))
-                out["blob"].append(place[a:b].tobytes())
-            out["kind"] = [_SETTLED] * len(out["row"])
-            out["bucket"] = [bucket] * len(out["row"])
+            if len(owner):
+                out = _packed(rows, owner, place, parts)
         if keep_run and len(fresh):
-            out = {c: [*x, y] for (c, x), y in zip(out.items(), (_RUN, bucket, 0, _planes(fresh)), strict=True)}
-        return pa.table(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("row", pa.int64()), ("blob", pa.binary())]))
+            out.append({"kind": _RUN, "bucket": bucket, "row": b"", "count": b"", "blob": _planes(fresh)})
+        return pa.Table.from_pylist(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("row", pa.binary()), ("count", pa.binary()), ("blob", pa.binary())]))
 
     return merge
 
@@ -222,15 +244,15 @@ class FingerprintIndex:
         return self.spark.read.parquet(*self.runs) if self.runs else None
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Repeats of a batch (id, row, text) as (row, blob of window places); with ``keep`` its
-        new hashes become a run.  Ids must not lie below those added before."""
+        """Repeats of a batch (id, row, text) as packed window places, dealt by document; with
+        ``keep`` its new hashes become a run.  Ids must not lie below those added before."""
         sent = _send(docs, self.buckets, self.window)
         history = self._history()
         if history is not None:
             empty = F.lit(b"")
             sent = sent.unionByName(history.select("bucket", F.lit(_RUN).alias("kind"), *[(F.col("blob") if c == "hash" else empty).alias(c) for c in _FIELDS]))
         path = f"{self.path}/batch-{uuid.uuid4().hex}"
-        merged = sent.groupBy("bucket").applyInArrow(_merger(keep), _MERGED)
+        merged = sent.groupBy("bucket").applyInArrow(_merger(keep, self.buckets), _MERGED)
         with shuffles_dropped(self.spark):
             merged.write.partitionBy("kind").parquet(path)
         out = self.spark.read.schema(_MERGED).parquet(path)
@@ -238,7 +260,7 @@ class FingerprintIndex:
             self.runs.append(f"{path}/kind={_RUN}")
             if len(self.runs) >= FANOUT:
                 self.compact()
-        return out.where(F.col("kind") == _SETTLED).select("row", "blob")
+        return out.where(F.col("kind") == _SETTLED).select(F.col("bucket").alias("part"), "row", "count", "blob")
 
     def compact(self) -> None:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
@@ -249,7 +271,7 @@ class FingerprintIndex:
 
 def _removed(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     """(other columns, text) with n_words, n_removed and kept_text."""
-    per_doc = repeats.groupBy("row").agg(F.collect_list("blob").alias("_places"))
+    per_doc = repeats.groupBy("part").applyInArrow(_per_document, "row long, places array<int>").withColumnRenamed("places", "_places")
     joined = docs.join(per_doc, "row", "left").drop("row")
     shaped = joined.drop("_places").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")})
     names = shaped.columns
@@ -261,10 +283,10 @@ def _removed(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
                 w = cut(data, offsets, NON_SPACE, hashed=False)
                 delta = np.zeros(len(w.starts) + 1, np.int32)
                 places = batch.column("_places")
-                for t in np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False)):
-                    at = np.unique(np.frombuffer(b"".join(places[int(t)].as_py()), "<u4").astype(np.int64)) + w.first[t]
-                    delta[at] += 1
-                    delta[at + window] -= 1
+                text, flat = places.value_parent_indices().to_numpy(), places.flatten().to_numpy()
+                at = flat + w.first[text]
+                delta[at] += 1
+                np.subtract.at(delta, at + window, 1)
                 keep = np.cumsum(delta[:-1]) == 0
                 left = np.concatenate(([0], np.cumsum(keep)))[w.first]
                 length = (w.ends - w.starts + 1)[keep]
