@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoloom.config import REFERENCE_MEAN, REFERENCE_STD
@@ -16,6 +17,25 @@ def band_moments(pixels: DataFrame, mask: Column | None = None) -> DataFrame:
     return use.groupBy("scene_id", "band").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
+def image_moments(images: DataFrame, pixels: str = "pixels", channels: int = 3) -> DataFrame:
+    """(band, n, mean, std) over the bytes of all decoded images: the statistics that scenes are
+    matched to.  Each Arrow batch gives one row of sums per channel, which a small aggregate adds."""
+
+    def sums(frames):
+        import pandas as pd
+
+        for frame in frames:
+            flat = [np.frombuffer(b, np.uint8).reshape(-1, channels) for b in frame[pixels] if b is not None]
+            if flat:
+                value = np.concatenate(flat).astype(np.float64)
+                yield pd.DataFrame({"band": range(channels), "n": len(value), "s": value.sum(0), "q": (value * value).sum(0)})
+
+    parts = images.select(pixels).mapInPandas(sums, "band int, n long, s double, q double")
+    total = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.col("n")
+    return total.select("band", "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std"))
+
+
 def moment_match(pixels: DataFrame, to_mean: tuple[float, ...] = REFERENCE_MEAN, to_std: tuple[float, ...] = REFERENCE_STD, mask: Column | None = None) -> DataFrame:
     """Pixels with ``matched`` (double) and ``byte`` (0..255).
 

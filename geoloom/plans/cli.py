@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession, functions as F
 
 from geoloom import config
-from geoloom.operators import change
+from geoloom.operators import change, inference
 from geoloom.plans import pipelines
 from geoloom.sources import arrays, geotiff, tables
 
@@ -19,6 +19,19 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("tif")
     p.add_argument("out")
     p.add_argument("--stride", type=int, default=config.PATCH)
+    p = steps.add_parser("train", help="fit the head on a table (id, features, label) and save the best model")
+    p.add_argument("table")
+    p.add_argument("out")
+    p.add_argument("--seed", type=int, default=config.SEED)
+    p = steps.add_parser("evaluate", help="report of a saved model on the test rows")
+    p.add_argument("table")
+    p.add_argument("model")
+    p.add_argument("out")
+    p.add_argument("--seed", type=int, default=config.SEED)
+    p = steps.add_parser("classify", help="patches with features to a land-cover grid")
+    p.add_argument("patches")
+    p.add_argument("model")
+    p.add_argument("out")
     p = steps.add_parser("detect", help="two land-cover grids to change cells and events")
     p.add_argument("grid_a")
     p.add_argument("grid_b")
@@ -41,6 +54,24 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     if a.step == "patchify":
         pipelines.patchify(spark, a.tif, a.stride).write.mode("overwrite").parquet(a.out)
+    elif a.step == "train":
+        rows = spark.read.parquet(a.table)
+        size = rows.select(F.size("features")).first()[0]
+        classes = rows.agg(F.max("label")).first()[0] + 1
+        model, history = pipelines.train(rows, "id", "features", "label", size, classes, seed=a.seed)
+        best = history.where("is_best").agg(F.max("val_acc")).first()[0] or 0.0
+        pipelines.save_checkpoint(model, best, a.out, spark)
+        tables.write_json(history, f"{a.out}/history")
+    elif a.step == "evaluate":
+        model, _, names = pipelines.load_checkpoint(a.model, spark)
+        _, report, matrix = pipelines.evaluate(model, spark.read.parquet(a.table), "id", "features", "label", config.class_dim(spark, tuple(names)), a.seed)
+        tables.write_report(report, f"{a.out}/report")
+        tables.write_json(matrix, f"{a.out}/confusion")
+    elif a.step == "classify":
+        model, _, _ = pipelines.load_checkpoint(a.model, spark)
+        patches = inference.head_features(spark.read.parquet(a.patches).withColumnRenamed("features", "x").withColumn("label", F.lit(0)), "x", "label")
+        scored = inference.predict(model, patches).withColumns({"label": F.col("pred").cast("long"), "conf": F.array_max("probability")})
+        scored.drop("x", "features", "pixels", "rawPrediction", "probability", "prediction", "pred").write.mode("overwrite").parquet(a.out)
     elif a.step == "detect":
         keys = ("row", "col")
         read = [arrays.read_grid(spark, p) if p.endswith(".npz") else spark.read.parquet(p) for p in (a.grid_a, a.grid_b)]

@@ -100,6 +100,26 @@ def mask_archives(cells: DataFrame, crs: str = "") -> DataFrame:
     return archives(cells, MASK_LAYERS, crs)
 
 
+def patch_archives(patches: DataFrame, size: int = 64, channels: int = 3) -> DataFrame:
+    """(scene_id, content): a patch set per scene, in row-major order.  The exchange form holds a whole
+    scene, so it suits scenes that a worker can hold; Parquet has no such limit."""
+    kind = patches.schema["scene_id"].dataType.simpleString()
+
+    def pack(group):
+        import pandas as pd
+
+        group = group.sort_values(["row", "col"])
+        rc = group[["row", "col"]].to_numpy(np.int32)
+        buffer = io.BytesIO()
+        np.savez_compressed(
+            buffer, patches=np.stack([np.frombuffer(p, np.uint8).reshape(size, size, channels) for p in group["pixels"]]), grid_rc=rc,
+            geo_bounds=group[["left", "bottom", "right", "top"]].to_numpy(np.float64), grid_shape=(rc.max(0) + 1).astype(np.int32), crs=np.array(group["crs"].iloc[0]),
+        )
+        return pd.DataFrame({"scene_id": group["scene_id"].iloc[:1], "content": [buffer.getvalue()]})
+
+    return patches.groupBy("scene_id").applyInPandas(pack, f"scene_id {kind}, content binary")
+
+
 def save_archives(made: DataFrame, folder: str) -> list[str]:
     """Write archives to local files, one scene at a time; for exchange with programs that want them."""
     out = []

@@ -174,3 +174,37 @@ def test_classify_runs_the_model_in_batches(spark):
     patches = spark.createDataFrame([(i // 2, i % 2, [float(i), 1.0], b"") for i in range(4)], "row int, col int, x array<float>, pixels binary")
     made = pipelines.classify(patches, "x", inference.linear_model(np.array([[1.0, 0.0], [0.0, 1.5]]), np.zeros(2)), 2, 3)
     assert [r.label for r in made.orderBy("row", "col").collect()] == [1, 1, 0, 0]
+
+
+def test_patch_archive_round_trip(spark, scene):
+    path, _ = scene
+    patches = pipelines.patchify(spark, path)
+    with np.load(io.BytesIO(bytes(arrays.patch_archives(patches).first().content))) as z:
+        assert z["patches"].shape == (4, 64, 64, 3)
+        assert z["grid_rc"].tolist() == [[0, 0], [0, 1], [1, 0], [1, 1]]
+        want = {(r.row, r.col): bytes(r.pixels) for r in patches.collect()}
+        assert [p.tobytes() for p in z["patches"]] == [want[tuple(rc)] for rc in z["grid_rc"].tolist()]
+
+
+def test_image_moments(spark, folder):
+    from geoloom.operators import radiometry
+
+    root, pictures = folder
+    every = np.concatenate([p.reshape(-1, 3) for p in pictures.values()]).astype(float)
+    got = radiometry.image_moments(images.read_decoded(spark, str(root))).orderBy("band").collect()
+    assert [r.n for r in got] == [len(every)] * 3
+    assert np.allclose([r.mean for r in got], every.mean(0))
+    assert np.allclose([r["std"] for r in got], every.std(0))
+
+
+def test_train_evaluate_classify_by_command_line(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=4) + 5 * np.eye(4)[i % 3]], i % 3, i // 20, i % 20) for i in range(240)]
+    spark.createDataFrame(rows, "id long, features array<float>, label int, `row` int, col int").write.parquet(f"{tmp_path}/t")
+    cli.main(["train", f"{tmp_path}/t", f"{tmp_path}/m"])
+    cli.main(["evaluate", f"{tmp_path}/t", f"{tmp_path}/m", f"{tmp_path}/e"])
+    assert spark.read.text(f"{tmp_path}/e/report").count() == len(config.CLASS_NAMES) + 3
+    cli.main(["classify", f"{tmp_path}/t", f"{tmp_path}/m", f"{tmp_path}/g"])
+    got = spark.read.parquet(f"{tmp_path}/g")
+    assert {"row", "col", "label", "conf"} <= set(got.columns)
+    assert got.where("id % 3 = label").count() > 220
