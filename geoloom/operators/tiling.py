@@ -52,7 +52,7 @@ def patch_strips(strips: DataFrame, size: int = PATCH, stride: int = PATCH, chan
     high = F.least(n_windows(F.col("height"), size, stride) - 1, F.floor((F.col("y0") + F.col("n_rows") - 1) / F.lit(stride)).cast("int"))
     dealt = strips.withColumn("row", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
 
-    def assemble(key, group: pd.DataFrame) -> pd.DataFrame:
+    def assemble(key, group):
         scene, row = key
         width = int(group["width"].iloc[0])
         slab = np.zeros((size, width, channels), np.uint8)
