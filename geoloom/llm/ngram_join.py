@@ -14,11 +14,14 @@ How it is laid out on a cluster
     all of an ordinary corpus before any candidate exists.  Shingles that are very frequent in
     a bounded sample of texts skip the bucket, so no bucket holds a hot list; the sample steers
     only the order of lists (any one order gives the same links), never a result.
-  * Merging: in the first round each short list proposes pairs with its smallest class only,
-    which is linear in the list; links found are contracted to components.  In the second
-    round lists propose every pair of classes that are still in different components, cut by
-    the size and position bounds.  A pair inside a component cannot change the components, so
-    they are exact, and a large group of near copies costs no square of its size.
+  * Merging: in a hub round each short list proposes pairs with one of its classes only (the
+    smallest at first, then one by a hash of list and round), which is linear in the list; links
+    found are contracted to components, and lists within one component close.  When such a
+    round finds few links, the lists still open try every pair of classes in different
+    components: short lists propose pairs, cut by the size and position bounds; long ones are
+    cut into blocks, whose inverted lists are merged in one task and give links only.  A pair
+    inside a component cannot change the components, so they are exact, and a group of near
+    copies makes no rows for its pairs.
 
 Shingles are compared by 48 bits of a hash within a bucket of at least 3 bits: two different
 shingles of one pair of 500-shingle texts collide with probability below 1e-9.
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.llm.graph import components
 from geoloom.llm.textkernel import NON_SPACE, U64, distinct_per_text, mix, pieces, shingles, words_of
@@ -47,6 +50,9 @@ BUCKET_SHINGLES = 1_000_000
 FLUSH = 400_000
 SAMPLE_TEXTS = 4_000
 COMMON_LIMIT = 200_000
+HUB_TURNS = 6
+LONG_LIST = 128
+BLOCK = 512
 _TOKEN_BITS = 48
 _MASK = U64((1 << _TOKEN_BITS) - 1)
 
@@ -286,8 +292,97 @@ def _possible(percent: int):
     return (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
 
+def _contracted(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, root) after the links: components are found on the graph of roots only."""
+    for side in ("a", "b"):
+        links = links.join(label.select(F.col("class").alias(side), F.col("root").alias(f"r_{side}")), side)
+    merged = components(links.where("r_a != r_b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct(), "join-components")
+    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return stored(label.join(merged, "root", "left").select("class", F.coalesce("_to", "root").alias("root")), "join-labels")
+
+
+def _open(postings: DataFrame) -> DataFrame:
+    """Postings of the lists that still touch two components at least."""
+    mixed = postings.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("list")
+    return stored(postings.join(mixed, "list", "left_semi"), "join-open-lists")
+
+
+def _relabelled(postings: DataFrame, label: DataFrame) -> DataFrame:
+    return postings.drop("root").join(label, "class")
+
+
+def _side(postings: DataFrame, side: str) -> DataFrame:
+    return postings.select("list", F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("p").alias(f"p_{side}"), F.col("root").alias(f"r_{side}"))
+
+
+def _blocks(long: DataFrame, block: int) -> DataFrame:
+    """Postings of long lists dealt to pairs of blocks: (list, i, j, side, class, n, root).
+
+    Of each list the component with most postings is the base.  Its postings need not meet each
+    other; the rest, cut into blocks, meets the base's blocks and its own."""
+    of_root = long.groupBy("list", "root").agg(F.count("*").alias("m"))
+    shape = of_root.groupBy("list").agg(F.max_by("root", F.struct("m", "root")).alias("base"), F.max("m").alias("most"), F.sum("m").alias("all"))
+    blocks = {"n_base": F.ceil(F.col("most") / block).cast("int"), "n_rest": F.ceil((F.col("all") - F.col("most")) / block).cast("int")}
+    placed = long.join(shape.select("list", "base", *[c.alias(k) for k, c in blocks.items()]), "list")
+    rest = F.col("root") != F.col("base")
+    own = F.pmod(F.xxhash64("class"), F.when(rest, F.col("n_rest")).otherwise(F.col("n_base"))).cast("int")
+    placed = placed.withColumns({"_own": own, "_rest": rest})
+    none = F.array().cast("array<int>")
+    all_rest, all_base = F.sequence(F.lit(0), F.col("n_rest") - 1), F.transform(F.sequence(F.lit(0), F.col("n_base") - 1), lambda j: -1 - j)
+    # a block pair is (i, j): i a block of the rest, j a block of the rest from i on, or -1 - (block of the base)
+    left = placed.where("_rest").select("list", "class", "n", "root", F.col("_own").alias("i"), F.explode(F.concat(F.filter(all_rest, lambda j: j >= F.col("_own")), all_base)).alias("j"), F.lit(0).alias("side"))
+    right_rest = placed.where("_rest").select("list", "class", "n", "root", F.explode(F.filter(all_rest, lambda i: i < F.col("_own"))).alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side"))
+    right_base = placed.where("NOT _rest").select("list", "class", "n", "root", F.explode(F.when(F.col("n_rest") > 0, all_rest).otherwise(none)).alias("i"), (-1 - F.col("_own")).alias("j"), F.lit(1).alias("side"))
+    return left.unionByName(right_rest).unionByName(right_base)
+
+
+def _block_linker(percent: int):
+    def link(table: pa.Table) -> pa.Table:
+        """Links between the sides of a block pair (within the left one if it meets itself), one for
+        each left class and component: T-occurrence counts over the block's inverted lists."""
+        side = table.column("side").to_numpy()
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if table.column("i")[0].as_py() != table.column("j")[0].as_py() else left
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(left) or not len(right):
+            return none
+        key, n, root = (table.column(c).to_numpy() for c in ("class", "n", "root"))
+        sets = [_unpack(x) for x in table.column("token").to_pylist()]
+        token = np.concatenate([sets[i] for i in right])
+        owner = np.repeat(np.arange(len(right)), [len(sets[i]) for i in right])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        found = []
+        for i in left.tolist():
+            low, high = np.searchsorted(token, sets[i], "left"), np.searchsorted(token, sets[i], "right")
+            length = high - low
+            at = np.repeat(low, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            common = np.bincount(owner[at], minlength=len(right))
+            hit = np.flatnonzero((100 * common >= percent * (n[right] + n[i] - common)) & (root[right] != root[i]))
+            if len(hit):
+                hit = hit[np.unique(root[right[hit]], return_index=True)[1]]
+                found += [(int(key[i]), int(key[right[j]])) for j in hit]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}) if found else none
+
+    return link
+
+
+def _across(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, from every pair of classes that a list still holds apart: pair by
+    pair in short lists, block by block in long ones."""
+    length = postings.groupBy("list").agg(F.count("*").alias("_length"))
+    sized = stored(postings.join(length, "list"), "join-sized-lists")
+    short, long = (sized.where(c).drop("_length") for c in (F.col("_length") <= LONG_LIST, F.col("_length") > LONG_LIST))
+    pairs = _side(short, "a").join(_side(short, "b"), "list").where("a < b AND r_a != r_b").where(_possible(percent)).select("a", "b").distinct()
+    links = _verified(stored(pairs, "join-cross-pairs"), sets, percent)
+    if not long.isEmpty():
+        dealt = _blocks(long, BLOCK).join(sets.select("class", "token"), "class")
+        links = links.unionByName(dealt.groupBy("list", "i", "j").applyInArrow(_block_linker(percent), "a long, b long").distinct())
+    return stored(links, "join-cross-links")
+
+
 def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
-    """(node, root) over classes."""
+    """(class, root) of the classes that may have a partner."""
     spark = docs.sparkSession
     total, n_docs = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = max(8, -(-total // BUCKET_SHINGLES))
@@ -296,34 +391,56 @@ def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, perc
     sets = stored(shared.groupBy("part").applyInArrow(_setter(percent), _SETS), "join-sets")
     own = F.size("prefix") - 1 + (F.ceil(F.lit(percent) * F.col("n") / 100)).cast("int")  # shared tokens
     lists = sets.select("class", "n", (F.col("n") - own).alias("unique"), F.posexplode("prefix").alias("at", "list"))
-    lists = stored(lists.select("list", "class", "n", (F.col("unique") + F.col("at") + 1).alias("p")), "join-lists")
-
-    hubs = lists.groupBy("list").agg(F.min(F.struct("class", "n", "p")).alias("hub"), F.count("*").alias("length")).where("length > 1")
-    hubs = hubs.select("list", F.col("hub.class").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.p").alias("p_a"))
-    side = lists.select("list", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"))
-    near_hub = stored(hubs.join(side, "list").where("a != b").where(_possible(percent)).select("a", "b").distinct(), "join-hub-pairs")
-    links = stored(_verified(near_hub, sets, percent), "join-hub-links")
-    roots = components(links, "join-components")
-
-    labelled = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_lists = labelled.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("list")
-    labelled = stored(labelled.join(open_lists, "list", "left_semi"), "join-open-lists")
-    left = labelled.select("list", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("root").alias("r_a"))
-    right = labelled.select("list", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("root").alias("r_b"))
-    across = left.join(right, "list").where("a < b AND r_a != r_b").where(_possible(percent)).select("a", "b").distinct()
-    across = stored(across.join(near_hub, ["a", "b"], "left_anti"), "join-cross-pairs")
-    more = stored(_verified(across, sets, percent), "join-cross-links")
-    if more.isEmpty():
-        return roots
-    return components(links.unionByName(more), "join-components")
+    postings = _open(lists.select("list", "class", "n", (F.col("unique") + F.col("at") + 1).alias("p"), F.col("class").alias("root")))
+    label = sets.select("class", F.col("class").alias("root"))
+
+    for turn in range(HUB_TURNS):
+        rank = F.col("class") if turn == 0 else F.xxhash64("list", "class", F.lit(turn))
+        hubs = postings.groupBy("list").agg(F.min_by(F.struct("class", "n", "p", "root"), rank).alias("hub")).select("list", "hub.*")
+        pairs = _side(hubs, "a").join(_side(postings, "b"), "list").where("r_a != r_b").where(_possible(percent))
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-hub-pairs")
+        links = stored(_verified(pairs, sets, percent), "join-hub-links")
+        found, tried = links.count(), pairs.count()
+        if found:
+            label = _contracted(label, links)
+            postings = _open(_relabelled(postings, label))
+        if found * 10 <= tried:
+            break
+
+    links = _across(postings, sets, percent)
+    return label if links.isEmpty() else _contracted(label, links)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, class, component): the component is named by its smallest id."""
+    """(id, n_shingles, class, root, component), a row per document: the component is named by
+    its smallest id, root is the class that stands for it."""
     members = stored(membership(docs, id_col, text_col, k), "join-members")
     roots = class_links(docs, members, text_col, k, percent)
-    rooted = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = stored(rooted, "join-rooted")
+    rooted = stored(members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "join-rooted")
     smallest = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("component"))
     named = rooted.join(smallest, "root", "left")
-    return named.select("id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    return named.select("id", "n_shingles", "class", "root", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of the smallest id
+    (null last) stays, once if it is repeated; texts without words all stay."""
+    found = jaccard_components(docs, id_col, text_col, k, percent)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "class")
+    keepers = found.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("keep")).select(F.col("keep.id").alias("_id"), F.col("keep.class").alias("_keeper"))
+    shaped = docs.withColumns({"_class": F.lit(0).cast("long"), "_n": F.lit(0).cast("long")})
+    names = shaped.columns
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                n, own, _, _ = text_sets(batch, text_col, k)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64)), pa.array(n, pa.int64())], names)
+
+    classed = docs.mapInArrow(run, shaped.schema)
+    met = classed.join(keepers, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_keeper")), "left")
+    kept = met.where("_n = 0 OR _keeper IS NOT NULL")
+    if not found.where("n_shingles > 0").groupBy("id", "class").count().where("count > 1").isEmpty():  # repeated rows
+        place = F.row_number().over(Window.partitionBy(id_col, "_class").orderBy("_n"))
+        kept = kept.withColumn("_place", F.when(F.col("_n") > 0, place)).where("_n = 0 OR _place = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoloom.llm.textkernel import NON_SPACE, U64, cut, inner, mix, pieces, text_buffer, windows, words_of
-from geoloom.llm.workspace import renewed, shared_folder, shuffles_dropped
+from geoloom.llm.workspace import lean, renewed, shared_folder
 
 WINDOW = 13
 BUCKET_WINDOWS = 1_000_000
@@ -253,7 +253,7 @@ class FingerprintIndex:
             sent = sent.unionByName(history.select("bucket", F.lit(_RUN).alias("kind"), *[(F.col("blob") if c == "hash" else empty).alias(c) for c in _FIELDS]))
         path = f"{self.path}/batch-{uuid.uuid4().hex}"
         merged = sent.groupBy("bucket").applyInArrow(_merger(keep, self.buckets), _MERGED)
-        with shuffles_dropped(self.spark):
+        with lean(self.spark):
             merged.write.partitionBy("kind").parquet(path)
         out = self.spark.read.schema(_MERGED).parquet(path)
         if keep and not out.where(F.col("kind") == _RUN).isEmpty():
@@ -264,7 +264,7 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
-        with shuffles_dropped(self.spark):
+        with lean(self.spark):
             self._history().select("bucket", "blob").groupBy("bucket").applyInArrow(_compacted, "bucket int, blob binary").write.parquet(path)
         self.runs = [path]
 

@@ -7,12 +7,16 @@ ASCII, hence working on UTF-8 bytes equals working on code points.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+if "pyspark.worker" in sys.modules:  # a worker lives long: give freed batches back to the system
+    pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 19
 

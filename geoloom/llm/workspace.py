@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,14 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the actions inside go as soon as each action has ended."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def lean(spark: SparkSession) -> Iterator[None]:
+    """For the actions inside: shuffle files go as soon as an action has ended, and Arrow batches
+    are small, which bounds what JVM and Python hold of long texts."""
+    before = {k: spark.conf.get(k, None) for k in _LEAN}
+    for k, v in _LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
@@ -38,7 +41,7 @@ def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFr
     executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
+    with lean(spark):
         df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,3 +61,14 @@ def per_batch(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], I
                 yield from function(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def shielded(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its own columns of these names set aside, and what gives it back its shape."""
+    low, columns = {n.lower() for n in names}, docs.columns
+    aside = {c: f"_own_{i}" for i, c in enumerate(columns) if c.lower() in low}
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in columns])
+
+    return docs.withColumnsRenamed(aside), restore
