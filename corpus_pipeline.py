@@ -14,6 +14,7 @@ from geoloom.llm.ngram_join import keep_one
 from geoloom.llm.quality import resample
 from geoloom.llm.token_output import training_order
 from geoloom.llm.workspace import shielded, stored
+from geoloom.shipping import shipping
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +47,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", classify),
-    ("n-gram Jaccard join", deduplicate),
-    ("benchmark decontamination", decontaminated),
-    ("mixing sources to target weights", mix),
-    ("token-ID / binary output", tokens),
+    ("quality classifier", shipping(classify)),
+    ("n-gram Jaccard join", shipping(deduplicate)),
+    ("benchmark decontamination", shipping(decontaminated)),
+    ("mixing sources to target weights", shipping(mix)),
+    ("token-ID / binary output", shipping(tokens)),
 ]
 
 #: Components, Gumbel draws and tokens are beyond SQL; tests hold run() against brute force.

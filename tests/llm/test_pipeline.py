@@ -26,7 +26,7 @@ def test_registry():
     names = registry.queries()
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
-    assert names["pipeline"] is corpus_pipeline.run
+    assert names["pipeline"].__wrapped__ is corpus_pipeline.run
     assert "pipeline" not in registry.oracle_sql()
     assert set(SQL) <= set(names)
 
