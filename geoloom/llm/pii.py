@@ -234,8 +234,11 @@ def sanitise(docs: DataFrame, text_col: str = "text", block_terms: int = BLOCK_T
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def number(kind: int):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
     found = F.array_sort("found")
-    counts = {f"n_{k}": F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS)}
+    counts = {f"n_{k}": number(i) for i, k in enumerate(KINDS)}
     out = out.withColumns(counts | {"base_spans": joined(F.filter(found, lambda s: s["kind"] < 4)), "spans": joined(found)})
     return out.withColumn("sanitised", F.pandas_udf(_replaced, "string")(F.col(text_col), F.col("found")))
 

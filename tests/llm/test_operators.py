@@ -269,6 +269,9 @@ def test_secrets(spark):
     got = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, rows)).collect()}
     assert {i: got[i].base_spans for i, _ in rows} == {i: secret_spans(t) for i, t in rows}
     assert all(set(got[i].base_spans.split(",")) - {""} <= set(got[i].spans.split(",")) for i, _ in rows)
+    for r in got.values():
+        kinds = [x.split(":")[0] for x in r.base_spans.split(",") if x]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
     assert got[10].spans == "github:0:40,hex:4:40"
     assert got[11].spans.startswith("private_key:0:")
     assert got[12].spans == "jwt:0:25"
@@ -406,6 +409,9 @@ def test_private_data(spark, block_terms):
     rows.append((300, "the zanzibar lighthouse was seen, common words"))
     got = {r.doc_id: r for r in pii.sanitise(frame(spark, rows), support=3, disclosure=0.4, bits=2.0, block_terms=block_terms).collect()}
     assert {i: got[i].base_spans for i, _ in rows} == {i: private_spans(t) for i, t in rows}
+    for r in got.values():
+        kinds = [x.split(":")[0] for x in r.spans.split(",") if x]
+        assert {k: r[f"n_{k}"] for k in pii.KINDS} == {k: kinds.count(k) for k in pii.KINDS}
     marked = [rows[-1][1][int(a) : int(b)] for _, a, b in (s.split(":") for s in got[300].spans.split(","))]
     assert set(marked) == {"zanzibar", "lighthouse"}
     assert got[300].sanitised == "the [TERM] [TERM] was seen, common words"
