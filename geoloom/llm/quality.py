@@ -1,6 +1,7 @@
 """Operator 9: quality classification by importance resampling.
 
-Two generative models over hashed word unigrams and bigrams are counted: one of target text
+Two generative models over hashed word unigrams and bigrams (a table of 2**bits buckets for each of
+the two, so that rare pairs don't blur words) are counted: one of target text
 (labelled good and not toxic) and one of the raw corpus.  With t and r the counts of a bucket and
 E = r * T / R what the target would show if it were like the raw text, the bucket's log ratio is
 log((t + c) / (E + c)); c holds buckets with little data near zero.  A document's log weight sums
@@ -12,10 +13,10 @@ k largest keys stay.  k is the number of documents whose weight reaches the floo
 ``floor_depth`` nats, so the draw is random only near it.
 
 Scale: three passes over the texts and no shuffle of any text.  Counts of all documents are
-vectors of 2**bits buckets, summed in slices over a tree.  The fit uses at most ``label_limit``
+vectors of fixed length, summed in slices over a tree.  The fit uses at most ``label_limit``
 labelled rows, the smallest by a hash of the id (the bound of what is collected and broadcast); of
-these every fifth is held out for the floor.  The model (2**bits floats) is broadcast, its size
-fixed.  The k-th key is found by refining a histogram of keys, never by collecting them.
+these every fifth is held out for the floor.  The model (2 * 2**bits floats, 8 MB) is broadcast,
+its size fixed.  The k-th key is found by refining a histogram of keys, never by collecting them.
 
 Defined results: null, empty and wordless texts have log weight 0; a null id hashes as "null";
 rows of one id share their Gumbel draw; ties at the k-th key stay; without labels, or without
@@ -34,22 +35,23 @@ from geoloom.llm.textkernel import NON_SPACE, U64, inner, pieces, windows, words
 from geoloom.llm.workspace import renewed, stored
 
 BITS = 20
-PRIOR = 10.0
+PRIOR = 3.0
 MARGIN = 1.0
 LABEL_LIMIT = 50_000
 CLEAN_LOSS = 0.002
 FLOOR_DEPTH = 8.0
 SEED = 97
 SLICE = 4096
+FLUSH = 1_000_000
 
 
 def ngram_buckets(batch: pa.RecordBatch, text_col: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text of each n-gram, its bucket) for unigrams and bigrams."""
     w = words_of(batch.column(text_col), NON_SPACE, lower=True)
-    pair = inner(w, 2)
-    bucket = np.concatenate((w.hashes, windows(w.hashes, 2)[pair])) >> U64(64 - bits)
+    pair, shift = inner(w, 2), U64(64 - bits)
+    words, pairs = w.hashes >> shift, (windows(w.hashes, 2)[pair] >> shift) + U64(1 << bits)
     text = w.text_of
-    return np.concatenate((text, text[pair])), bucket.astype(np.int64)
+    return np.concatenate((text, text[pair])), np.concatenate((words, pairs)).astype(np.int64)
 
 
 def _labelled(labels: DataFrame, id_col: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,8 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of all documents and of those to train on; 2**bits numbers each."""
+    """Bucket counts of all documents and of those to train on; 2 * 2**bits numbers each."""
+    size = 2 << bits
     chosen = docs.sparkSession.sparkContext.broadcast(train)
     schema = "slice int, part int, raw binary, target binary"
 
@@ -87,22 +90,33 @@ def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        sums = {"raw": np.zeros(size, np.int64), "target": np.zeros(size, np.int64)}
+        held: dict[str, list[np.ndarray]] = {"raw": [], "target": []}
+
+        def add(name: str, bucket: np.ndarray, least: int = FLUSH) -> None:
+            held[name].append(bucket)
+            if sum(map(len, held[name])) >= least:
+                sums[name] += np.bincount(np.concatenate(held[name]), minlength=size)
+                held[name].clear()
+
         for whole in batches:
             for batch in pieces(whole, text_col):
                 text, bucket = ngram_buckets(batch, text_col, bits)
-                raw += np.bincount(bucket, minlength=1 << bits)
+                add("raw", bucket)
                 on = _member(batch, id_col, chosen.value)
                 if on.any():
-                    target += np.bincount(bucket[on[text]], minlength=1 << bits)
+                    add("target", bucket[on[text]])
+        for name in sums:
+            add(name, np.zeros(0, np.int64), 0)
+        raw, target = sums["raw"], sums["target"]
         if raw.any():
-            for i in range(0, 1 << bits, SLICE):
+            for i in range(0, size, SLICE):
                 a, b = raw[i : i + SLICE], target[i : i + SLICE]
                 yield pa.RecordBatch.from_pylist([{"slice": i // SLICE, "part": part >> 8, "raw": a.tobytes(), "target": b.tobytes()}], pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("raw", pa.binary()), ("target", pa.binary())]))
 
     sums = docs.select(id_col, text_col).mapInArrow(count, schema)
     sums = sums.groupBy("slice", "part").applyInArrow(_summed, schema).groupBy("slice").applyInArrow(_summed, schema)
-    raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for row in sums.collect():
         at = row["slice"] * SLICE
         raw[at : at + SLICE] = np.frombuffer(row["raw"], np.int64)
@@ -118,7 +132,7 @@ def evidence(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR, margin:
 
 def weighed(docs: DataFrame, text_col: str, model: np.ndarray) -> DataFrame:
     """All columns of ``docs`` plus log_weight."""
-    table, bits = docs.sparkSession.sparkContext.broadcast(model), int(np.log2(len(model)))
+    table, bits = docs.sparkSession.sparkContext.broadcast(model), int(np.log2(len(model) // 2))
     docs = renewed(docs, "log_weight")
     shaped = docs.withColumn("log_weight", F.lit(0.0))
     names = shaped.columns
