@@ -12,7 +12,7 @@ Scale: records are written once to the shared folder with their number within th
 them; offsets of tasks are sums over one row per task.  The numbering is then data, and a lost
 executor costs re-reads only.  The one shuffle of records deals them to their shards.
 A text is cut before each space that follows a non-space, which is always a border of the
-vocabulary's own pre-tokenisation; each distinct piece is encoded once per worker cache.
+vocabulary's own pre-tokenisation; each distinct piece of a chunk is encoded once.
 
 Defined results: null or empty text makes no record; identical rows make records of their own;
 an empty table gives an empty result.  The numbering follows the order of the input's partitions.
@@ -37,19 +37,22 @@ LENGTH = 512
 SHARD_RECORDS = 16_384
 KEY = 0x5DEECE66D
 ROUNDS = 6
-CACHE_PIECES = 200_000
+CHUNK_BYTES = 1 << 20
 BROADCAST_TASKS = 500_000
 
 _encodings: dict[int, tuple] = {}
 
 
 def _encoding(raw: bytes):
+    """(encoding, bytes of each token) of a vocabulary, made once per worker."""
     import tiktoken
 
     if (mark := hash(raw)) not in _encodings:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        size[list(ranks.values())] = [len(t) for t in ranks]
         _encodings.clear()
-        _encodings[mark] = (tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {})
+        _encodings[mark] = (tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size)
     return _encodings[mark]
 
 
@@ -69,45 +72,52 @@ def feistel(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of pieces, and per text its first piece."""
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of pieces, per text its first piece, and where the byte before ends a non-space."""
     n = len(data)
-    p1, p2, p3 = (np.concatenate((np.zeros(min(k, n), np.uint8), data[: max(0, n - k)])) for k in (1, 2, 3))
+    p1, p2, p3 = (np.concatenate((np.zeros(min(k, n + 1), np.uint8), data[: max(0, n + 1 - k)])) for k in (1, 2, 3))
     plain = ((p1 > 0x20) & (p1 < 0x7F)) | ((p1 >= 0x80) & (p2 != 0xC2) & ((p3 < 0xE1) | (p3 > 0xE3)))
-    cut = (data == 0x20) & plain
-    edge = np.zeros(n + 1, bool)
-    edge[:n] = cut
+    edge = (data == 0x20) & plain[:n]
     edge[offsets[:-1][np.diff(offsets) > 0]] = True
-    starts = np.flatnonzero(edge[:n])
-    return starts, np.searchsorted(starts, offsets)
+    starts = np.flatnonzero(edge)
+    return starts, np.searchsorted(starts, offsets), plain
+
+
+def _flat(source: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ranges source[start:start + length], one after another."""
+    stop = np.cumsum(length)
+    return source[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - length, length) + np.repeat(start, length)]
 
 
 def encode_texts(column: pa.Array, raw_vocabulary: bytes, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts in a row, and the end of each text among them."""
-    encoding, cache = _encoding(raw_vocabulary)
+    """Token ids of all texts in a row, and the end of each text among them.
+
+    Distinct pieces are encoded in one call: those that begin with a space and end with a non-space
+    stay apart when joined, and the bytes of the tokens tell where each ends; the few others go
+    alone."""
+    encoding, token_bytes = _encoding(raw_vocabulary)
     data, offsets = text_buffer(column)
-    starts, first = _cuts(data, offsets)
+    starts, first, plain = _cuts(data, offsets)
     ends = np.append(starts[1:], len(data))[: len(starts)]
     _, index, inverse = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    begin, size = starts[index], ends[index] - starts[index]
+    regular = (data[begin] == 0x20) & plain[begin + size]
+    joined = _flat(data, begin[regular], size[regular]).tobytes().decode()
+    ids = np.array(encoding.encode_ordinary(joined), np.int64)
+    at = np.searchsorted(np.cumsum(token_bytes[ids]), np.cumsum(size[regular])) + 1
+    own = np.zeros(len(index), np.int64)
+    own[regular] = np.diff(at, prepend=0)
+    base = np.zeros(len(index), np.int64)
+    base[regular] = at - own[regular]
+    parts, total = [ids], len(ids)
     raw = data.tobytes()
-    found = []
-    for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True):
-        piece = raw[a:b]
-        ids = cache.get(piece)
-        if ids is None:
-            ids = np.array(encoding.encode_ordinary(piece.decode()), dtype).tobytes()
-            if len(piece) < 64:
-                if len(cache) >= CACHE_PIECES:
-                    cache.clear()
-                cache[piece] = ids
-        found.append(ids)
-    width = np.dtype(dtype).itemsize
-    own = np.array([len(x) for x in found], np.int64) // width
-    base = np.cumsum(own) - own
+    for i in np.flatnonzero(~regular).tolist():
+        alone = encoding.encode_ordinary(raw[begin[i] : begin[i] + size[i]].decode())
+        base[i], own[i] = total, len(alone)
+        total += len(alone)
+        parts.append(np.array(alone, np.int64))
     length = own[inverse]
-    stop = np.cumsum(length)
-    source = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - length, length) + np.repeat(base[inverse], length)
-    return np.frombuffer(b"".join(found), dtype)[source], np.concatenate(([0], stop))[first[1:]]
+    return _flat(np.concatenate(parts).astype(dtype), base[inverse], length), np.concatenate(([0], np.cumsum(length)))[first[1:]]
 
 
 _RECORD = "part int, number long, chunk int, n_tokens int, tokens binary"
@@ -124,7 +134,7 @@ def records(docs: DataFrame, id_col: str, text_col: str, vocabulary: bytes, leng
 
         part, number = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in pieces(whole, text_col):
+            for batch in pieces(whole, text_col, CHUNK_BYTES):
                 ids, ends = encode_texts(batch.column(text_col), raw.value, dtype)
                 size = np.diff(ends, prepend=0)
                 size_all = np.where(size > 0, size + 1, 0)  # with the separator
