@@ -72,3 +72,9 @@ def shielded(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable
         return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in columns])
 
     return docs.withColumnsRenamed(aside), restore
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written under the shared folder; call it once results are out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/geoloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -550,3 +550,11 @@ def test_kernel_words_equal_regex():
     assert sum(p.num_rows for p in parts) == len(texts)
     joined = np.concatenate([textkernel.words_of(p.column("text"), textkernel.ALNUM, True).hashes for p in parts])
     assert (joined == textkernel.words_of(pa.array(texts), textkernel.ALNUM, True).hashes).all()
+
+
+def test_intermediates_can_be_dropped(spark):
+    kept = workspace.stored(spark.range(3), "x")
+    assert kept.count() == 3
+    workspace.drop_intermediates(spark)
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|FAILED_READ_FILE"):
+        kept.collect()
