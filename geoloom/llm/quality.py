@@ -80,8 +80,9 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
-def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of all documents and of those to train on; 2 * 2**bits numbers each."""
+def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray, bits: int) -> DataFrame:
+    """(slice, raw, target): bucket counts of all documents and of those to train on, 2 * 2**bits
+    numbers each in slices."""
     size = 2 << bits
     chosen = docs.sparkSession.sparkContext.broadcast(train)
     schema = "slice int, part int, raw binary, target binary"
@@ -114,20 +115,36 @@ def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray,
                 a, b = raw[i : i + SLICE], target[i : i + SLICE]
                 yield pa.RecordBatch.from_pylist([{"slice": i // SLICE, "part": part >> 8, "raw": a.tobytes(), "target": b.tobytes()}], pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("raw", pa.binary()), ("target", pa.binary())]))
 
-    sums = docs.select(id_col, text_col).mapInArrow(count, schema)
-    sums = sums.groupBy("slice", "part").applyInArrow(_summed, schema).groupBy("slice").applyInArrow(_summed, schema)
-    raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for row in sums.collect():
-        at = row["slice"] * SLICE
-        raw[at : at + SLICE] = np.frombuffer(row["raw"], np.int64)
-        target[at : at + SLICE] = np.frombuffer(row["target"], np.int64)
-    return raw, target
+    parts = docs.select(id_col, text_col).mapInArrow(count, schema)
+    sums = parts.groupBy("slice", "part").applyInArrow(_summed, schema).groupBy("slice").applyInArrow(_summed, schema)
+    return stored(sums.select("slice", "raw", "target"), "quality-counts")
 
 
-def evidence(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR, margin: float = MARGIN) -> np.ndarray:
+def log_ratio(raw: np.ndarray, target: np.ndarray, share: float, prior: float, margin: float) -> np.ndarray:
     """What each bucket adds to a log weight: its log ratio beyond the margin, else nothing."""
-    expected = raw * (target.sum() / max(1, raw.sum()))
-    return np.minimum(0.0, np.log((target + prior) / (expected + prior)) + margin).astype(np.float32)
+    return np.minimum(0.0, np.log((target + prior) / (raw * share + prior)) + margin).astype(np.float32)
+
+
+def evidence(counts: DataFrame, bits: int, prior: float = PRIOR, margin: float = MARGIN) -> np.ndarray:
+    """The model: ``log_ratio`` of all buckets, taken per slice where the counts are."""
+
+    def totals(batches):
+        for batch in batches:
+            both = [sum(int(np.frombuffer(x.as_py(), np.int64).sum()) for x in batch.column(c)) for c in ("raw", "target")]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in both], ["raw", "target"])
+
+    raw, target = counts.mapInArrow(totals, "raw long, target long").agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    share = target / max(1, raw)
+
+    def ratios(batches):
+        for batch in batches:
+            found = [log_ratio(np.frombuffer(r.as_py(), np.int64), np.frombuffer(t.as_py(), np.int64), share, prior, margin).tobytes() for r, t in zip(batch.column("raw"), batch.column("target"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(found, pa.binary())], ["slice", "ratio"])
+
+    model = np.full(2 << bits, log_ratio(np.zeros(1), np.zeros(1), share, prior, margin)[0], np.float32)
+    for row in counts.mapInArrow(ratios, "slice int, ratio binary").collect():
+        model[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["ratio"], np.float32)
+    return model
 
 
 def weighed(docs: DataFrame, text_col: str, model: np.ndarray) -> DataFrame:
@@ -181,7 +198,7 @@ def resample(
     """All columns of ``docs`` plus log_weight, gumbel_key and kept.  ``k`` sets the number to
     keep; by default the held-out floor decides it."""
     train, held = _labelled(labels, id_col, label_limit)
-    model = evidence(*ngram_counts(docs, id_col, text_col, train, bits), prior, margin)
+    model = evidence(ngram_counts(docs, id_col, text_col, train, bits), bits, prior, margin)
     scores = stored(weighed(docs.select(id_col, text_col), text_col, model).select(id_col, "log_weight"), "quality-scores")
     chosen = docs.sparkSession.sparkContext.broadcast(held)
 
