@@ -22,6 +22,7 @@ How it is laid out on a cluster
     cut into blocks, whose inverted lists are merged in one task and give links only.  A pair
     inside a component cannot change the components, so they are exact, and a group of near
     copies makes no rows for its pairs.
+  * Links of a document, when asked for, are counted per component, block by block.
 
 Shingles are compared by 48 bits of a hash within a bucket of at least 3 bits: two different
 shingles of one pair of 500-shingle texts collide with probability below 1e-9.
@@ -336,37 +337,94 @@ def _blocks(long: DataFrame, block: int) -> DataFrame:
     return left.unionByName(right_rest).unionByName(right_base)
 
 
+class _Inverted:
+    """Inverted lists of some sets, merged for one query set at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        token = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(token, kind="stable")
+        self.token, self.owner, self.n = token[order], owner[order], len(sets)
+
+    def overlaps(self, query: np.ndarray) -> np.ndarray:
+        """How many tokens each set shares with the query."""
+        low, high = np.searchsorted(self.token, query, "left"), np.searchsorted(self.token, query, "right")
+        length = high - low
+        at = np.repeat(low, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
 def _block_linker(percent: int):
     def link(table: pa.Table) -> pa.Table:
         """Links between the sides of a block pair (within the left one if it meets itself), one for
-        each left class and component: T-occurrence counts over the block's inverted lists."""
+        each left class and component."""
         side = table.column("side").to_numpy()
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if table.column("i")[0].as_py() != table.column("j")[0].as_py() else left
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not len(left) or not len(right):
-            return none
-        key, n, root = (table.column(c).to_numpy() for c in ("class", "n", "root"))
-        sets = [_unpack(x) for x in table.column("token").to_pylist()]
-        token = np.concatenate([sets[i] for i in right])
-        owner = np.repeat(np.arange(len(right)), [len(sets[i]) for i in right])
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
         found = []
-        for i in left.tolist():
-            low, high = np.searchsorted(token, sets[i], "left"), np.searchsorted(token, sets[i], "right")
-            length = high - low
-            at = np.repeat(low, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-            common = np.bincount(owner[at], minlength=len(right))
-            hit = np.flatnonzero((100 * common >= percent * (n[right] + n[i] - common)) & (root[right] != root[i]))
-            if len(hit):
+        if len(left) and len(right):
+            key, n, root = (table.column(c).to_numpy() for c in ("class", "n", "root"))
+            sets = [_unpack(x) for x in table.column("token").to_pylist()]
+            lists = _Inverted([sets[i] for i in right])
+            for i in left.tolist():
+                common = lists.overlaps(sets[i])
+                hit = np.flatnonzero((100 * common >= percent * (n[right] + n[i] - common)) & (root[right] != root[i]))
                 hit = hit[np.unique(root[right[hit]], return_index=True)[1]]
                 found += [(int(key[i]), int(key[right[j]])) for j in hit]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}) if found else none
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return link
 
 
+def _block_counter(percent: int):
+    def count(table: pa.Table) -> pa.Table:
+        """(class, linked): for each class the documents of the classes that it links with, between
+        the sides of a block pair or within each component of a pack of small ones."""
+        key, n, root, weight, side = (table.column(c).to_numpy() for c in ("class", "n", "root", "weight", "side"))
+        sets = [_unpack(x) for x in table.column("token").to_pylist()]
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        linked = np.zeros(len(key), np.int64)
+        order = np.argsort(root, kind="stable")
+        edge = np.append(np.flatnonzero(_once(root[order])), len(order))
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            rows = order[a:b]
+            left, right = (rows, rows) if within else (rows[side[rows] == 0], rows[side[rows] == 1])
+            if not len(left) or not len(right):
+                continue
+            lists = _Inverted([sets[i] for i in right])
+            for i in left.tolist():
+                common = lists.overlaps(sets[i])
+                hit = right[(100 * common >= percent * (n[right] + n[i] - common)) & (right != i)]
+                linked[i] += weight[hit].sum()
+                if not within:
+                    linked[hit] += weight[i]
+        on = linked > 0
+        return pa.table({"class": pa.array(key[on], pa.int64()), "linked": pa.array(linked[on], pa.int64())})
+
+    return count
+
+
+def link_counts(label: DataFrame, weights: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(class, linked): how many documents of other classes each class links with.
+
+    Links lie within components.  Small components are packed together; larger ones are cut into
+    blocks that meet pairwise, a task holding two blocks.  No pair becomes a row, but each pair of
+    classes of a component is counted once, so the work is the square of its distinct sets."""
+    sizes = label.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
+    placed = stored(label.join(sizes, "root").join(weights, "class"), "join-weighed")
+    packs = max(1, placed.count() // (4 * BLOCK))
+    columns = ["class", "root", "weight"]
+    zero = F.lit(0)
+    small = placed.where(F.col("m") <= BLOCK).select(*columns, F.pmod(F.xxhash64("root"), F.lit(packs)).alias("pack"), zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    large = placed.where(F.col("m") > BLOCK).withColumn("_own", F.pmod(F.xxhash64("class"), n_blocks).cast("int")).withColumn("_all", F.sequence(zero, n_blocks - 1))
+    left = large.select(*columns, F.col("root").alias("pack"), F.col("_own").alias("i"), F.explode(F.filter("_all", lambda j: j >= F.col("_own"))).alias("j"), zero.alias("side"))
+    right = large.select(*columns, F.col("root").alias("pack"), F.explode(F.filter("_all", lambda i: i < F.col("_own"))).alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side"))
+    dealt = small.withColumn("kind", zero).unionByName(left.unionByName(right).withColumn("kind", F.lit(1))).join(sets.select("class", "n", "token"), "class")
+    counted = dealt.groupBy("kind", "pack", "i", "j").applyInArrow(_block_counter(percent), "class long, linked long")
+    return stored(counted.groupBy("class").agg(F.sum("linked").alias("linked")), "join-link-counts")
+
+
 def _across(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components, from every pair of classes that a list still holds apart: pair by
     pair in short lists, block by block in long ones."""
@@ -381,8 +439,8 @@ def _across(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(links, "join-cross-links")
 
 
-def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
-    """(class, root) of the classes that may have a partner."""
+def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(class, root) of the classes that may have a partner, and their sets."""
     spark = docs.sparkSession
     total, n_docs = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = max(8, -(-total // BUCKET_SHINGLES))
@@ -408,18 +466,28 @@ def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, perc
             break
 
     links = _across(postings, sets, percent)
-    return label if links.isEmpty() else _contracted(label, links)
+    return (label if links.isEmpty() else _contracted(label, links)), sets
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, count_links: bool = False
+) -> DataFrame:
     """(id, n_shingles, class, root, component), a row per document: the component is named by
-    its smallest id, root is the class that stands for it."""
+    its smallest id, root is the class that stands for it.  With ``count_links`` also n_links, the
+    number of other rows that the document links with."""
     members = stored(membership(docs, id_col, text_col, k), "join-members")
-    roots = class_links(docs, members, text_col, k, percent)
+    roots, sets = class_links(docs, members, text_col, k, percent)
     rooted = stored(members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "join-rooted")
     smallest = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("component"))
     named = rooted.join(smallest, "root", "left")
-    return named.select("id", "n_shingles", "class", "root", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    names = ["id", "n_shingles", "class", "root", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component")]
+    if count_links:
+        weights = members.where("n_shingles > 0").groupBy("class").agg(F.count("*").alias("weight"))
+        linked = weights.join(link_counts(roots, weights, sets, percent), "class", "left")
+        linked = linked.select("class", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        named = named.join(linked, "class", "left")
+        names.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return named.select(*names)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

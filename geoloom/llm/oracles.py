@@ -16,8 +16,10 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b
 links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = r),
-comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id),
+degree AS (SELECT a AS doc_id, count(*) AS m FROM edges GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(m, 0)::BIGINT AS n_links
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT JOIN degree USING (doc_id)
 """
 
 OP3 = rf"""

@@ -23,8 +23,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_components(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    found = jaccard_components(_table(spark, sf_dir, "documents"), count_links=True)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "n_links")
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,8 +87,11 @@ def components(rows):
 def test_join_components(spark, rows, monkeypatch, long_list, block, turns):
     for name, value in (("LONG_LIST", long_list), ("BLOCK", block), ("HUB_TURNS", turns), ("BUCKET_SHINGLES", 900), ("FLUSH", 500)):
         monkeypatch.setattr(ngram_join, name, value)
-    got = ngram_join.jaccard_components(frame(spark, rows)).select("id", "n_shingles", "component").collect()
-    assert sorted(map(tuple, got)) == sorted(components(rows))
+    got = ngram_join.jaccard_components(frame(spark, rows), count_links=True).collect()
+    assert sorted((r.id, r.n_shingles, r.component) for r in got) == sorted(components(rows))
+    sets = {i: shingles(t) for i, t in rows}
+    links = {i: sum(bool(a) and bool(b) and i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert {r.id: r.n_links for r in got} == links
 
 
 def test_join_keeps_links_when_the_sample_calls_lists_common(spark, rows, monkeypatch):
