@@ -2,17 +2,24 @@
 
 Base detection finds e-mail addresses, IP addresses, card numbers and phone numbers.  Each
 distinct value is a protected entity.  From the whole corpus it is counted in how many documents a
-term occurs at all, and in how many it occurs within ``NEAR`` words of an entity.  A term reveals an
-entity if knowing the term gives the entity away: P(entity | term) = documents with both near /
-documents with the term is at least ``DISCLOSURE``, on at least ``SUPPORT`` documents, and the
-pointwise mutual information log2(P(entity | term) / P(entity)) is at least ``BITS`` bits.
+term occurs at all (n), and in how many it shares the document with an entity (both).  A term
+reveals an entity if knowing the term gives the entity away: P(entity | term) = both / n is at
+least ``DISCLOSURE`` and above P(entity), on at least ``SUPPORT`` documents, and this is no chance:
+the log-likelihood ratio of P(entity | term) against P(entity) over the n documents,
+n * KL(both / n || P(entity)), is at least ``BITS`` bits.  The evidence adds up over documents, so
+an entity that stands in a third of all rows, or in a small table, can be given away as well.
 Revealing terms are generalised wherever they occur, as spans of kind "term".
 
-Scale: three scans and no shuffle of text.  Pairs (entity, term) exist only near entities; counts
-of terms over all documents are taken only for those terms, which are first recognised by a
-bitmap of fixed size (false positives are removed by the join that follows) and summed per batch
-before the shuffle.  Revealing terms are broadcast in blocks of ``BLOCK_TERMS``; each further block
-is one more pass over the row as it streams by.
+Scale: four scans and no shuffle of text.  An entity or pair in fewer than ``SUPPORT`` documents
+can't be given away, so pairs (entity, term) are made only for entities in at least that many
+(recognised by a bitmap of fixed size, false positives are removed by the counts that follow), and
+are summed within tasks before the shuffle.  Beside them it is counted in how many of these
+documents a term occurs; that is at most n, so a pair whose share of it is under ``DISCLOSURE``
+can't reach ``DISCLOSURE`` of n either and goes.  For a term only the rarest entity of each number of
+shared documents is kept, as the others have less evidence on the same share.  Counts of terms over
+all documents are taken only for terms of such pairs, again by a bitmap.  Revealing terms are
+broadcast in blocks of ``BLOCK_TERMS``; each further block is one more pass over the row as it
+streams by.
 
 Entities and terms are counted by 64-bit hashes.  Spans are code points, end exclusive.
 
@@ -33,12 +40,12 @@ from pyspark.sql import DataFrame, functions as F
 from geoloom.llm.textkernel import ALNUM, LOWER, U64, cut, pieces, text_buffer, words_of
 from geoloom.llm.workspace import renewed, stored
 
-NEAR = 4
 SUPPORT = 3
 DISCLOSURE = 0.8
 BITS = 6.0
 BLOCK_TERMS = 200_000
 BITMAP_BITS = 23
+FLUSH = 1_000_000
 TERM_BYTES = 3
 
 #: Kinds and patterns, in the order of the result.
@@ -79,7 +86,7 @@ def base_spans(text: str, digits: bool = True) -> list[tuple[int, int, int, str]
 
 
 class Scanned:
-    """Base spans of the texts of a batch, and its terms with code-point places when asked."""
+    """Base spans of the texts of a batch."""
 
     def __init__(self, column: pa.Array):
         self.data, self.offsets = text_buffer(column)
@@ -97,13 +104,6 @@ class Scanned:
     def text(self, t: int) -> str:
         return self.raw[self.offsets[t] : self.offsets[t + 1]].decode()
 
-    def words(self):
-        return cut(LOWER[self.data], self.offsets, ALNUM)
-
-    def points(self) -> np.ndarray:
-        """Code points before each byte."""
-        return np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
-
 
 def _entity(kind: int, value: str) -> int:
     import hashlib
@@ -111,36 +111,56 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(docs: DataFrame, text_col: str, near: int) -> DataFrame:
-    """(entity, term) once for each document in which the term stands near the entity."""
+def _together(docs: DataFrame, text_col: str, entities: DataFrame, bits: int) -> DataFrame:
+    """(entity, term, n): documents that have both, for terms outside base spans; entities that
+    are not among ``entities`` may stand among them.  With a null entity: documents with the term,
+    of those that have any of these entities."""
+    flags = docs.sparkSession.sparkContext.broadcast(_bitmap(entities.select(F.col("entity").alias("term")), bits))
+
+    def summed(held) -> pa.RecordBatch:
+        entity, term, none = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((term, entity, none))
+        entity, term, none = entity[order], term[order], none[order]
+        first = np.flatnonzero(np.concatenate(([True], (entity[1:] != entity[:-1]) | (term[1:] != term[:-1]) | (none[1:] != none[:-1]))))
+        n = np.diff(np.append(first, len(entity)))
+        return pa.RecordBatch.from_arrays([pa.array(entity[first], mask=none[first]), pa.array(term[first]), pa.array(n, pa.int64())], ["entity", "term", "n"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for whole in batches:
             for batch in pieces(whole, text_col):
-                seen = Scanned(batch.column(text_col))
-                if not seen.spans:
+                spans_of = Scanned(batch.column(text_col)).spans
+                own = {t: np.unique(np.array([_entity(k, v) for _, k, _, v in spans], np.int64)) for t, spans in spans_of.items()}
+                own = {t: x for t, keys in own.items() if len(x := keys[flags.value[(keys.view(U64) >> U64(64 - bits)).astype(np.int64)]])}
+                if not own:
                     continue
-                w, points = seen.words(), seen.points()
-                entities, terms = [], []
-                for t, spans in seen.spans.items():
-                    a, b = int(w.first[t]), int(w.first[t + 1])
-                    shift = points[seen.offsets[t]]
+                data, offsets = text_buffer(batch.column(text_col).take(pa.array(list(own))))
+                w = cut(LOWER[data], offsets, ALNUM)
+                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                for i, (t, keys) in enumerate(own.items()):
+                    a, b = int(w.first[i]), int(w.first[i + 1])
+                    shift = points[offsets[i]]
                     start, end = points[w.starts[a:b]] - shift, points[w.ends[a:b]] - shift
-                    outside = np.ones(b - a, bool)
-                    for s, _, e, _ in spans:
-                        outside &= (end <= s) | (start >= e)
-                    outside &= (w.ends[a:b] - w.starts[a:b]) >= TERM_BYTES
-                    own = set()
-                    for s, kind, e, value in spans:
-                        lo, hi = int(np.searchsorted(end, s, "right")), int(np.searchsorted(start, e, "left"))
-                        around = np.concatenate((np.arange(max(0, lo - near), lo), np.arange(hi, min(b - a, hi + near))))
-                        key = _entity(kind, value)
-                        own |= {(key, h) for h in w.hashes[a + around[outside[around]]].view(np.int64).tolist()}
-                    entities += [x for x, _ in own]
-                    terms += [x for _, x in own]
-                yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(terms, pa.int64())], ["entity", "term"])
-
-    return docs.select(text_col).mapInArrow(run, "entity long, term long")
+                    outside = (w.ends[a:b] - w.starts[a:b]) >= TERM_BYTES
+                    for s, _, e, _ in spans_of[t]:
+                        outside[np.searchsorted(end, s, "right") : np.searchsorted(start, e, "left")] = False
+                    terms = np.unique(w.hashes[a:b][outside]).view(np.int64)
+                    if not len(terms):
+                        continue
+                    held.append((np.zeros(len(terms), np.int64), terms, np.ones(len(terms), bool)))
+                    size += len(terms)
+                    step = max(1, FLUSH // len(terms))
+                    for j in range(0, len(keys), step):
+                        some = keys[j : j + step]
+                        held.append((np.repeat(some, len(terms)), np.tile(terms, len(some)), np.zeros(len(some) * len(terms), bool)))
+                        size += len(some) * len(terms)
+                        if size >= FLUSH:
+                            yield summed(held)
+                            held, size = [], 0
+        if held:
+            yield summed(held)
+
+    return docs.select(text_col).mapInArrow(run, "entity long, term long, n long")
 
 
 def _entities(docs: DataFrame, text_col: str) -> DataFrame:
@@ -167,12 +187,16 @@ def _bitmap(terms: DataFrame, bits: int) -> np.ndarray:
 
 
 def _spread(docs: DataFrame, text_col: str, terms: DataFrame, bits: int) -> DataFrame:
-    """(term, n): in how many documents each of the terms occurs."""
+    """(term, n): in how many documents each of the terms occurs; others that share their flags may stand among them."""
     flags = docs.sparkSession.sparkContext.broadcast(_bitmap(terms, bits))
 
+    def summed(found, count):
+        own, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        return own, np.bincount(inverse, np.concatenate(count), len(own)).astype(np.int64)
+
     def run(batches):
+        found, count, size = [], [], 0
         for whole in batches:
-            found, count = [], []
             for batch in pieces(whole, text_col):
                 w = words_of(batch.column(text_col), ALNUM, lower=True)
                 on = flags.value[(w.hashes >> U64(64 - bits)).astype(np.int64)]
@@ -184,26 +208,45 @@ def _spread(docs: DataFrame, text_col: str, terms: DataFrame, bits: int) -> Data
                 own, n = np.unique(value[fresh], return_counts=True)
                 found.append(own)
                 count.append(n)
-            value, n = np.concatenate(found), np.concatenate(count)
-            own, inverse = np.unique(value, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(inverse, n, len(own)).astype(np.int64))], ["term", "n"])
+                size += len(own)
+                if size >= FLUSH:
+                    own, n = summed(found, count)
+                    found, count, size = [own], [n], len(own)
+                    if size >= FLUSH // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["term", "n"])
+                        found, count, size = [], [], 0
+        if found:
+            own, n = summed(found, count)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["term", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _divergence(share, chance):
+    """Bits by which a document with probability ``share`` tells it from one with ``chance``."""
+
+    def part(x, y):
+        return F.when(x > 0, x * F.log2(x / y)).otherwise(0.0)
 
-    counts = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counts.join(terms, "term", "left_semi")
+    return part(share, chance) + part(1 - share, 1 - chance)
 
 
 def revealing_terms(
-    docs: DataFrame, text_col: str = "text", near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS, bitmap_bits: int = BITMAP_BITS
+    docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS, bitmap_bits: int = BITMAP_BITS
 ) -> DataFrame:
     """(term): hashes of the terms that give an entity away."""
-    pairs = _near(docs, text_col, near).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = stored(pairs, "pii-pairs")
+    entities = _entities(docs, text_col).groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
+    entities = stored(entities, "pii-entities")
+    together = _together(docs, text_col, entities, bitmap_bits).groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support)
+    together = stored(together, "pii-together")
+    pairs = together.join(entities, "entity").groupBy("term", "both").agg(F.min("with_entity").alias("with_entity"))
+    least = together.where("entity is null").select("term", F.col("both").alias("least"))
+    pairs = stored(pairs.join(least, "term").where(F.col("both") / F.col("least") >= disclosure).drop("least"), "pii-pairs")
     terms = stored(pairs.select("term").distinct(), "pii-terms")
     total = docs.count()
     spread = _spread(docs, text_col, terms, bitmap_bits)
-    of_entity = _entities(docs, text_col).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    told = F.col("both") / F.col("n")
-    judged = pairs.join(spread, "term").join(of_entity, "entity").where((told >= disclosure) & (F.log2(told * total / F.col("with_entity")) >= bits))
+    told, chance = F.col("both") / F.col("n"), F.col("with_entity") / F.lit(total)
+    judged = pairs.join(spread, "term").where((told >= disclosure) & (told > chance) & (F.col("n") * _divergence(told, chance) >= bits))
     return stored(judged.select("term").distinct(), "pii-revealing")
 
 

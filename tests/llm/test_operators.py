@@ -422,6 +422,21 @@ def test_private_data(spark, block_terms):
     assert got[0].sanitised == "write to [EMAIL] now"
 
 
+def test_private_data_by_default_thresholds(spark):
+    """Small tables, an entity of a third of all rows, and names far from it; no term that stands everywhere."""
+    far = "zanzibar has many common words that stand here between the name and the address a@isle.org every day"
+    rows = [(i, far) for i in range(20)] + [(100 + i, f"many common words that stand here every day between {i}") for i in range(39)] + [(200, "zanzibar again")]
+    got = {r.doc_id: r for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert got[200].sanitised == "[TERM] again"
+    assert got[0].sanitised.startswith("[TERM] [TERM] many common words that stand here between")
+    assert all(got[100 + i].spans == "" for i in range(39))
+    rows = [(i, f"Quentin wrote a long line of words and then b{i % 2}@isle.org") for i in range(3)] + [(i, "a long line of words and then none") for i in range(10, 50)]
+    assert pii.sanitise(frame(spark, rows)).where("n_term > 0").count() == 0
+    rows = [(i, "Quentin wrote a long line of words and then b@isle.org") for i in range(3)] + rows[3:] + [(60, "Quentin left")]
+    assert {r.doc_id for r in pii.sanitise(frame(spark, rows)).where("n_term > 0").collect()} == {0, 1, 2}
+    assert {r.doc_id for r in pii.sanitise(frame(spark, rows[:-1])).where("sanitised like '[TERM] [TERM] a long%'").collect()} == {0, 1, 2}
+
+
 def test_private_data_odd_rows(spark):
     got = pii.sanitise(odd(spark))
     assert got.count() == len(ODD)
