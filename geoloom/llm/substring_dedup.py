@@ -7,11 +7,13 @@ with each run and with the batch itself.  A window found in a run, or in the bat
 id, is a repeat; every word that a repeat covers is removed.  The batch's new hashes become a run
 of their own, and runs are compacted into one when there are ``FANOUT`` of them.
 
-Verification: a window is compared by 64 bits that are independent of the hash that picks its
-bucket.  Two different windows agree in both with probability 2**-64 / buckets, so over n windows
-about n**2 / (buckets * 2**65) are expected to be taken for repeats: under 1e-4 for 10**8 windows.
+Verification: a window has two 64-bit hashes, the second over word hashes of its own seed.  The upper
+half of the second picks the bucket; there the first and the lower half of the second must both agree.
+Two different windows do so with probability 2**-96 / buckets, so over n windows about
+n**2 / (buckets * 2**97) are expected to be taken for repeats: under 1e-13 for the 5 * 10**9 windows
+and 5000 buckets of 30 GB.
 
-Scale: window hashes travel as packed blobs (about 9 bytes a window), never as rows.  Copies
+Scale: window hashes travel as packed blobs (about 13 bytes a window), never as rows.  Copies
 meet first within the task that reads them: there only the smallest id of a hash is sent on and
 the others are settled at once, so a window that a third of all documents share reaches its bucket
 once per task, not once per document.  Bucket count follows the input, so a bucket stays at about
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoloom.llm.textkernel import NON_SPACE, U64, cut, inner, mix, pieces, text_buffer, windows, words_of
+from geoloom.llm.textkernel import NON_SPACE, U64, cut, inner, pieces, segment_hashes, text_buffer, windows, words_of
 from geoloom.llm.workspace import lean, renewed, shared_folder
 
 WINDOW = 13
@@ -42,32 +44,61 @@ FLUSH = 400_000
 FANOUT = 4
 BATCHES = 2
 _LAST = np.iinfo(np.int64).max
-_FIELDS = ("id", "row", "count", "hash", "gap")
+_FIELDS = ("id", "row", "count", "hash", "check", "gap")
 _SENT = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _FIELDS)
 _POSTINGS, _RUN, _SETTLED = 0, 1, 2
 
 
-def _planes(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted hashes as byte planes: generic compression then stores the high bytes in no space."""
-    return np.ascontiguousarray(sorted_hashes.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _planes(hashes: np.ndarray, checks: np.ndarray) -> bytes:
+    """Sorted hashes as byte planes (generic compression then stores the high bytes in no space),
+    then the checks in the same order."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() + checks.astype("<u4").tobytes()
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+def _from_planes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 12
+    hashes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).reshape(-1).view("<u8")
+    return hashes, np.frombuffer(raw, "<u4", n, 8 * n)
 
 
-def _grouped(bucket, kind: int, doc, place, hashes, ids, rows) -> list[dict]:
+def _ordered(value: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): places sorted by value, then check, and where a pair differs from the one before."""
+    order = np.argsort(value)
+    v, c = value[order], check[order]
+    if ((v[1:] == v[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((check, value))
+        v, c = value[order], check[order]
+    head = np.ones(len(v), bool)
+    head[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
+    return order, head
+
+
+def _among(run: tuple[np.ndarray, np.ndarray], value: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which pairs stand in a sorted run."""
+    found = np.zeros(len(value), bool)
+    at, rest = np.searchsorted(run[0], value), np.arange(len(value))
+    while len(rest):
+        rest = rest[at[rest] < len(run[0])]
+        rest = rest[run[0][at[rest]] == value[rest]]
+        found[rest] = run[1][at[rest]] == check[rest]
+        rest = rest[~found[rest]]
+        at[rest] += 1
+    return found
+
+
+def _grouped(bucket, kind: int, doc, place, hashes, checks, ids, rows) -> list[dict]:
     """Blobs per bucket of postings that are sorted by document and place."""
     order = np.argsort(bucket, kind="stable")
     bucket, doc, place = bucket[order], doc[order], place[order]
-    hashes = hashes[order] if hashes is not None else None
+    if hashes is not None:
+        hashes, checks = hashes[order], checks[order].astype("<u4")
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     out = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         own, count = np.unique(doc[a:b], return_counts=True)
         out.append({
             "bucket": int(bucket[a]), "kind": kind, "id": ids[own].tobytes(), "row": rows[own].tobytes(), "count": count.astype("<i4").tobytes(),
-            "hash": b"" if hashes is None else hashes[a:b].tobytes(), "gap": _gaps(place[a:b], count),
+            "hash": b"" if hashes is None else hashes[a:b].tobytes(), "check": b"" if hashes is None else checks[a:b].tobytes(), "gap": _gaps(place[a:b], count),
         })
     return out
 
@@ -98,30 +129,31 @@ def _send(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in _FIELDS]])
 
     def flush(held) -> pa.RecordBatch:
-        base, columns = 0, [[] for _ in range(5)]
-        for ids, rows, doc, place, value in held:
-            for c, x in zip(columns, (ids, rows, doc + base, place, value), strict=True):
+        base, columns = 0, [[] for _ in range(6)]
+        for ids, rows, doc, place, value, check in held:
+            for c, x in zip(columns, (ids, rows, doc + base, place, value, check), strict=True):
                 c.append(x)
             base += len(ids)
-        ids, rows, doc, place, value = (np.concatenate(c) for c in columns)
-        order = np.argsort(value)
-        same = np.zeros(len(value) + 1, bool)
-        same[1:-1] = value[order][1:] == value[order][:-1]
+        ids, rows, doc, place, value, check = (np.concatenate(c) for c in columns)
+        order, head = _ordered(value, check)
+        group = np.empty(len(value), np.int64)
+        group[order] = np.cumsum(head) - 1
+        same = np.append(~head, False)
         shared = order[same[1:] | same[:-1]]
-        shared = shared[np.lexsort((ids[doc[shared]], value[shared]))]
+        shared = shared[np.lexsort((ids[doc[shared]], group[shared]))]
         settled = np.zeros(len(value), bool)
         if len(shared):
-            v, i = value[shared], ids[doc[shared]]
+            v, i = group[shared], ids[doc[shared]]
             start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             least = np.repeat(i[start], np.diff(np.append(start, len(v))))
             settled[shared] = i > least
         out = []
         if settled.any():
-            out += _grouped(-1 - (rows[doc[settled]].view(U64) % U64(buckets)).astype(np.int64), _SETTLED, doc[settled], place[settled], None, ids, rows)
+            out += _grouped(-1 - (rows[doc[settled]].view(U64) % U64(buckets)).astype(np.int64), _SETTLED, doc[settled], place[settled], None, None, ids, rows)
         on = ~settled
         if on.any():
-            bucket = ((mix(value[on] ^ U64(0x5851F42D4C957F2D)) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-            out += _grouped(bucket, _POSTINGS, doc[on], place[on], value[on], ids, rows)
+            bucket = ((check[on] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+            out += _grouped(bucket, _POSTINGS, doc[on], place[on], value[on], check[on] & U64(0xFFFFFFFF), ids, rows)
         return pa.RecordBatch.from_pylist(out, schema)
 
     def run(batches):
@@ -133,7 +165,8 @@ def _send(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                 if len(at):
                     doc = w.text_of[at]
                     ids = batch.column("id").fill_null(_LAST).to_numpy(zero_copy_only=False)
-                    held.append((ids, batch.column("row").to_numpy(), doc, at - w.first[doc], windows(w.hashes, window)[at]))
+                    second = segment_hashes(w.data, w.starts, w.ends, seed=1)
+                    held.append((ids, batch.column("row").to_numpy(), doc, at - w.first[doc], windows(w.hashes, window)[at], windows(second, window, seed=1)[at]))
                     size += len(at)
                 if size >= FLUSH:
                     yield flush(held)
@@ -182,7 +215,7 @@ def _merger(keep_run: bool, parts: int):
         bucket = table.column("bucket")[0].as_py()
         runs = [_from_planes(blobs["hash"][i]) for i in np.flatnonzero(kinds == _RUN)]
         mine = np.flatnonzero(kinds != _RUN)
-        ids, rows, count, place, value = [], [], [], [], []
+        ids, rows, count, place, value, check = [], [], [], [], [], []
         for i in mine:
             c = np.frombuffer(blobs["count"][i], "<i4")
             ids.append(np.frombuffer(blobs["id"][i], "<i8"))
@@ -190,39 +223,38 @@ def _merger(keep_run: bool, parts: int):
             count.append(c)
             place.append(_places(blobs["gap"][i], c))
             value.append(np.frombuffer(blobs["hash"][i], "<u8"))
+            check.append(np.frombuffer(blobs["check"][i], "<u4"))
         out = []
-        fresh = np.zeros(0, U64)
+        fresh = fresh_check = np.zeros(0, U64)
         if len(mine):
-            ids, rows, count, place, value = (np.concatenate(x) for x in (ids, rows, count, place, value))
+            ids, rows, count, place, value, check = (np.concatenate(x) for x in (ids, rows, count, place, value, check))
             owner = np.repeat(np.arange(len(ids), dtype=np.int32), count)
             if bucket >= 0:
-                order = np.argsort(value)
-                sorted_value = value[order]
-                head = np.concatenate(([True], sorted_value[1:] != sorted_value[:-1]))
-                fresh = sorted_value[head]
+                order, head = _ordered(value, check)
+                fresh, fresh_check = value[order[head]], check[order[head]]
                 known = np.zeros(len(fresh), bool)
                 for run in runs:
-                    at = np.minimum(np.searchsorted(run, fresh), len(run) - 1)
-                    known |= run[at] == fresh
+                    known |= _among(run, fresh, fresh_check)
                 group = np.cumsum(head) - 1
                 i = ids[owner[order]]
                 least = np.minimum.reduceat(i, np.flatnonzero(head))
                 repeat = np.zeros(len(value), bool)
                 repeat[order] = known[group] | (i > least[group])
-                fresh = fresh[~known]
+                fresh, fresh_check = fresh[~known], fresh_check[~known]
                 owner, place = owner[repeat], place[repeat]
             if len(owner):
                 out = _packed(rows, owner, place, parts)
         if keep_run and len(fresh):
-            out.append({"kind": _RUN, "bucket": bucket, "row": b"", "count": b"", "blob": _planes(fresh)})
+            out.append({"kind": _RUN, "bucket": bucket, "row": b"", "count": b"", "blob": _planes(fresh, fresh_check)})
         return pa.Table.from_pylist(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("row", pa.binary()), ("count", pa.binary()), ("blob", pa.binary())]))
 
     return merge
 
 
 def _compacted(table: pa.Table) -> pa.Table:
-    merged = np.unique(np.concatenate([_from_planes(x) for x in table.column("blob").to_pylist()]))
-    return pa.table({"bucket": table.column("bucket")[:1], "blob": pa.array([_planes(merged)], pa.binary())})
+    value, check = (np.concatenate(x) for x in zip(*[_from_planes(x) for x in table.column("blob").to_pylist()], strict=True))
+    order, head = _ordered(value, check)
+    return pa.table({"bucket": table.column("bucket")[:1], "blob": pa.array([_planes(value[order[head]], check[order[head]])], pa.binary())})
 
 
 class FingerprintIndex:

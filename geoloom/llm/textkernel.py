@@ -22,7 +22,8 @@ CHUNK_BYTES = 1 << 19
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=U64)
+#: Per seed of word hashes.
+_BYTE_VALUES = [np.random.default_rng(20240229 + seed).integers(1, 1 << 64, 256, dtype=U64) for seed in range(2)]
 _STEP = U64(0xD6E8FEB86659FD93)
 
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -110,14 +111,14 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = to
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range of data."""
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each byte range of data; those of seeds 0 and 1 are independent."""
     n = len(data)
     if not n:
         return np.zeros(len(starts), U64)
     up, down = _grown(n)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_VALUE[data] * up[:n], out=sums[1:])
+    np.cumsum(_BYTE_VALUES[seed][data] * up[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 

@@ -181,6 +181,16 @@ def test_substrings(spark, rows, monkeypatch, batches):
     assert sorted(map(tuple, got)) == sorted(without_repeats(rows))
 
 
+def test_substrings_whose_first_hashes_collide(spark, rows, monkeypatch):
+    """The second hash tells windows apart, within a task, in a bucket and against runs."""
+    real = substring_dedup.windows
+    monkeypatch.setattr(substring_dedup, "windows", lambda hashes, k, seed=0: real(hashes, k, seed) if seed else real(hashes, k) & np.uint64(7))
+    for name, value in (("BUCKET_WINDOWS", 700), ("FLUSH", 300), ("FANOUT", 2)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = substring_dedup.dedup_substrings(frame(spark, rows), batches=4).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got)) == sorted(without_repeats(rows))
+
+
 def test_substrings_odd_rows(spark):
     key = lambda r: str(tuple(r))
     got = substring_dedup.dedup_substrings(odd(spark)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
