@@ -1,52 +1,60 @@
 """Operator 3: exact substring deduplication with a log-structured index of window hashes.
 
 A window is 13 consecutive words of one document.  Documents arrive in batches of rising ids.
-The index holds, per hash range ("bucket"), sorted immutable runs of the hashes of all windows
-seen before; a batch sends its windows to the buckets, where its sorted hashes are merge-joined
-with each run and with the batch itself.  A window found in a run, or in the batch under a smaller
+The index holds sorted immutable runs of the hashes of all windows seen before, cut into ranges of
+the hash ("buckets").  A batch sends its windows to the buckets; there its sorted hashes are merged
+with the sorted runs, one pass over both.  A window found in a run, or in the batch under a smaller
 id, is a repeat; every word that a repeat covers is removed.  The batch's new hashes become a run
-of their own, and runs are compacted into one when there are ``FANOUT`` of them.
-
-Verification: a window has two 64-bit hashes, the second over word hashes of its own seed.  The upper
-half of the second picks the bucket; there the first and the lower half of the second must both agree.
-Two different windows do so with probability 2**-96 / buckets, so over n windows about
-n**2 / (buckets * 2**97) are expected to be taken for repeats: under 1e-13 for the 5 * 10**9 windows
-and 5000 buckets of 30 GB.
-
-Scale: window hashes travel as packed blobs (about 13 bytes a window), never as rows.  Copies
-meet first within the task that reads them: there only the smallest id of a hash is sent on and
-the others are settled at once, so a window that a third of all documents share reaches its bucket
-once per task, not once per document.  Bucket count follows the input, so a bucket stays at about
+of their own, and ``FANOUT`` runs are compacted into one.  ``dedup_substrings`` cuts a corpus into
+``BATCHES`` batches, keeps the run of each and saves the index, so that a later batch can be
+held against it (``FingerprintIndex.open`` and ``add``).
+
+Verification: a window has two 64-bit hashes, the second over word hashes of its own seed.  The first
+picks the bucket; the first and the lower half of the second must both agree.  Two different windows
+do so with probability 2**-96, so over n windows about n**2 / 2**97 are expected to be taken for
+repeats: 2e-10 for the 5 * 10**9 windows of 30 GB, 2e-3 for the 1.6 * 10**13 of 100 TB.
+
+Scale: runs lie as bucketed tables, so a batch is the only thing that moves: history is read by
+the task of its bucket, and compaction shuffles nothing.  Window hashes travel as packed blobs
+(about 14 bytes a window), never as rows.  Copies meet first within the task that reads them: there
+only the smallest id of a hash is sent on and the others are settled at once, so a window that a
+third of all documents share reaches its bucket once per task, not once per document.  Bucket count
+follows the first corpus and doubles at compactions as history grows, so a bucket stays near
 ``BUCKET_WINDOWS`` windows.  Positions of repeats come back in blobs dealt by document, are
-put together there and joined to the text by a hash of (id, text).
+put together there and joined to the text by its id and a hash of (id, text).
 
 Defined results: words are runs of characters other than space and U+0009-000D, unchanged; null or
 wordless texts have n_words 0; a text of fewer than 13 words loses nothing; a window repeated
 only within its document, or only in rows of the same id, stays; a null id counts as larger than
-any other; identical rows get identical results; an empty table gives an empty result.
+any other; identical rows get identical results; an empty table gives an empty result.  Input
+columns of the names of output columns are replaced, all others stay; names that begin with
+``_geoloom`` are reserved.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geoloom.llm.textkernel import NON_SPACE, U64, cut, inner, pieces, segment_hashes, text_buffer, windows, words_of
-from geoloom.llm.workspace import lean, renewed, shared_folder
+from geoloom.llm.workspace import discarded, lean, renewed, shared_folder
 
 WINDOW = 13
-BUCKET_WINDOWS = 1_000_000
+BUCKET_WINDOWS = 2_000_000
 FLUSH = 400_000
 FANOUT = 4
-BATCHES = 2
+BATCHES = 6
 _LAST = np.iinfo(np.int64).max
 _FIELDS = ("id", "row", "count", "hash", "check", "gap")
 _SENT = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _FIELDS)
 _POSTINGS, _RUN, _SETTLED = 0, 1, 2
+_OWN, _ROW, _PLACES = "_geoloom_own", "_geoloom_row", "_geoloom_places"
 
 
 def _planes(hashes: np.ndarray, checks: np.ndarray) -> bytes:
@@ -73,19 +81,30 @@ def _ordered(value: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, head
 
 
-def _among(run: tuple[np.ndarray, np.ndarray], value: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Which pairs stand in a sorted run."""
+def _known(runs: list[tuple[np.ndarray, np.ndarray]], value: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which of the sorted, distinct pairs (value, check) stand in a sorted run.
+
+    A merge join: the stable sort finds the sorted runs one after another and merges them in one
+    pass; pairs that meet a hash of their own value there are then compared by both hashes."""
+    values, checks = (np.concatenate(x) for x in zip(*runs, (value, check), strict=True))
+    old = len(values) - len(value)
+    order = np.argsort(values, kind="stable")
+    near = np.zeros(len(order) + 1, bool)
+    near[1:-1] = values[order[1:]] == values[order[:-1]]
+    met = order[near[1:] | near[:-1]]
+    met = met[np.lexsort((met, checks[met], values[met]))]
+    a, b = met[:-1], met[1:]
+    same = (values[a] == values[b]) & (checks[a] == checks[b]) & (b >= old)
     found = np.zeros(len(value), bool)
-    at, rest = np.searchsorted(run[0], value), np.arange(len(value))
-    while len(rest):
-        rest = rest[at[rest] < len(run[0])]
-        rest = rest[run[0][at[rest]] == value[rest]]
-        found[rest] = run[1][at[rest]] == check[rest]
-        rest = rest[~found[rest]]
-        at[rest] += 1
+    found[b[same] - old] = True
     return found
 
 
+def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
+    """Range of the first hash; twice as many buckets cut each in two."""
+    return ((value >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
 def _grouped(bucket, kind: int, doc, place, hashes, checks, ids, rows) -> list[dict]:
     """Blobs per bucket of postings that are sorted by document and place."""
     order = np.argsort(bucket, kind="stable")
@@ -152,7 +171,7 @@ def _send(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             out += _grouped(-1 - (rows[doc[settled]].view(U64) % U64(buckets)).astype(np.int64), _SETTLED, doc[settled], place[settled], None, None, ids, rows)
         on = ~settled
         if on.any():
-            bucket = ((check[on] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+            bucket = _bucket(value[on], buckets)
             out += _grouped(bucket, _POSTINGS, doc[on], place[on], value[on], check[on] & U64(0xFFFFFFFF), ids, rows)
         return pa.RecordBatch.from_pylist(out, schema)
 
@@ -177,10 +196,11 @@ def _send(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     return docs.select("id", "row", "text").mapInArrow(run, _SENT)
 
 
-_MERGED = "kind int, bucket int, row binary, count binary, blob binary"
+_MERGED = "kind int, bucket int, part int, own binary, row binary, count binary, blob binary"
+_COLUMNS = [("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("own", "row", "count", "blob")]]
 
 
-def _packed(rows: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: int) -> list[dict]:
+def _packed(ids: np.ndarray, rows: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: int, bucket: int) -> list[dict]:
     """Repeats dealt by a hash of their document: a blob per part, not a row per document."""
     part = (rows[owner].view(U64) % U64(parts)).astype(np.int64)
     order = np.lexsort((place, owner, part))
@@ -189,79 +209,80 @@ def _packed(rows: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: int)
     out = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         own, count = np.unique(owner[a:b], return_counts=True)
-        out.append({"kind": _SETTLED, "bucket": int(part[a]), "row": rows[own].tobytes(), "count": count.astype("<i4").tobytes(), "blob": place[a:b].astype("<u4").tobytes()})
+        out.append({"kind": _SETTLED, "bucket": bucket, "part": int(part[a]), "own": ids[own].tobytes(), "row": rows[own].tobytes(), "count": count.astype("<i4").tobytes(), "blob": place[a:b].astype("<u4").tobytes()})
     return out
 
 
 def _per_document(table: pa.Table) -> pa.Table:
-    """(row, places) once for each document of a part."""
-    col = {c: b"".join(table.column(c).to_pylist()) for c in ("row", "count", "blob")}
-    rows = np.repeat(np.frombuffer(col["row"], "<i8"), np.frombuffer(col["count"], "<i4"))
+    """(own, row, places) once for each document of a part."""
+    col = {c: b"".join(table.column(c).to_pylist()) for c in ("own", "row", "count", "blob")}
+    count = np.frombuffer(col["count"], "<i4")
+    ids, rows = (np.repeat(np.frombuffer(col[c], "<i8"), count) for c in ("own", "row"))
     place = np.frombuffer(col["blob"], "<u4")
-    order = np.lexsort((place, rows))
-    rows, place = rows[order], place[order]
-    fresh = np.ones(len(rows), bool)
-    fresh[1:] = (rows[1:] != rows[:-1]) | (place[1:] != place[:-1])
-    rows, place = rows[fresh], np.ascontiguousarray(place[fresh])
-    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    order = np.lexsort((place, ids, rows))
+    ids, rows, place = ids[order], rows[order], place[order]
+    start = np.ones(len(rows), bool)
+    start[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+    fresh = start.copy()
+    fresh[1:] |= place[1:] != place[:-1]
+    ids, rows, place, start = ids[fresh], rows[fresh], np.ascontiguousarray(place[fresh]), start[fresh]
+    first = np.flatnonzero(start)
     offsets = np.append(first, len(rows)).astype(np.int32)
-    return pa.table({"row": pa.array(rows[first]), "places": pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))})
-
-
-def _merger(keep_run: bool, parts: int):
-    def merge(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        blobs = {c: table.column(c).to_pylist() for c in _FIELDS}
-        bucket = table.column("bucket")[0].as_py()
-        runs = [_from_planes(blobs["hash"][i]) for i in np.flatnonzero(kinds == _RUN)]
-        mine = np.flatnonzero(kinds != _RUN)
-        ids, rows, count, place, value, check = [], [], [], [], [], []
-        for i in mine:
-            c = np.frombuffer(blobs["count"][i], "<i4")
-            ids.append(np.frombuffer(blobs["id"][i], "<i8"))
-            rows.append(np.frombuffer(blobs["row"][i], "<i8"))
-            count.append(c)
-            place.append(_places(blobs["gap"][i], c))
-            value.append(np.frombuffer(blobs["hash"][i], "<u8"))
-            check.append(np.frombuffer(blobs["check"][i], "<u4"))
+    return pa.table({_OWN: pa.array(ids[first]), _ROW: pa.array(rows[first]), _PLACES: pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))})
+
+
+def _merger(parts: int):
+    def merge(sent: pa.Table, history: pa.Table | None = None) -> pa.Table:
+        """Of one bucket: the batch's repeats, and its new hashes as a sorted run."""
+        blobs = {c: sent.column(c).to_pylist() for c in _FIELDS}
         out = []
-        fresh = fresh_check = np.zeros(0, U64)
-        if len(mine):
-            ids, rows, count, place, value, check = (np.concatenate(x) for x in (ids, rows, count, place, value, check))
-            owner = np.repeat(np.arange(len(ids), dtype=np.int32), count)
+        if len(sent):
+            bucket = sent.column("bucket")[0].as_py()
+            count = [np.frombuffer(x, "<i4") for x in blobs["count"]]
+            place = np.concatenate([_places(x, c) for x, c in zip(blobs["gap"], count, strict=True)])
+            ids, rows, value, check = (np.frombuffer(b"".join(blobs[c]), kind) for c, kind in (("id", "<i8"), ("row", "<i8"), ("hash", "<u8"), ("check", "<u4")))
+            owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate(count))
             if bucket >= 0:
                 order, head = _ordered(value, check)
                 fresh, fresh_check = value[order[head]], check[order[head]]
-                known = np.zeros(len(fresh), bool)
-                for run in runs:
-                    known |= _among(run, fresh, fresh_check)
+                runs = [_from_planes(x) for x in history.column("blob").to_pylist()] if history is not None else []
+                known = _known(runs, fresh, fresh_check)
                 group = np.cumsum(head) - 1
                 i = ids[owner[order]]
                 least = np.minimum.reduceat(i, np.flatnonzero(head))
                 repeat = np.zeros(len(value), bool)
                 repeat[order] = known[group] | (i > least[group])
-                fresh, fresh_check = fresh[~known], fresh_check[~known]
                 owner, place = owner[repeat], place[repeat]
+                if not known.all():
+                    out.append({"kind": _RUN, "bucket": bucket, "blob": _planes(fresh[~known], fresh_check[~known])})
             if len(owner):
-                out = _packed(rows, owner, place, parts)
-        if keep_run and len(fresh):
-            out.append({"kind": _RUN, "bucket": bucket, "row": b"", "count": b"", "blob": _planes(fresh, fresh_check)})
-        return pa.Table.from_pylist(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("row", pa.binary()), ("count", pa.binary()), ("blob", pa.binary())]))
+                out += _packed(ids, rows, owner, place, parts, bucket)
+        return pa.Table.from_pylist(out, pa.schema(_COLUMNS))
 
     return merge
 
 
-def _compacted(table: pa.Table) -> pa.Table:
-    value, check = (np.concatenate(x) for x in zip(*[_from_planes(x) for x in table.column("blob").to_pylist()], strict=True))
-    order, head = _ordered(value, check)
-    return pa.table({"bucket": table.column("bucket")[:1], "blob": pa.array([_planes(value[order[head]], check[order[head]])], pa.binary())})
+def _compactor(buckets: int):
+    def compacted(table: pa.Table) -> pa.Table:
+        """One sorted run of a bucket's runs, cut at the borders of as many buckets."""
+        value, check = (np.concatenate(x) for x in zip(*[_from_planes(x) for x in table.column("blob").to_pylist()], strict=True))
+        order, head = _ordered(value, check)
+        value, check = value[order[head]], check[order[head]]
+        bucket = _bucket(value, buckets)
+        edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        rows = [{"bucket": int(bucket[a]), "blob": _planes(value[a:b], check[a:b])} for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
+
+    return compacted
 
 
 class FingerprintIndex:
-    """Sorted runs of window hashes under one folder; ``runs`` are their paths, oldest first."""
+    """Sorted runs of window hashes under one folder; ``runs`` are the folders of bucketed files,
+    oldest first."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, window: int = WINDOW, runs: list[str] | None = None):
         self.spark, self.path, self.buckets, self.window, self.runs = spark, path.rstrip("/"), buckets, window, runs or []
+        self.compactions = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
@@ -272,49 +293,73 @@ class FingerprintIndex:
         state = json.dumps({"buckets": self.buckets, "window": self.window, "runs": self.runs})
         self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
 
-    def _history(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.runs) if self.runs else None
-
-    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Repeats of a batch (id, row, text) as packed window places, dealt by document; with
-        ``keep`` its new hashes become a run.  Ids must not lie below those added before."""
-        sent = _send(docs, self.buckets, self.window)
-        history = self._history()
-        if history is not None:
-            empty = F.lit(b"")
-            sent = sent.unionByName(history.select("bucket", F.lit(_RUN).alias("kind"), *[(F.col("blob") if c == "hash" else empty).alias(c) for c in _FIELDS]))
-        path = f"{self.path}/batch-{uuid.uuid4().hex}"
-        merged = sent.groupBy("bucket").applyInArrow(_merger(keep, self.buckets), _MERGED)
+    def _write(self, df: DataFrame, path: str, buckets: int, *partition: str) -> None:
+        """Files of a bucketed table; the catalogue forgets it, the files stay."""
+        name = f"geoloom_{uuid.uuid4().hex}"
         with lean(self.spark):
-            merged.write.partitionBy("kind").parquet(path)
+            df.write.partitionBy(*partition).bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+
+    @contextmanager
+    def _history(self) -> Iterator[DataFrame | None]:
+        """(bucket, blob) of all runs as one bucketed table, which exists while it is used."""
+        if not self.runs:
+            yield None
+            return
+        name = f"geoloom_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (bucket INT, blob BINARY, run INT) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/runs'")
+        try:
+            for i, run in enumerate(self.runs):
+                self.spark.sql(f"ALTER TABLE {name} ADD PARTITION (run={i}) LOCATION '{run}'")
+            yield self.spark.table(name).select("bucket", "blob")
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Repeats of a batch (id, row, text) as packed window places, dealt by document; its new
+        hashes become a run.  Ids must not lie below those added before."""
+        sent = _send(docs, self.buckets, self.window).repartition(self.buckets, "bucket").groupBy("bucket")
+        path, merge = f"{self.path}/batch-{uuid.uuid4().hex}", _merger(self.buckets)
+        with self._history() as history:
+            merged = sent.applyInArrow(lambda t: merge(t), _MERGED) if history is None else sent.cogroup(history.groupBy("bucket")).applyInArrow(lambda t, h: merge(t, h), _MERGED)
+            self._write(merged, path, self.buckets, "kind")
         out = self.spark.read.schema(_MERGED).parquet(path)
-        if keep and not out.where(F.col("kind") == _RUN).isEmpty():
+        if not out.where(F.col("kind") == _RUN).isEmpty():
             self.runs.append(f"{path}/kind={_RUN}")
             if len(self.runs) >= FANOUT:
                 self.compact()
-        return out.where(F.col("kind") == _SETTLED).select(F.col("bucket").alias("part"), "row", "count", "blob")
+        return out.where(F.col("kind") == _SETTLED).select("part", "own", "row", "count", "blob")
 
     def compact(self) -> None:
-        path = f"{self.path}/run-{uuid.uuid4().hex}"
-        with lean(self.spark):
-            self._history().select("bucket", "blob").groupBy("bucket").applyInArrow(_compacted, "bucket int, blob binary").write.parquet(path)
-        self.runs = [path]
-
-
-def _removed(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
-    """(other columns, text) with n_words, n_removed and kept_text."""
-    per_doc = repeats.groupBy("part").applyInArrow(_per_document, "row long, places array<int>").withColumnRenamed("places", "_places")
-    joined = docs.join(per_doc, "row", "left").drop("row")
-    shaped = joined.drop("_places").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")})
+        """All runs into one.  Where history has outgrown its buckets they are cut in two, as often as
+        it takes, and only then is the new run shuffled."""
+        path, buckets = f"{self.path}/run-{uuid.uuid4().hex}", self.buckets
+        with self._history() as history:
+            entries = (history.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // 12
+            while entries > 2 * BUCKET_WINDOWS * buckets:
+                buckets *= 2
+            made = history.groupBy("bucket").applyInArrow(_compactor(buckets), "bucket int, blob binary")
+            self._write(made if buckets == self.buckets else made.repartition(buckets, "bucket"), path, buckets)
+        for run in self.runs:
+            discarded(self.spark, run)
+        self.runs, self.buckets = [path], buckets
+        self.compactions += 1
+
+
+def _removed(docs: DataFrame, repeats: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """All columns of ``docs`` with n_words, n_removed and kept_text."""
+    per_doc = repeats.groupBy("part").applyInArrow(_per_document, f"{_OWN} long, {_ROW} long, {_PLACES} array<int>")
+    joined = docs.withColumns({_OWN: _own(id_col), _ROW: _row(id_col, text_col)}).join(per_doc, [_OWN, _ROW], "left").drop(_OWN, _ROW)
+    shaped = joined.drop(_PLACES).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")})
     names = shaped.columns
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                data, offsets = text_buffer(batch.column("text"))
+            for batch in pieces(whole, text_col):
+                data, offsets = text_buffer(batch.column(text_col))
                 w = cut(data, offsets, NON_SPACE, hashed=False)
                 delta = np.zeros(len(w.starts) + 1, np.int32)
-                places = batch.column("_places")
+                places = batch.column(_PLACES)
                 text, flat = places.value_parent_indices().to_numpy(), places.flatten().to_numpy()
                 at = flat + w.first[text]
                 delta[at] += 1
@@ -336,13 +381,22 @@ def _removed(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(run, shaped.schema)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """All columns of ``docs`` plus n_words, n_removed and kept_text (kept words, one space apart)."""
+def _own(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, index_path: str | None = None) -> DataFrame:
+    """All columns of ``docs`` plus n_words, n_removed and kept_text (kept words, one space apart).
+    The index of all windows is left under ``index_path``, by default in the shared folder."""
     spark = docs.sparkSession
     docs = renewed(docs, "n_words", "n_removed", "kept_text")
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
-    size = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    index = FingerprintIndex(spark, f"{shared_folder(spark)}/geoloom/windows-{uuid.uuid4().hex}", max(8, int(size / 6 / BUCKET_WINDOWS) + 1), window)
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _row(id_col, text_col).alias("row"))
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    index = FingerprintIndex(spark, index_path or f"{shared_folder(spark)}/geoloom/windows-{uuid.uuid4().hex}", max(8, int(size / 6 / BUCKET_WINDOWS) + 1), window)
     cuts = keyed.approxQuantile("id", [(i + 1) / batches for i in range(batches - 1)], 0.01) if batches > 1 else []
     repeats, low = None, None
     for i in range(len(cuts) + 1):
@@ -352,7 +406,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if i < len(cuts):
             low = int(cuts[i])
             part = part.where(F.col("id") <= low)
-        found = index.add(part, keep=i < len(cuts))
+        found = index.add(part)
         repeats = found if repeats is None else repeats.unionByName(found)
-    texts = docs.withColumnRenamed(text_col, "text").withColumn("row", F.xxhash64(F.col(id_col), F.col("text")))
-    return _removed(texts, repeats, window).withColumnRenamed("text", text_col)
+    index.save()
+    return _removed(docs, repeats, id_col, text_col, window)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,12 +15,16 @@ _LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """A folder of this application under spark.checkpoint.dir.  Where that is unset a temporary
+    folder serves a local master, whose executors see it; any other master is an error, since each
+    executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 @contextmanager
@@ -74,7 +79,13 @@ def shielded(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable
     return docs.withColumnsRenamed(aside), restore
 
 
-def drop_intermediates(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written under the shared folder; call it once results are out."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/geoloom")
+def discarded(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what this application's operators have left in the shared folder; call it once results
+    are out."""
+    discarded(spark, f"{shared_folder(spark)}/geoloom")

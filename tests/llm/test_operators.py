@@ -193,8 +193,49 @@ def test_substrings_whose_first_hashes_collide(spark, rows, monkeypatch):
 
 def test_substrings_odd_rows(spark):
     key = lambda r: str(tuple(r))
-    got = substring_dedup.dedup_substrings(odd(spark)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    made = substring_dedup.dedup_substrings(odd(spark))
+    assert sorted(made.columns) == sorted([*odd(spark).columns, "n_removed", "kept_text"])
+    assert made.where("_row = 1 AND Spans = 1 AND size = 2.5").count() == len(ODD)
+    got = made.select("doc_id", "n_words", "n_removed", "kept_text").collect()
     assert sorted(map(key, got)) == sorted(map(key, without_repeats(ODD)))
+    other = odd(spark).withColumnsRenamed({"text": "body", "kept": "text"})
+    assert sorted(map(key, substring_dedup.dedup_substrings(other, text_col="body").select("doc_id", "n_words", "n_removed", "kept_text").collect())) == sorted(map(key, without_repeats(ODD)))
+
+
+def test_index_is_compacted_grows_and_is_left_for_later_batches(spark, rows, monkeypatch, tmp_path):
+    """By default settings a corpus takes enough batches for a compaction; buckets double there."""
+    made, real = [], substring_dedup.FingerprintIndex.compact
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self: (made.append(len(self.runs)), real(self))[1])
+    path = f"file://{tmp_path}/i"
+    substring_dedup.dedup_substrings(frame(spark, rows), index_path=path).count()
+    assert made == [substring_dedup.FANOUT]
+    index = substring_dedup.FingerprintIndex.open(spark, path)
+    assert len(index.runs) == 1 + substring_dedup.BATCHES - substring_dedup.FANOUT
+    distinct = {tuple(w[j : j + 13]) for _, t in rows for w in [WORD.findall(t or "")] for j in range(len(w) - 12)}
+    held = lambda index: [x for r in index.runs for x in spark.read.parquet(r).collect()]
+    assert sum(len(x.blob) // 12 for x in held(index)) == len(distinct)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", len(distinct) // 50)
+    before = index.buckets
+    index.compact()
+    assert index.buckets > before
+    for x in held(index):
+        value, check = substring_dedup._from_planes(bytes(x.blob))
+        assert (substring_dedup._bucket(value, index.buckets) == x.bucket).all()
+        assert (np.lexsort((check, value)) == np.arange(len(value))).all()
+    again = frame(spark, [(10**9 + i, t) for i, t in rows]).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("row"), "text")
+    places = sum(len(r.blob) // 4 for r in index.add(again).collect())
+    assert places == sum(max(0, len(WORD.findall(t or "")) - 12) for _, t in rows)
+
+
+def test_history_is_not_shuffled(spark, rows, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/i", 8)
+    keyed = frame(spark, rows).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("row"), "text")
+    index.add(keyed)
+    with index._history() as history:
+        sent = substring_dedup._send(keyed, 8, 13).repartition(8, "bucket")
+        plan = sent.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda t, h: t, substring_dedup._SENT)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert "Bucketed: true" in plan
 
 
 def test_index_grows_by_batches_and_reopens(spark, tmp_path):
