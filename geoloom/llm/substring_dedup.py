@@ -46,7 +46,7 @@ from geoloom.llm.textkernel import NON_SPACE, U64, cut, inner, pieces, segment_h
 from geoloom.llm.workspace import discarded, lean, renewed, shared_folder
 
 WINDOW = 13
-BUCKET_WINDOWS = 2_000_000
+BUCKET_WINDOWS = 1_000_000
 FLUSH = 400_000
 FANOUT = 4
 BATCHES = 6
@@ -88,9 +88,10 @@ def _known(runs: list[tuple[np.ndarray, np.ndarray]], value: np.ndarray, check:
     pass; pairs that meet a hash of their own value there are then compared by both hashes."""
     values, checks = (np.concatenate(x) for x in zip(*runs, (value, check), strict=True))
     old = len(values) - len(value)
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    merged = values[order]
     near = np.zeros(len(order) + 1, bool)
-    near[1:-1] = values[order[1:]] == values[order[:-1]]
+    near[1:-1] = merged[1:] == merged[:-1]
     met = order[near[1:] | near[:-1]]
     met = met[np.lexsort((met, checks[met], values[met]))]
     a, b = met[:-1], met[1:]
@@ -242,11 +243,13 @@ def _merger(parts: int):
             place = np.concatenate([_places(x, c) for x, c in zip(blobs["gap"], count, strict=True)])
             ids, rows, value, check = (np.frombuffer(b"".join(blobs[c]), kind) for c, kind in (("id", "<i8"), ("row", "<i8"), ("hash", "<u8"), ("check", "<u4")))
             owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate(count))
+            blobs.clear()
             if bucket >= 0:
                 order, head = _ordered(value, check)
                 fresh, fresh_check = value[order[head]], check[order[head]]
                 runs = [_from_planes(x) for x in history.column("blob").to_pylist()] if history is not None else []
                 known = _known(runs, fresh, fresh_check)
+                runs.clear()
                 group = np.cumsum(head) - 1
                 i = ids[owner[order]]
                 least = np.minimum.reduceat(i, np.flatnonzero(head))
