@@ -8,14 +8,16 @@ evaluated on the bits, and only candidate rows are verified with the expression
 whose expression has no mandatory trigram (long hexadecimal runs) scan every text.
 
 Scale: the index holds a row for each (needed trigram, text) at most, its aggregation combines on
-the map side, and the bits are joined back by a hash of (id, text).  Nothing is broadcast.
+the map side, and the bits are joined back by a hash of (id, text); if two rows ever share that hash
+both are verified for either's rules, which changes no result.  Nothing is broadcast.
 
 Spans are code points of the text, end exclusive.  Kinds: assign, access, hex are fixed; the
 method adds private_key, github, slack, jwt and google.
 
 Defined results: null text counts as empty and has no spans; identical rows get identical results;
 a null id is an id like any other; an empty table gives an empty result.  Input columns that
-clash with output columns are replaced.
+clash with output columns are replaced, all others stay; names that begin with ``_geoloom`` are
+reserved.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from geoloom.llm.workspace import renewed, stored
 
 #: Marks the borders of matches; in the text it is first replaced by a neighbour that no rule mentions.
 _MARK, _OTHER = "\u0001", "\u0002"
+_ROW, _CANDIDATE, _FOUND = "_geoloom_row", "_geoloom_candidate", "_geoloom_found"
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_BITS = 62
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 1),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 1),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", 1),
 )
 
@@ -149,12 +154,14 @@ def _trigrams(query: Query) -> set[str]:
     return {query[1]} if query[0] == "tri" else set().union(*[_trigrams(q) for q in query[1:]])
 
 
-def _holds(query: Query, bits: Column, place: dict[str, int]) -> Column:
+def _holds(query: Query, place: dict[str, int]) -> Column:
+    """The query on the columns of bits that ``intersect`` makes."""
     if query is True:
         return F.lit(True)
     if query[0] == "tri":
-        return bits.bitwiseAND(F.lit(1 << place[query[1]])) != 0
-    parts = [_holds(q, bits, place) for q in query[1:]]
+        group, bit = divmod(place[query[1]], _BITS)
+        return F.col(f"bits{group}").bitwiseAND(F.lit(1 << bit)) != 0
+    parts = [_holds(q, place) for q in query[1:]]
     out = parts[0]
     for p in parts[1:]:
         out = (out & p) if query[0] == "and" else (out | p)
@@ -168,38 +175,41 @@ def row_key(id_col: str, text_col: str) -> Column:
 def build_index(docs: DataFrame, id_col: str, text_col: str, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, row): which rows' lower-cased texts contain which of the trigrams."""
     low = docs.select(row_key(id_col, text_col).alias("row"), F.lower(text_col).alias("_low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams])) if trigrams else F.array().cast("array<string>")
     return low.select("row", F.explode(present).alias("trigram")).select("trigram", "row")
 
 
 def intersect(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -> DataFrame:
-    """(row, candidate): candidate names the rules, by bit, whose query the row's postings satisfy."""
+    """(row, candidate): candidate lists the rules, by number, whose query the row's postings satisfy.
+    A row's postings are bits, 62 trigrams to a column."""
     place = {t: i for i, t in enumerate(trigrams)}
-    bit = F.element_at(F.create_map(*[x for t, i in place.items() for x in (F.lit(t), F.lit(1 << i))]), F.col("trigram"))
-    rows = index.groupBy("row").agg(F.bit_or(bit).alias("bits"))
-    mask = F.lit(0)
-    for k, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        if query is not True:
-            mask = mask.bitwiseOR(F.when(_holds(query, F.col("bits"), place), F.lit(1 << k)).otherwise(F.lit(0)))
-    return rows.select("row", mask.alias("candidate")).where("candidate != 0")
+    number = F.element_at(F.create_map(*[x for t, i in place.items() for x in (F.lit(t), F.lit(i))]), F.col("trigram"))
+    placed = index.select("row", number.alias("number")).withColumn("bit", F.expr(f"shiftleft(1L, number % {_BITS})"))
+    groups = range(-(-len(trigrams) // _BITS))
+    rows = placed.groupBy("row").agg(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("number") / _BITS) == g, F.col("bit"))), F.lit(0)).alias(f"bits{g}") for g in groups])
+    queries = [(k, trigram_query(rule.pattern)) for k, rule in enumerate(rules)]
+    holds = [F.when(_holds(q, place), F.lit(k)) for k, q in queries if q is not True]
+    found = F.array_compact(F.array(*holds)) if holds else F.array().cast("array<int>")
+    return rows.select("row", found.alias("candidate")).where(F.size("candidate") > 0)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, kind_order, end>> of the matches that pass."""
+    """array<struct<start, kind_order, end>> of the matches that pass.
+
+    Every match is put between marks.  The places of the marks among the characters, less the marks
+    before, are its borders; the parts between marks are the matches.  No step looks back, so a text of
+    very many matches takes linear time."""
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), f"({rule.pattern})", f"{_MARK}$1{_MARK}")
+    places = F.array_compact(F.transform(F.split(marked, ""), lambda c, i: F.when(c == _MARK, i)))
+    match = F.filter(F.split(marked, _MARK), lambda _, i: i % 2 == 1)
     size = F.length if not rule.group else lambda part: F.length(F.regexp_extract(part, rule.pattern, rule.group))
-    none = F.lit(None).cast("array<struct<start:int,kind:int,end:int>>")
 
-    def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part)
-        hit = state["inside"] & (size(part) >= rule.least)
-        span = F.struct(state["at"].alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.when(hit, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def span(pair: Column, i: Column) -> Column:
+        return F.when(size(pair["match"]) >= rule.least, F.struct((pair["start"] - 2 * i).alias("start"), F.lit(order).alias("kind"), (pair["end"] - 2 * i - 1).alias("end")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.coalesce(none, F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("spans"))
-    found = F.aggregate(F.split(marked, _MARK), start, step, lambda state: state["spans"])
-    return F.when(F.contains(marked, F.lit(_MARK)), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    starts, ends = F.filter(places, lambda _, i: i % 2 == 0), F.filter(places, lambda _, i: i % 2 == 1)
+    found = F.array_compact(F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end"), match.alias("match")), span))
+    return F.when(F.contains(marked, F.lit(_MARK)), found).otherwise(F.array().cast(_SPANS))
 
 
 def _joined(spans: Column, kinds: list[str]) -> Column:
@@ -212,19 +222,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = [r for r in rules if r.base]
     docs = renewed(docs, *[f"n_{r.kind}" for r in base], "base_spans", "spans")
     trigrams = sorted(set().union(*[_trigrams(trigram_query(r.pattern)) for r in rules]))
-    assert len(trigrams) < 63, "a posting's bit must fit a long"
     index = stored(build_index(docs, id_col, text_col, trigrams), "secret-postings")
-    candidates = intersect(index, rules, trigrams)
-    joined = docs.withColumn("_row", row_key(id_col, text_col)).join(candidates.withColumnRenamed("row", "_row"), "_row", "left")
+    candidates = intersect(index, rules, trigrams).withColumnsRenamed({"row": _ROW, "candidate": _CANDIDATE})
+    joined = docs.withColumn(_ROW, row_key(id_col, text_col)).join(candidates, _ROW, "left")
     kinds = [r.kind for r in rules]
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(_SPANS)
     text = F.coalesce(F.col(text_col), F.lit(""))
     for k, rule in enumerate(rules):
-        wanted = F.coalesce(F.col("candidate"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
         found = _spans(text, rule, k)
-        joined = joined.withColumn(f"_s{k}", found if trigram_query(rule.pattern) is True else F.when(wanted, found).otherwise(none))
-    of = {r.kind: F.col(f"_s{k}") for k, r in enumerate(rules)}
+        if trigram_query(rule.pattern) is not True:
+            found = F.when(F.coalesce(F.array_contains(_CANDIDATE, k), F.lit(False)), found).otherwise(none)
+        joined = joined.withColumn(f"{_FOUND}_{k}", found)
+    of = {r.kind: F.col(f"{_FOUND}_{k}") for k, r in enumerate(rules)}
     added = {f"n_{r.kind}": F.size(of[r.kind]).cast("long") for r in base}
-    added["base_spans"] = _joined(F.array_sort(F.concat(*[of[r.kind] for r in base])), kinds)
-    added["spans"] = _joined(F.array_sort(F.concat(*of.values())), kinds)
-    return joined.withColumns(added).drop("_row", "candidate", *[f"_s{k}" for k in range(len(rules))])
+    added["base_spans"] = _joined(F.sort_array(F.concat(none, *[of[r.kind] for r in base])), kinds)
+    added["spans"] = _joined(F.sort_array(F.concat(*of.values())), kinds)
+    return joined.withColumns(added).drop(_ROW, _CANDIDATE, *[f"{_FOUND}_{k}" for k in range(len(rules))])

@@ -13,7 +13,8 @@ further, from their rows alone.  The directory has about as many rows as there a
 Defined results: sizes are UTF-8 bytes, null text has none; a null id hashes as "null".  Rows that no
 bit of the address tells apart (repeated ids) and still exceed the limit go to numbered pages of
 their bucket, in order of a hash of the text; a row larger than the limit has a page for itself.
-An empty table gives an empty result.
+An empty table gives an empty result.  Input columns of the names of output columns are replaced, all
+others stay; names that begin with ``_geoloom`` are reserved.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ START_SLACK = 4
 MORE_BITS = 8
 MOST_BITS = 56
 BROADCAST_CELLS = 100_000
+_ADDRESS, _BITS, _CELL, _KEY, _END, _PAGE = (f"_geoloom_{c}" for c in ("address", "bits", "cell", "key", "end", "page"))
+_SUM, _ROWS, _DEPTH = (f"_geoloom_{c}" for c in ("sum", "rows", "depth"))
 
 
 def address(id_col: str) -> Column:
@@ -37,18 +40,18 @@ def address(id_col: str) -> Column:
 
 
 def _cell(bits: int) -> Column:
-    return F.shiftright("_address", MOST_BITS - bits)
+    return F.shiftright(_ADDRESS, MOST_BITS - bits)
 
 
 def _leaves(cells: DataFrame, above: int, bits: int, limit: int) -> DataFrame:
-    """(cell, depth, n_bytes, n_rows): for each cell of ``bits`` bits the shallowest depth over
-    ``above`` whose prefix fits; depth is null where even the cell does not."""
-    per_depth = cells.withColumn("_depth", F.explode(F.sequence(F.lit(above), F.lit(bits))))
-    per_depth = per_depth.withColumn("_prefix", F.expr(f"shiftright(cell, {bits} - _depth)"))
-    sums = per_depth.groupBy("_depth", "_prefix").agg(F.sum("bytes").alias("_sum"), F.sum("rows").alias("_rows"))
-    own = per_depth.select("cell", "_depth", "_prefix").join(sums, ["_depth", "_prefix"]).where(F.col("_sum") <= limit)
-    best = own.groupBy("cell").agg(F.min(F.struct("_depth", "_sum", "_rows")).alias("b"))
-    return cells.select("cell").join(best, "cell", "left").select("cell", F.col("b._depth").alias("depth"), F.col("b._sum").alias("n_bytes"), F.col("b._rows").alias("n_rows"))
+    """(cell, depth, n_bytes): for each cell of ``bits`` bits the shallowest depth over ``above`` whose
+    prefix fits; depth is null where even the cell does not."""
+    per_depth = cells.withColumn("depth", F.explode(F.sequence(F.lit(above), F.lit(bits))))
+    per_depth = per_depth.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
+    sums = per_depth.groupBy("depth", "prefix").agg(F.sum("bytes").alias("sum"))
+    own = per_depth.select("cell", "depth", "prefix").join(sums, ["depth", "prefix"]).where(F.col("sum") <= limit)
+    best = own.groupBy("cell").agg(F.min(F.struct("depth", "sum")).alias("b"))
+    return cells.select("cell").join(best, "cell", "left").select("cell", F.col("b.depth").alias("depth"), F.col("b.sum").alias("n_bytes"))
 
 
 def assign_shards(
@@ -58,15 +61,15 @@ def assign_shards(
     """All columns of ``docs`` plus bytes, shard (prefix bits, "-page" where a bucket has pages),
     depth and shard_bytes."""
     docs = renewed(docs, "bytes", "shard", "depth", "shard_bytes")
-    sized = docs.withColumns({"bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "_address": address(id_col)})
-    rows = stored(sized.select("_address", "bytes"), "shard-rows")
+    sized = docs.withColumns({"bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), _ADDRESS: address(id_col)})
+    rows = stored(sized.select(_ADDRESS, "bytes"), "shard-rows")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = min(most_bits, max(1, math.ceil(math.log2(max(1, total / limit_bytes)))) + START_SLACK)
     above, left, directory = 0, rows, None
     while True:
-        cells = stored(left.groupBy(_cell(bits).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")), "shard-cells")
+        cells = stored(left.groupBy(_cell(bits).alias("cell")).agg(F.sum("bytes").alias("bytes")), "shard-cells")
         leaves = stored(_leaves(cells, above, bits, limit_bytes), "shard-leaves")
-        level = leaves.where("depth IS NOT NULL OR " + ("true" if bits == most_bits else "false")).withColumn("_bits", F.lit(bits))
+        level = leaves.where("depth IS NOT NULL OR " + ("true" if bits == most_bits else "false")).withColumn("bits", F.lit(bits))
         directory = level if directory is None else directory.unionByName(level)
         large = leaves.where("depth IS NULL").select("cell")
         if bits == most_bits or large.isEmpty():
@@ -75,36 +78,37 @@ def assign_shards(
         above, bits = bits + 1, min(most_bits, bits + more_bits)
     directory = stored(directory, "shard-directory")
     few = directory.count() <= broadcast_cells
-    used = [r["_bits"] for r in directory.select("_bits").distinct().collect()]  # one per opening
-    keys = F.explode(F.array(*[F.struct(F.lit(b).alias("_bits"), _cell(b).alias("cell")) for b in sorted(used)]))
+    used = [r["bits"] for r in directory.select("bits").distinct().collect()]  # one per opening
+    paged = not directory.where("depth IS NULL").isEmpty()
+    directory = directory.withColumnsRenamed({"bits": _BITS, "cell": _CELL, "depth": _DEPTH, "n_bytes": _SUM})
+    keys = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), _cell(b).alias("cell")) for b in sorted(used)]))
     if len(used) == 1:
-        keyed = sized.withColumns({"_bits": F.lit(used[0]), "cell": _cell(used[0])})
+        keyed = sized.withColumns({_BITS: F.lit(used[0]), _CELL: _cell(used[0])})
     elif used:
-        keyed = sized.withColumn("_key", keys).withColumns({"_bits": F.col("_key._bits"), "cell": F.col("_key.cell")}).drop("_key")
+        keyed = sized.withColumn(_KEY, keys).withColumns({_BITS: F.col(f"{_KEY}.bits"), _CELL: F.col(f"{_KEY}.cell")}).drop(_KEY)
     else:
-        keyed = sized.withColumns({"_bits": F.lit(0), "cell": F.lit(0).cast("long")})
-    placed = keyed.join(F.broadcast(directory) if few else directory, ["_bits", "cell"])
-    prefix = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"substring(lpad(bin(_address), {MOST_BITS}, '0'), 1, depth)"))
-    fits = placed.where("depth IS NOT NULL").withColumns({"shard": prefix, "shard_bytes": F.col("n_bytes")})
-    out = fits
-    if not directory.where("depth IS NULL").isEmpty():
-        out = out.unionByName(_paged(placed.where("depth IS NULL"), text_col, limit_bytes, most_bits))
-    return out.drop("_bits", "cell", "n_bytes", "n_rows", "_address")
+        keyed = sized.withColumns({_BITS: F.lit(0), _CELL: F.lit(0).cast("long")})
+    placed = keyed.join(F.broadcast(directory) if few else directory, [_BITS, _CELL])
+    prefix = F.when(F.col(_DEPTH) == 0, "").otherwise(F.expr(f"substring(lpad(bin({_ADDRESS}), {MOST_BITS}, '0'), 1, {_DEPTH})"))
+    out = placed.where(F.col(_DEPTH).isNotNull()).withColumns({"shard": prefix, "depth": F.col(_DEPTH), "shard_bytes": F.col(_SUM)})
+    if paged:
+        out = out.unionByName(_paged(placed.where(F.col(_DEPTH).isNull()), text_col, limit_bytes, most_bits))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "bytes", "shard", "depth", "shard_bytes")
 
 
 def _paged(rows: DataFrame, text_col: str, limit: int, bits: int) -> DataFrame:
     """Pages of rows that share all address bits: a row goes to the page in which it starts, and
     rows that would cross its end go to the odd page after it, so no page exceeds the limit."""
-    order = Window.partitionBy("cell").orderBy(F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(_CELL).orderBy(F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.least("bytes", F.lit(limit))).over(order)
     own = F.least("bytes", F.lit(limit))
-    first, last = F.floor((F.col("_end") - own) / limit), F.floor((F.col("_end") - F.lit(1)) / limit)
-    page = F.when(F.col("bytes") >= limit, F.concat(F.lit("r"), F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64(text_col))).cast("string")))
+    first, last = F.floor((F.col(_END) - own) / limit), F.floor((F.col(_END) - F.lit(1)) / limit)
+    page = F.when(F.col("bytes") >= limit, F.concat(F.lit("r"), F.row_number().over(Window.partitionBy(_CELL).orderBy(F.xxhash64(text_col))).cast("string")))
     page = page.when(first == last, F.concat(F.lit("p"), first.cast("string"))).otherwise(F.concat(F.lit("c"), last.cast("string")))
-    paged = rows.withColumn("_end", end).withColumn("_page", page)
-    shard = F.concat(F.expr(f"substring(lpad(bin(_address), {MOST_BITS}, '0'), 1, {bits})"), F.lit("-"), F.col("_page"))
-    shard_bytes = F.sum("bytes").over(Window.partitionBy("cell", "_page"))
-    return paged.withColumns({"depth": F.lit(bits), "shard": shard, "shard_bytes": shard_bytes}).drop("_end", "_page")
+    paged = rows.withColumn(_END, end).withColumn(_PAGE, page)
+    shard = F.concat(F.expr(f"substring(lpad(bin({_ADDRESS}), {MOST_BITS}, '0'), 1, {bits})"), F.lit("-"), F.col(_PAGE))
+    shard_bytes = F.sum("bytes").over(Window.partitionBy(_CELL, _PAGE))
+    return paged.withColumns({"depth": F.lit(bits), "shard": shard, "shard_bytes": shard_bytes})
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -406,9 +407,33 @@ def test_secrets(spark):
 
 
 def test_secrets_odd_rows(spark):
-    got = secrets.scan_secrets(odd(spark))
-    assert got.count() == len(ODD)
-    assert got.where("spans != ''").count() == 0
+    own = odd(spark).withColumns({"candidate": F.lit("mine"), "row": F.lit(3), "bits0": F.lit(4)})
+    got = secrets.scan_secrets(own)
+    assert sorted(got.columns) == sorted([c for c in own.columns if c != "Spans"] + ["n_assign", "n_access", "n_hex", "base_spans", "spans"])
+    assert got.where("candidate = 'mine' AND row = 3 AND bits0 = 4 AND _row = 1 AND kept IS NULL").count() == len(ODD)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.select("doc_id", "text", "base_spans", "spans").collect())) == sorted(str((i, t, secret_spans(t), "")) for i, t in ODD)
+
+
+def test_secrets_of_very_long_texts(spark):
+    """Runs of a megabyte, fifty thousand matches, and starts that never come to a match."""
+    rows = [
+        (0, ("deadbeef" * 3 + "\n") * 50_000), (1, "token=abcdef " * 50_000), (2, "a" * (1 << 20)), (3, "eyJ" * (1 << 18)),
+        (4, "token" + " " * (1 << 20)), (5, "AKIA" * (1 << 18)), (6, "-----BEGIN " * 50_000), (7, "f" * 23 + "g" + "0" * (1 << 20)),
+    ]
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert {i: got[i].base_spans for i, _ in rows} == {i: secret_spans(t) for i, t in rows}
+
+
+def test_secrets_with_many_rules(spark):
+    rules = tuple(secrets.Rule(f"k{i}", f"key{chr(97 + i // 26)}{chr(97 + i % 26)}x[0-9]+", 1) for i in range(60))
+    assert len(set().union(*[secrets._trigrams(secrets.trigram_query(r.pattern)) for r in rules])) >= 124
+    rows = [(i, f"é keyabx1 key{chr(97 + i // 26)}{chr(97 + i % 26)}x{i} keyzz") for i in range(60)]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(frame(spark, rows), rules=rules).collect()}
+    want = {i: ",".join(f"k{(ord(m[1][0]) - 97) * 26 + ord(m[1][1]) - 97}:{m.start()}:{m.end()}" for m in re.finditer("key([a-z]{2})x[0-9]+", t)) for i, t in rows}
+    assert got == want
 
 
 @pytest.mark.parametrize(("pattern", "text", "holds"), [("abc(def|xyz)", "..abcdef", True), ("abc(def|xyz)", "abc and def", False), ("a?bcd", "bcd", True), ("(ab)+cd", "abcd", True), ("x*", "", True), ("foo[0-9]bar", "foo7bar", True), ("foo[0-9]bar", "foo7", False)])
@@ -454,6 +479,28 @@ def test_shards_fit_and_split_only_where_needed(spark, rows, limit):
     assert not any(a != b and b.startswith(a) for a in leaves for b in leaves)
 
 
+def extendible(rows, limit):
+    """Shards by a directory that splits one oversized bucket at a time."""
+    xxhash = pytest.importorskip("xxhash")
+    address = {i: f"{xxhash.xxh64_intdigest((11).to_bytes(4, 'little'), xxhash.xxh64_intdigest(str('null' if i is None else i).encode(), 42)) >> 8:056b}" for i, _ in rows}
+    size = {i: len((t or "").encode()) for i, t in rows}
+    buckets = [("", list(size))]
+    out = {}
+    while buckets:
+        prefix, own = buckets.pop()
+        if sum(size[i] for i in own) <= limit or len(own) < 2:
+            out |= {i: (size[i], prefix, len(prefix), sum(size[i] for i in own)) for i in own}
+        else:
+            buckets += [(prefix + b, [i for i in own if address[i].startswith(prefix + b)]) for b in "01"]
+    return out
+
+
+@pytest.mark.parametrize(("limit", "more_bits"), [(10**9, 3), (30_000, 3), (4000, 2), (4000, 8)])
+def test_shards_equal_a_directory_that_splits_one_by_one(spark, rows, limit, more_bits):
+    got = {r.doc_id: (r.bytes, r.shard, r.depth, r.shard_bytes) for r in sharding.assign_shards(frame(spark, rows), limit_bytes=limit, more_bits=more_bits).collect()}
+    assert got == extendible(rows, limit)
+
+
 def test_shards_of_repeated_ids(spark):
     df = spark.createDataFrame([(1, "x" * 40 + str(i)) for i in range(20)] + [(1, "y" * 500), (2, None)], "doc_id long, text string")
     got = sharding.assign_shards(df, limit_bytes=200).collect()
@@ -462,7 +509,11 @@ def test_shards_of_repeated_ids(spark):
         size.setdefault(r.shard, []).append(r.bytes)
     assert sum(map(len, size.values())) == 22
     assert all(sum(v) <= 200 or len(v) == 1 for v in size.values())
-    assert sharding.assign_shards(odd(spark), limit_bytes=100).count() == len(ODD)
+    own = odd(spark).withColumns({"n_bytes": F.lit("mine"), "n_rows": F.lit(1), "cell": F.lit(2), "_address": F.lit(3), "bits": F.lit(4), "page": F.lit(5)})
+    got = sharding.assign_shards(own, limit_bytes=100)
+    assert sorted(got.columns) == sorted([*own.columns, "shard", "depth", "shard_bytes"])
+    assert got.where("n_bytes = 'mine' AND n_rows = 1 AND cell = 2 AND _address = 3 AND bits = 4 AND page = 5 AND _row = 1").count() == len(ODD)
+    assert sorted(str((r.doc_id, r.text, r.bytes)) for r in got.collect()) == sorted(str((i, t, len((t or "").encode()))) for i, t in ODD)
 
 
 def test_shards_written(spark, rows, tmp_path):
