@@ -6,9 +6,7 @@ the sketch of a union is the union of sketches, and containment can be estimated
 very unequal length: |A and B| / |A| over the kept hashes.  Where nothing is kept (a text of n
 shingles: with probability 0.75**n) a hash of the whole set of shingles stands in its place.
 
-Scale: a sketch is computed in the scan.  Shingle hashes are joined from hashes of one, two and four
-words, so a shingle costs one hash more than its neighbours.  The next document is found without any
-global window: quantiles of the id (a bounded list, as long as the row count asks) cut the ids into
+Scale: a sketch is computed in the scan.  The next document is found without any global window: quantiles of the id (a bounded list, as long as the row count asks) cut the ids into
 ranges, an id that fills several quantiles is cut further by a hash of its texts, each range is one
 window group, and the first row of each range is copied to the range before it (one row per range).
 
@@ -38,31 +36,12 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def with_shingles(docs: DataFrame, hashes: str, to: str, k: int = SHINGLE) -> DataFrame:
-    """Adds ``to``: hashes of all runs of k words, of the whole text if it has fewer, none if it has none.
-
-    Runs of 2, 4, ... words are hashed from two halves each, then put together to k words.  Each step is
-    a column of its own, since it is read twice."""
+def shingle_hashes(hashes: Column, k: int = SHINGLE) -> Column:
+    """Hashes of all runs of k words, of the whole text if it has fewer, none if it has none; from a
+    column (not an expression) of word hashes."""
     n = F.size(hashes)
-
-    def joined(left: str, width: int, right: str, more: int) -> Column:
-        count = F.greatest(F.lit(0), n - (width + more - 1))
-        return F.zip_with(F.slice(left, F.lit(1), count), F.slice(right, F.lit(width + 1), count), lambda a, b: F.xxhash64(a, b))
-
-    powers, made = {1: hashes}, [to]
-    while 2 * max(powers) <= k:
-        width = max(powers)
-        made.append(f"{to}_{2 * width}")
-        docs = docs.withColumn(made[-1], joined(powers[width], width, powers[width], width))
-        powers[2 * width] = made[-1]
-    run, width = powers[max(powers)], max(powers)
-    for more in sorted(powers, reverse=True)[1:]:
-        if width + more <= k:
-            made.append(f"{to}_{width + more}")
-            docs = docs.withColumn(made[-1], joined(run, width, powers[more], more))
-            run, width = made[-1], width + more
-    whole = F.when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-    return docs.withColumn(to, F.when(n >= k, F.col(run)).otherwise(whole)).drop(*made[1:])
+    full = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+    return F.when(n >= k, full).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
 def sketch_of(shingles: Column, fraction: float = FRACTION) -> Column:
@@ -75,9 +54,9 @@ def n_shingles(hashes: Column, k: int = SHINGLE) -> Column:
     return F.when(F.size(hashes) > 0, F.greatest(F.lit(1), F.size(hashes) - (k - 1))).otherwise(0)
 
 
-def whole_set(sketch: Column, shingles: Column) -> Column:
+def whole_set(sketch: Column, hashes: Column) -> Column:
     """A hash of the set of all shingles, where the sketch is empty; else null."""
-    return F.when(F.size(sketch) == 0, F.xxhash64(F.sort_array(F.array_distinct(shingles))))
+    return F.when(F.size(sketch) == 0, F.xxhash64(F.sort_array(F.array_distinct(shingle_hashes(hashes)))))
 
 
 def _hexadecimal(h: Column) -> Column:
@@ -111,9 +90,9 @@ def merged(sketches: Column) -> Column:
 def with_sketch(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     """Adds <prefix>sketch (hashes), <prefix>n (shingles) and <prefix>whole (hash of the whole set,
     null if the sketch has hashes)."""
-    shingled = with_shingles(docs.withColumn(_HASHES, word_hashes(text)), _HASHES, f"{_HASHES}_all")
-    made = shingled.withColumns({f"{prefix}sketch": sketch_of(F.col(f"{_HASHES}_all")), f"{prefix}n": n_shingles(F.col(_HASHES))})
-    return made.withColumn(f"{prefix}whole", whole_set(F.col(f"{prefix}sketch"), F.col(f"{_HASHES}_all"))).drop(_HASHES, f"{_HASHES}_all")
+    hashed = docs.withColumn(_HASHES, word_hashes(text))
+    made = hashed.withColumns({f"{prefix}sketch": sketch_of(shingle_hashes(F.col(_HASHES))), f"{prefix}n": n_shingles(F.col(_HASHES))})
+    return made.withColumn(f"{prefix}whole", whole_set(F.col(f"{prefix}sketch"), F.col(_HASHES))).drop(_HASHES)
 
 
 def _ranged(docs: DataFrame, id_col: str, n: int) -> DataFrame:

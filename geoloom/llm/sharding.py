@@ -108,7 +108,7 @@ def _paged(rows: DataFrame, text_col: str, limit: int, bits: int) -> DataFrame:
     paged = rows.withColumn(_END, end).withColumn(_PAGE, page)
     shard = F.concat(F.expr(f"substring(lpad(bin({_ADDRESS}), {MOST_BITS}, '0'), 1, {bits})"), F.lit("-"), F.col(_PAGE))
     shard_bytes = F.sum("bytes").over(Window.partitionBy(_CELL, _PAGE))
-    return paged.withColumns({"depth": F.lit(bits), "shard": shard, "shard_bytes": shard_bytes})
+    return paged.withColumns({"depth": F.lit(bits), "shard": shard, "shard_bytes": shard_bytes}).drop(_END, _PAGE)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

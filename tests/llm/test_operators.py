@@ -128,9 +128,7 @@ def sketched(text, k=5, fraction=0.25):
 
     signed = lambda v: v - (v >> 63 << 64)
     h = [chained([w.encode()]) for w in WORD.findall((text or "").lower())]
-    two = [chained(h[i : i + 2]) for i in range(len(h) - 1)]
-    four = [chained([two[i], two[i + 2]]) for i in range(len(h) - 3)]
-    every = {chained([four[i], h[i + 4]]) for i in range(len(h) - 4)} if len(h) >= k else {chained(h)} if h else set()
+    every = {chained(h[i : i + k]) for i in range(max(1, len(h) - k + 1))} if h else set()
     kept = sorted(signed(v) for v in every if signed(v) < -(1 << 63) + (1 << 64) * fraction)
     return kept, chained([v & (1 << 64) - 1 for v in sorted(map(signed, every))])
 
