@@ -1,27 +1,33 @@
 """Operator 9: quality classification by importance resampling.
 
 Two generative models over hashed word unigrams and bigrams (a table of 2**bits buckets for each of
-the two, so that rare pairs don't blur words) are counted: one of target text
-(labelled good and not toxic) and one of the raw corpus.  With t and r the counts of a bucket and
-E = r * T / R what the target would show if it were like the raw text, the bucket's log ratio is
-log((t + c) / (E + c)); c holds buckets with little data near zero.  A document's log weight sums
-the ratios of its n-grams as far as they fall below -margin, so only n-grams that the target
-clearly avoids tell against it, over the square root of its n-grams.  Documents are then drawn
-without replacement by Gumbel top-k: key = log weight / temperature + Gumbel(hash of the id), the
-k largest keys stay.  k is the number of documents whose weight reaches the floor that all but
-``clean_loss`` of held-out clean labelled documents reach; the temperature puts that floor at
-``floor_depth`` nats, so the draw is random only near it.
+the two) are counted: t over target text (labelled good and not toxic), r over the whole corpus.  With
+E = r * T / R what the target would show if it were like the corpus, q = (E + c) / (t + c) is how much
+likelier an n-gram is in the corpus than in target text; c holds buckets with little data near one.
+What the corpus has beyond ``margin`` times the target (the margin allows for copies, which come in
+clusters) is other text: other(w) = target(w) * (q - margin)+ / Z, with Z its share.  The corpus's
+model of a document draws each n-gram from other text with probability ``rate`` and from the target
+model else, so a document's log weight is
+
+    log p_target - log p_corpus = - sum over its n-grams of log(1 - rate + rate * (q - margin)+ / Z)
+
+Every ordinary n-gram speaks for a document by a little and every strange one against it by a lot,
+whatever the length.  Documents are drawn without replacement by Gumbel top-k: key = log weight /
+``temperature`` + Gumbel(hash of the id), the k largest keys stay.  k is the number of documents whose
+weight reaches the floor that all but ``clean_loss`` of held-out clean labelled documents reach.
 
 Scale: three passes over the texts and no shuffle of any text.  Counts of all documents are
-vectors of fixed length, summed in slices over a tree.  The fit uses at most ``label_limit``
-labelled rows, the smallest by a hash of the id (the bound of what is collected and broadcast); of
-these every fifth is held out for the floor.  The model (2 * 2**bits floats, 8 MB) is broadcast,
-its size fixed.  The k-th key is found by refining a histogram of keys, never by collecting them.
-
-Defined results: null, empty and wordless texts have log weight 0; a null id hashes as "null";
-rows of one id share their Gumbel draw; ties at the k-th key stay; without labels, or without
-clean held-out ones, everything stays; an empty table gives an empty result.  Labels repeated for
-one id count once, the worst of them.
+packed sparsely and summed in slices over a tree.  Buckets grow as the square root of the corpus, as
+vocabularies do, up to 2**24, which bounds what is broadcast (2 * 2**bits floats, 128 MB at most).
+The fit uses at most ``label_limit`` labelled rows, the smallest by a hash of the id (the bound of what
+is collected and broadcast); of these every fifth is held out for the floor.  The k-th key is found by
+refining a histogram of keys, never by collecting them.
+
+Defined results: null, empty and wordless texts have log weight 0, which always reaches the floor; a
+null id hashes as "null"; rows of one id share their Gumbel draw, and count for the floor by the least
+of their weights; ties at the k-th key stay; without labels, or without clean held-out ones,
+everything stays; an empty table gives an empty result.  Labels repeated for one id count once, the
+worst of them.
 """
 
 from __future__ import annotations
@@ -34,17 +40,24 @@ from geoloom.llm.mixing import uniform
 from geoloom.llm.textkernel import NON_SPACE, U64, inner, pieces, windows, words_of
 from geoloom.llm.workspace import renewed, stored
 
-BITS = 20
-PRIOR = 3.0
-MARGIN = 1.0
+LEAST_BITS, MOST_BITS = 18, 24
+PRIOR = 2.0
+MARGIN = 2.72
+RATE = 0.01
+LEAST_SHARE = 0.01
+TEMPERATURE = 0.5
 LABEL_LIMIT = 50_000
 CLEAN_LOSS = 0.002
-FLOOR_DEPTH = 8.0
 SEED = 97
 SLICE = 4096
 FLUSH = 1_000_000
 
 
+def table_bits(text_bytes: int) -> int:
+    """2**20 buckets for 2**26 n-grams (three bytes of text each), twice as many for four times the text."""
+    return int(min(MOST_BITS, max(LEAST_BITS, 20 + np.ceil(np.log2(max(1, text_bytes / 3) / 2**26) / 2))))
+
+
 def ngram_buckets(batch: pa.RecordBatch, text_col: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text of each n-gram, its bucket) for unigrams and bigrams."""
     w = words_of(batch.column(text_col), NON_SPACE, lower=True)
@@ -70,19 +83,32 @@ def _member(batch: pa.RecordBatch, id_col: str, among: np.ndarray) -> np.ndarray
     return np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), among) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A slice of counts: how many are not zero, their places, one byte each, and those of 255 and more in full."""
+    place = np.flatnonzero(counts)
+    own = counts[place]
+    return b"".join((np.array([len(place)], "<u4").tobytes(), place.astype("<u2").tobytes(), np.minimum(own, 255).astype("u1").tobytes(), own[own >= 255].astype("<i8").tobytes()))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros(SLICE, np.int64)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    own = np.frombuffer(raw, "u1", n, 4 + 2 * n).astype(np.int64)
+    own[own == 255] = np.frombuffer(raw, "<i8", -1, 4 + 3 * n)
+    out[np.frombuffer(raw, "<u2", n, 4)] = own
+    return out
+
+
 def _summed(table: pa.Table) -> pa.Table:
     out = {"slice": table.column("slice")[:1], "part": pa.array([table.column("part")[0].as_py() >> 8], pa.int32())}
     for c in ("raw", "target"):
-        total = np.zeros(SLICE, np.int64)
-        for blob in table.column(c):
-            total += np.frombuffer(blob.as_py(), np.int64)
-        out[c] = pa.array([total.tobytes()], pa.binary())
+        out[c] = pa.array([_packed(sum(_unpacked(blob.as_py()) for blob in table.column(c)))], pa.binary())
     return pa.table(out)
 
 
 def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray, bits: int) -> DataFrame:
     """(slice, raw, target): bucket counts of all documents and of those to train on, 2 * 2**bits
-    numbers each in slices."""
+    numbers each in packed slices; slices without any are left out."""
     size = 2 << bits
     chosen = docs.sparkSession.sparkContext.broadcast(train)
     schema = "slice int, part int, raw binary, target binary"
@@ -91,13 +117,14 @@ def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        sums = {"raw": np.zeros(size, np.int64), "target": np.zeros(size, np.int64)}
+        sums = {"raw": np.zeros(size, np.int32), "target": np.zeros(size, np.int32)}
         held: dict[str, list[np.ndarray]] = {"raw": [], "target": []}
 
         def add(name: str, bucket: np.ndarray, least: int = FLUSH) -> None:
             held[name].append(bucket)
             if sum(map(len, held[name])) >= least:
-                sums[name] += np.bincount(np.concatenate(held[name]), minlength=size)
+                own, n = np.unique(np.concatenate(held[name]), return_counts=True)
+                sums[name][own] += n.astype(np.int32)
                 held[name].clear()
 
         for whole in batches:
@@ -110,40 +137,54 @@ def ngram_counts(docs: DataFrame, id_col: str, text_col: str, train: np.ndarray,
         for name in sums:
             add(name, np.zeros(0, np.int64), 0)
         raw, target = sums["raw"], sums["target"]
-        if raw.any():
-            for i in range(0, size, SLICE):
-                a, b = raw[i : i + SLICE], target[i : i + SLICE]
-                yield pa.RecordBatch.from_pylist([{"slice": i // SLICE, "part": part >> 8, "raw": a.tobytes(), "target": b.tobytes()}], pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("raw", pa.binary()), ("target", pa.binary())]))
+        for i in range(0, size, SLICE):
+            a, b = raw[i : i + SLICE], target[i : i + SLICE]
+            if a.any():
+                yield pa.RecordBatch.from_pylist([{"slice": i // SLICE, "part": part >> 8, "raw": _packed(a), "target": _packed(b)}], pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("raw", pa.binary()), ("target", pa.binary())]))
 
     parts = docs.select(id_col, text_col).mapInArrow(count, schema)
     sums = parts.groupBy("slice", "part").applyInArrow(_summed, schema).groupBy("slice").applyInArrow(_summed, schema)
     return stored(sums.select("slice", "raw", "target"), "quality-counts")
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray, share: float, prior: float, margin: float) -> np.ndarray:
-    """What each bucket adds to a log weight: its log ratio beyond the margin, else nothing."""
-    return np.minimum(0.0, np.log((target + prior) / (raw * share + prior)) + margin).astype(np.float32)
+def excess(raw: np.ndarray, target: np.ndarray, scale: float, prior: float, margin: float) -> np.ndarray:
+    """(q - margin)+ of each bucket."""
+    return np.maximum(0.0, (raw * scale + prior) / (target + prior) - margin)
 
 
-def evidence(counts: DataFrame, bits: int, prior: float = PRIOR, margin: float = MARGIN) -> np.ndarray:
-    """The model: ``log_ratio`` of all buckets, taken per slice where the counts are."""
+def evidence(counts: DataFrame, bits: int, prior: float = PRIOR, margin: float = MARGIN, rate: float = RATE) -> np.ndarray:
+    """The model: what an n-gram of each bucket adds to a log weight, worked out per slice where the counts are."""
 
     def totals(batches):
         for batch in batches:
-            both = [sum(int(np.frombuffer(x.as_py(), np.int64).sum()) for x in batch.column(c)) for c in ("raw", "target")]
+            both = [sum(int(_unpacked(x.as_py()).sum()) for x in batch.column(c)) for c in ("raw", "target")]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in both], ["raw", "target"])
 
     raw, target = counts.mapInArrow(totals, "raw long, target long").agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    share = target / max(1, raw)
+    scale = target / max(1, raw)
+
+    def pairs(batch):
+        return zip(map(_unpacked, batch.column("raw").to_pylist()), map(_unpacked, batch.column("target").to_pylist()), strict=True)
+
+    def other(batches):
+        for batch in batches:
+            mass = [float((excess(r, t, scale, prior, margin) * (t + prior)).sum()) for r, t in pairs(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(mass, pa.float64())], ["slice", "mass"])
+
+    # rounded, so that the order of addition cannot show
+    mass = counts.mapInArrow(other, "slice int, mass double").agg(F.coalesce(F.sum(F.col("mass").cast("decimal(30,6)")), F.lit(0))).first()[0]
+    share = max(LEAST_SHARE, float(mass) / max(1, target))
+
+    def added(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return -np.log(1 - rate + rate * excess(r, t, scale, prior, margin) / share).astype(np.float32)
 
-    def ratios(batches):
+    def weights(batches):
         for batch in batches:
-            found = [log_ratio(np.frombuffer(r.as_py(), np.int64), np.frombuffer(t.as_py(), np.int64), share, prior, margin).tobytes() for r, t in zip(batch.column("raw"), batch.column("target"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(found, pa.binary())], ["slice", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array([added(r, t).tobytes() for r, t in pairs(batch)], pa.binary())], ["slice", "weight"])
 
-    model = np.full(2 << bits, log_ratio(np.zeros(1), np.zeros(1), share, prior, margin)[0], np.float32)
-    for row in counts.mapInArrow(ratios, "slice int, ratio binary").collect():
-        model[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["ratio"], np.float32)
+    model = np.full(2 << bits, added(np.zeros(1), np.zeros(1))[0], np.float32)
+    for row in counts.mapInArrow(weights, "slice int, weight binary").toLocalIterator():
+        model[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["weight"], np.float32)
     return model
 
 
@@ -158,9 +199,7 @@ def weighed(docs: DataFrame, text_col: str, model: np.ndarray) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole, text_col):
                 text, bucket = ngram_buckets(batch, text_col, bits)
-                n = np.bincount(text, minlength=batch.num_rows)
-                total = np.bincount(text, weights=table.value[bucket], minlength=batch.num_rows)
-                weight = np.round(total / np.sqrt(np.maximum(1, n)), 9) + 0.0
+                weight = np.round(np.bincount(text, weights=table.value[bucket], minlength=batch.num_rows), 9) + 0.0
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names)
 
     return docs.mapInArrow(score, shaped.schema)
@@ -192,13 +231,15 @@ def gumbel_key(log_weight, id_col: str, seed: int):
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, prior: float = PRIOR, margin: float = MARGIN,
-    label_limit: int = LABEL_LIMIT, clean_loss: float = CLEAN_LOSS, floor_depth: float = FLOOR_DEPTH, seed: int = SEED, k: int | None = None,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, prior: float = PRIOR, margin: float = MARGIN,
+    rate: float = RATE, label_limit: int = LABEL_LIMIT, clean_loss: float = CLEAN_LOSS, temperature: float = TEMPERATURE, seed: int = SEED, k: int | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` plus log_weight, gumbel_key and kept.  ``k`` sets the number to
-    keep; by default the held-out floor decides it."""
+    keep; by default the held-out floor decides it.  ``bits`` by default follow the size of the texts."""
     train, held = _labelled(labels, id_col, label_limit)
-    model = evidence(ngram_counts(docs, id_col, text_col, train, bits), bits, prior, margin)
+    if bits is None:
+        bits = table_bits(docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
+    model = evidence(ngram_counts(docs, id_col, text_col, train, bits), bits, prior, margin, rate)
     scores = stored(weighed(docs.select(id_col, text_col), text_col, model).select(id_col, "log_weight"), "quality-scores")
     chosen = docs.sparkSession.sparkContext.broadcast(held)
 
@@ -206,10 +247,8 @@ def resample(
         for batch in batches:
             yield batch.filter(pa.array(_member(batch, id_col, chosen.value)))
 
-    clean = scores.mapInArrow(pick, scores.schema).dropDuplicates([id_col]).toPandas()["log_weight"].to_numpy()
-    floor = float(np.quantile(clean, clean_loss)) if len(clean) else float("-inf")
-    floor = min(floor, -1e-6)
-    temperature = -floor / floor_depth if np.isfinite(floor) else 1.0
+    clean = scores.mapInArrow(pick, scores.schema).groupBy(id_col).agg(F.min("log_weight").alias("w")).toPandas()["w"].to_numpy()
+    floor = min(-1e-6, float(np.quantile(clean, clean_loss)) if len(clean) else float("-inf"))
     scaled = F.col("log_weight") / F.lit(temperature)
     keys = scores.select(gumbel_key(scaled, id_col, seed).alias("key"), "log_weight")
     if k is None:

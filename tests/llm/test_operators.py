@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -647,9 +648,68 @@ def test_quality_on_held_out_documents(spark):
     assert again == kept
 
 
+def test_quality_weights_and_draw_equal_brute_force(spark):
+    """Log weights from exact counts of words and word pairs, and the kept set from all keys."""
+    rng = random.Random(3)
+    words = [f"t{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words[: 6 + 6 * (i % 4 == 0)]) for _ in range(rng.randrange(0, 30)))) for i in range(300)] + [(7, "t11 " * 9), (None, "t1 t2"), (900, None)]
+    labels = [(i, int(i % 4 > 0), int(i % 9 == 0)) for i in range(0, 300, 2)]
+    made = quality.resample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), bits=18).collect()
+    key = {i: spark.sql(f"select xxhash64({i}L, 5) % 5").first()[0] == 0 for i, q, x in labels if q and not x}
+
+    def grams(t):
+        w = (t or "").split()
+        return [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if key.get(i) is False:
+            target.update(grams(t))
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(g) for g in raw])], ["text"])
+    text, bucket = quality.ngram_buckets(batch, "text", 18)
+    assert len(np.unique(bucket)) == len(raw)  # no two n-grams share a bucket
+    scale = target.total() / raw.total()
+    over = {g: max(0, (raw[g] * scale + quality.PRIOR) / (target[g] + quality.PRIOR) - quality.MARGIN) for g in raw}
+    share = max(quality.LEAST_SHARE, sum(x * (target[g] + quality.PRIOR) for g, x in over.items()) / target.total())
+    weight = [-sum(np.log(1 - quality.RATE + quality.RATE * over[g] / share) for g in grams(t)) for _, t in rows]
+    assert share > quality.LEAST_SHARE
+    assert min(weight) < -1
+    assert max(weight) > 0
+    got = sorted(((str(r.doc_id), r.text or "", r.log_weight) for r in made))
+    want = sorted((str(i), t or "", w) for (i, t), w in zip(rows, weight, strict=True))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-3)
+    least = {}
+    for (i, _), w in zip(rows, weight, strict=True):
+        if key.get(i):
+            least[i] = min(w, least.get(i, w))
+    floor = min(-1e-6, np.quantile(list(least.values()), quality.CLEAN_LOSS))
+    k = sum(w >= floor - 1e-4 for w in weight)
+
+    def gumbel(i):
+        u = int(hashlib.md5(f"{quality.SEED}-{'null' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52 + 0.5 / 2**52
+        return -np.log(-np.log(u))
+
+    keys = {(str(i), t or ""): w / quality.TEMPERATURE + gumbel(i) for (i, t), w in zip(rows, weight, strict=True)}
+    cut = sorted(keys.values(), reverse=True)[k - 1]
+    assert {(str(r.doc_id), r.text or "") for r in made if r.kept} == {x for x, v in keys.items() if v >= cut - 1e-3}
+
+
+def test_quality_counts_are_packed_without_loss():
+    counts = np.zeros(quality.SLICE, np.int64)
+    counts[[0, 5, 6, 4095]] = [1, 254, 255, 10**12]
+    assert (quality._unpacked(quality._packed(counts)) == counts).all()
+    assert (quality._unpacked(quality._packed(counts * 0)) == 0).all()
+    assert [quality.table_bits(n) for n in (0, 3 << 26, 3 << 28, 3 << 29, 10**15)] == [18, 20, 21, 22, 24]
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.resample(odd(spark), none).where("kept").count() == len(ODD)
+    made = quality.resample(odd(spark), none)
+    assert sorted(made.columns) == sorted([*odd(spark).columns, "log_weight", "gumbel_key"])
+    assert made.where("kept AND _row = 1 AND n_words = 'mine'").count() == len(ODD)
+    assert made.where("doc_id IS NULL AND text IS NULL OR doc_id = 1").select("log_weight").distinct().collect() == [(0.0,)]
     assert quality.resample(odd(spark).limit(0), none).count() == 0
 
 
