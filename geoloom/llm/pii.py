@@ -8,28 +8,37 @@ least ``DISCLOSURE`` and above P(entity), on at least ``SUPPORT`` documents, and
 the log-likelihood ratio of P(entity | term) against P(entity) over the n documents,
 n * KL(both / n || P(entity)), is at least ``BITS`` bits.  The evidence adds up over documents, so
 an entity that stands in a third of all rows, or in a small table, can be given away as well.
-Revealing terms are generalised wherever they occur, as spans of kind "term".
+Revealing terms are spans of kind "term" wherever they occur.
+
+Sanitisation: a revealing term is generalised to the class of what it reveals, such as "[ALIAS OF AN
+EMAIL]": its class is the set of kinds of the entities that it gives away.  A class that itself gives
+an entity away (one entity has at least ``DISCLOSURE`` of the class's evidence) says no less than
+its terms, so those terms are removed.  Base spans become their kind in brackets.
 
 Scale: four scans and no shuffle of text.  An entity or pair in fewer than ``SUPPORT`` documents
 can't be given away, so pairs (entity, term) are made only for entities in at least that many
 (recognised by a bitmap of fixed size, false positives are removed by the counts that follow), and
 are summed within tasks before the shuffle.  Beside them it is counted in how many of these
 documents a term occurs; that is at most n, so a pair whose share of it is under ``DISCLOSURE``
-can't reach ``DISCLOSURE`` of n either and goes.  For a term only the rarest entity of each number of
-shared documents is kept, as the others have less evidence on the same share.  Counts of terms over
-all documents are taken only for terms of such pairs, again by a bitmap.  Revealing terms are
-broadcast in blocks of ``BLOCK_TERMS``; each further block is one more pass over the row as it
-streams by.
+can't reach ``DISCLOSURE`` of n either and goes.  For a term only the rarest entity of each kind and
+number of shared documents is kept, as the others have less evidence on the same share.  Counts of
+terms over all documents are taken only for terms of such pairs, again by a bitmap.  Up to
+``BROADCAST_TERMS`` revealing terms are broadcast (nine bytes each); if there are more, the words that
+pass a bitmap of them are joined to the terms by hash and come back to their texts by a hash of the
+text, so nothing that grows with the corpus goes through the driver.  All expressions are found in
+linear time, also in runs of megabytes.
 
 Entities and terms are counted by 64-bit hashes.  Spans are code points, end exclusive.
 
 Defined results: null text counts as empty and has no spans; identical rows count as the
 documents they are and get identical results; an empty table gives an empty result.  Input columns
-that clash with output columns are replaced.
+of the names of output columns are replaced, all others stay; names that begin with ``_geoloom`` are
+reserved.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -43,21 +52,48 @@ from geoloom.llm.workspace import renewed, stored
 SUPPORT = 3
 DISCLOSURE = 0.8
 BITS = 6.0
-BLOCK_TERMS = 200_000
+BROADCAST_TERMS = 4_000_000
 BITMAP_BITS = 23
 FLUSH = 1_000_000
 TERM_BYTES = 3
 
-#: Kinds and patterns, in the order of the result.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Kinds and characters, in the order of the result.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: What a text must contain for a kind to be possible at all.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Whole chains of digits: with single dots, or with single spaces and hyphens, between them.
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: What a text must contain for a card to be possible at all.
 _DIGITS_12 = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+, each looked for from its "@"."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        free = found.end() if found else at + 1
+        at = text.find("@", free)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+): of each dotted chain every four numbers."""
+    for chain in DOTTED.finditer(text):
+        parts = chain[0].split(".")
+        at = chain.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) < 4 and int(p[-3:]) < 256 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -74,10 +110,10 @@ def base_spans(text: str, digits: bool = True) -> list[tuple[int, int, int, str]
     """(start, kind, end, normal form) of the base kinds, sorted; ``digits`` False says there are none."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end(), m[0].lower()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b, text[a:b].lower()) for a, b in emails(text)]
     if digits:
         if text.count(".") > 2:
-            out += [(m.start(), 1, m.end(), m[0]) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+            out += [(a, 1, b, text[a:b]) for a, b in addresses(text)]
         if _DIGITS_12.search(text):
             out += [(m.start(), 2, m.end(), d) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
@@ -106,9 +142,25 @@ class Scanned:
 
 
 def _entity(kind: int, value: str) -> int:
-    import hashlib
+    """Hash of an entity; its two lowest bits are the kind."""
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True) & -4 | kind
+
 
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+def _disjoint(spans: list[tuple[int, int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the union of sorted spans."""
+    start, end = (np.array([s[i] for s in spans], np.int64) for i in (0, 2))
+    reach = np.maximum.accumulate(end)
+    first = np.concatenate(([True], start[1:] > reach[:-1]))
+    return start[first], reach[np.append(np.flatnonzero(first)[1:] - 1, len(spans) - 1)]
+
+
+def _outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int, str]]) -> np.ndarray:
+    """Which of the words [start, end) meet none of the sorted spans."""
+    if not spans:
+        return np.ones(len(start), bool)
+    low, high = _disjoint(spans)
+    before = np.searchsorted(low, end, "left") - 1  # the last span that begins before the word ends
+    return (before < 0) | (high[np.maximum(before, 0)] <= start)
 
 
 def _together(docs: DataFrame, text_col: str, entities: DataFrame, bits: int) -> DataFrame:
@@ -141,9 +193,7 @@ def _together(docs: DataFrame, text_col: str, entities: DataFrame, bits: int) ->
                     a, b = int(w.first[i]), int(w.first[i + 1])
                     shift = points[offsets[i]]
                     start, end = points[w.starts[a:b]] - shift, points[w.ends[a:b]] - shift
-                    outside = (w.ends[a:b] - w.starts[a:b]) >= TERM_BYTES
-                    for s, _, e, _ in spans_of[t]:
-                        outside[np.searchsorted(end, s, "right") : np.searchsorted(start, e, "left")] = False
+                    outside = ((w.ends[a:b] - w.starts[a:b]) >= TERM_BYTES) & _outside(start, end, spans_of[t])
                     terms = np.unique(w.hashes[a:b][outside]).view(np.int64)
                     if not len(terms):
                         continue
@@ -234,12 +284,14 @@ def _divergence(share, chance):
 def revealing_terms(
     docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS, bitmap_bits: int = BITMAP_BITS
 ) -> DataFrame:
-    """(term): hashes of the terms that give an entity away."""
+    """(term, reveals, removed): hashes of the terms that give an entity away, the kinds of what they
+    give away as bits, and whether the class of these kinds gives an entity away itself."""
     entities = _entities(docs, text_col).groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
     entities = stored(entities, "pii-entities")
     together = _together(docs, text_col, entities, bitmap_bits).groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support)
     together = stored(together, "pii-together")
-    pairs = together.join(entities, "entity").groupBy("term", "both").agg(F.min("with_entity").alias("with_entity"))
+    kind = F.col("entity").bitwiseAND(F.lit(3)).cast("int").alias("kind")
+    pairs = together.join(entities, "entity").groupBy("term", "both", kind).agg(F.min_by(F.struct("entity", "with_entity"), F.struct("with_entity", "entity")).alias("e")).select("term", "both", "kind", "e.*")
     least = together.where("entity is null").select("term", F.col("both").alias("least"))
     pairs = stored(pairs.join(least, "term").where(F.col("both") / F.col("least") >= disclosure).drop("least"), "pii-pairs")
     terms = stored(pairs.select("term").distinct(), "pii-terms")
@@ -247,85 +299,131 @@ def revealing_terms(
     spread = _spread(docs, text_col, terms, bitmap_bits)
     told, chance = F.col("both") / F.col("n"), F.col("with_entity") / F.lit(total)
     judged = pairs.join(spread, "term").where((told >= disclosure) & (told > chance) & (F.col("n") * _divergence(told, chance) >= bits))
-    return stored(judged.select("term").distinct(), "pii-revealing")
-
-
-def _blocks(terms: DataFrame, size: int) -> Iterator[np.ndarray]:
-    block = []
-    for row in terms.orderBy("term").toLocalIterator():
-        block.append(row["term"])
-        if len(block) == size:
-            yield np.sort(np.array(block, np.int64).view(U64))
-            block = []
-    if block:
-        yield np.sort(np.array(block, np.int64).view(U64))
+    judged = stored(judged.select("term", "entity", "both", F.expr("shiftleft(1, kind)").alias("bit")), "pii-judged")
+    reveals = judged.groupBy("term").agg(F.bit_or("bit").alias("reveals"))
+    evidence = judged.join(reveals, "term").groupBy("reveals", "entity").agg(F.sum("both").alias("of_entity"))
+    classes = evidence.groupBy("reveals").agg((F.max("of_entity") / F.sum("of_entity") >= disclosure).alias("removed"))  # 15 rows at most
+    return stored(reveals.join(F.broadcast(classes), "reveals").select("term", "reveals", "removed"), "pii-revealing")
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_KIND = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+_FOUND, _TERMS, _TEXT = "_geoloom_found", "_geoloom_terms", "_geoloom_text"
+_REMOVED = 32  # beside the kinds, in the class of a term
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", block_terms: int = BLOCK_TERMS, **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS, **thresholds) -> DataFrame:
     """All columns of ``docs`` plus found (spans), n_<kind>, base_spans and spans (text forms) and
-    sanitised (each span replaced by its kind in brackets; overlapping spans together)."""
+    sanitised (each span generalised or removed; overlapping spans together).  In found, kinds from 4
+    on are terms: 4 + the kinds that the term reveals as bits, + 32 if it is to be removed."""
     docs = renewed(docs, "found", *[f"n_{k}" for k in KINDS], "base_spans", "spans", "sanitised")
     terms = revealing_terms(docs, text_col, **thresholds)
-    out = _marked(docs.withColumn("found", F.lit(None).cast(_SPAN)), text_col, None)
-    for block in _blocks(terms, block_terms):
-        out = _marked(out, text_col, docs.sparkSession.sparkContext.broadcast(block))
+    terms = terms.select("term", (F.col("reveals") + F.when(F.col("removed"), _REMOVED).otherwise(0)).alias("class"))
+    n = terms.count()
+    if n <= broadcast_terms:
+        rows = terms.orderBy("term").toPandas()
+        table = np.sort(rows["term"].to_numpy(np.int64).view(U64)), rows["class"].to_numpy(np.uint8)[np.argsort(rows["term"].to_numpy(np.int64).view(U64))]
+        out = _marked(docs, text_col, docs.sparkSession.sparkContext.broadcast(table), [])
+    else:
+        keyed = docs.withColumn(_TEXT, F.xxhash64(text_col))
+        hits = _occurrences(keyed.select(_TEXT, text_col), text_col, terms, min(30, max(16, int(np.log2(n)) + 5)))
+        out = _marked(keyed.join(hits, _TEXT, "left").drop(_TEXT), text_col, None, [_TERMS])
     kinds = F.array(*[F.lit(k) for k in KINDS])
 
     def joined(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, F.least(s["kind"], F.lit(4)) + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def number(kind: int):
-        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter("found", lambda s: F.least(s["kind"], F.lit(4)) == kind)).cast("long")
 
-    found = F.array_sort("found")
     counts = {f"n_{k}": number(i) for i, k in enumerate(KINDS)}
-    out = out.withColumns(counts | {"base_spans": joined(F.filter(found, lambda s: s["kind"] < 4)), "spans": joined(found)})
-    return out.withColumn("sanitised", F.pandas_udf(_replaced, "string")(F.col(text_col), F.col("found")))
+    return out.withColumns(counts | {"base_spans": joined(F.filter("found", lambda s: s["kind"] < 4)), "spans": joined(F.col("found"))}).select(*docs.columns, "found", *counts, "base_spans", "spans", "sanitised")
 
 
-def _replaced(text, found):
-    import pandas as pd
+def _occurrences(texts: DataFrame, text_col: str, terms: DataFrame, bits: int) -> DataFrame:
+    """(text hash, terms): per text the revealing terms that occur in it.  A text is joined through its
+    terms, once for each distinct text and term."""
+    flags = texts.sparkSession.sparkContext.broadcast(_bitmap(terms, bits))
 
-    out = []
-    for t, spans in zip(text, found, strict=True):
-        t, at, parts = t or "", 0, []
-        for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-            if s["start"] >= at:
-                parts += [t[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-            at = max(at, s["end"])
-        out.append("".join([*parts, t[at:]]))
-    return pd.Series(out, dtype=object)
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                w = words_of(batch.column(text_col), ALNUM, lower=True)
+                on = flags.value[(w.hashes >> U64(64 - bits)).astype(np.int64)]
+                key = batch.column(_TEXT).to_numpy()[w.text_of[on]]
+                own = np.unique(np.stack((key, w.hashes[on].view(np.int64))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], [_TEXT, "term"])
+
+    met = texts.mapInArrow(run, f"{_TEXT} long, term long").distinct().join(terms, "term")
+    return met.groupBy(_TEXT).agg(F.collect_list(F.struct("term", "class")).alias(_TERMS))
+
+
+def label(kind: int) -> str:
+    """What stands for a span in a sanitised text."""
+    if kind < 4:
+        return f"[{KINDS[kind].upper()}]"
+    reveals = kind - 4
+    return "" if reveals & _REMOVED else "[ALIAS OF AN " + " OR ".join(k.upper() for i, k in enumerate(KINDS[:4]) if reveals >> i & 1) + "]"
+
+
+def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with labels for its spans (start, kind, end); of overlapping ones the first and longest speaks."""
+    at, parts = 0, []
+    for s, k, e in sorted(spans, key=lambda x: (x[0], -x[2])):
+        if s >= at:
+            parts += [text[at:s], label(k)]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
 
 
-def _marked(docs: DataFrame, text_col: str, terms) -> DataFrame:
-    """Adds base spans (terms None) or the spans of a block of terms to ``found``."""
-    names = docs.columns
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+def _marked(docs: DataFrame, text_col: str, broadcast_terms, dropped: list[str]) -> DataFrame:
+    """Adds found, base spans and terms, and the sanitised text.  Terms are broadcast (sorted hashes
+    and classes), or stand beside each text."""
+    shaped = docs.drop(*dropped).withColumns({"found": F.lit(None).cast(_SPAN), "sanitised": F.lit("")})
+    names = shaped.columns[:-2]
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, text_col):
-                found: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
-                if terms is None:
-                    for t, spans in Scanned(batch.column(text_col)).spans.items():
-                        found[t] = [(s, k, e) for s, k, e, _ in spans]
+                scanned = Scanned(batch.column(text_col))
+                w = cut(LOWER[scanned.data], scanned.offsets, ALNUM)
+                if broadcast_terms is not None:
+                    known, classes = broadcast_terms.value
+                    at = np.searchsorted(known, w.hashes)
+                    hits = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == w.hashes) if len(known) else np.zeros(0, np.int64)
+                    of = classes[at[hits]]
                 else:
-                    old = batch.column("found").to_pylist()
-                    data, offsets = text_buffer(batch.column(text_col))
-                    w = cut(LOWER[data], offsets, ALNUM)
-                    at = np.minimum(np.searchsorted(terms.value, w.hashes), len(terms.value) - 1)
-                    hits = np.flatnonzero(terms.value[at] == w.hashes)
-                    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if len(hits) else None
-                    for h, t in zip(hits.tolist(), w.text_of[hits].tolist(), strict=True):
-                        shift = points[offsets[t]]
-                        found[t].append((int(points[w.starts[h]] - shift), 4, int(points[w.ends[h]] - shift)))
-                    for t, spans in enumerate(old):
-                        base = [(x["start"], x["end"]) for x in spans]
-                        found[t] = [(x["start"], x["kind"], x["end"]) for x in spans] + [(s, k, e) for s, k, e in found[t] if not any(a < e and s < b for a, b in base)]
-                column = pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in found], kind)
-                yield pa.RecordBatch.from_arrays([column if n == "found" else batch.column(i) for i, n in enumerate(names)], names)
-
-    return docs.mapInArrow(run, docs.schema)
+                    hits, of = _beside(batch.column(_TERMS), w)
+                points = np.concatenate(([0], np.cumsum((scanned.data & 0xC0) != 0x80))) if len(hits) else None
+                text = w.text_of[hits]
+                edge = np.searchsorted(text, np.arange(batch.num_rows + 1))
+                found, clean = [], []
+                for t in range(batch.num_rows):
+                    base = scanned.spans.get(t, [])
+                    spans = [(s, k, e) for s, k, e, _ in base]
+                    if edge[t] < edge[t + 1]:
+                        own = hits[edge[t] : edge[t + 1]]
+                        start, end = (points[x[own]] - points[scanned.offsets[t]] for x in (w.starts, w.ends))
+                        on = _outside(start, end, base)
+                        spans += zip(start[on].tolist(), (4 + of[edge[t] : edge[t + 1]][on].astype(int)).tolist(), end[on].tolist(), strict=True)
+                    spans.sort(key=lambda x: (x[0], min(x[1], 4), x[2]))
+                    found.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
+                    clean.append(replaced(scanned.text(t), spans))
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found, _KIND), pa.array(clean, pa.string())], [*names, "found", "sanitised"])
+
+    return docs.mapInArrow(run, shaped.schema)
+
+
+def _beside(column: pa.Array, w) -> tuple[np.ndarray, np.ndarray]:
+    """(words that are terms of their own text, their classes), from lists of terms per text."""
+    owner, flat = column.value_parent_indices().to_numpy(), column.flatten()
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    term, kind = (flat.field(c).to_numpy() for c in ("term", "class"))
+    _, number = np.unique(np.concatenate((term, w.hashes.view(np.int64))), return_inverse=True)
+    width = int(number.max()) + 1
+    key, mine = owner * width + number[: len(term)], w.text_of * width + number[len(term) :]
+    order = np.argsort(key)
+    at = np.minimum(np.searchsorted(key[order], mine), len(key) - 1)
+    hits = np.flatnonzero(key[order][at] == mine)
+    return hits, kind[order][at[hits]].astype(np.uint8)

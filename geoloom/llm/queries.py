@@ -59,7 +59,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term", F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
