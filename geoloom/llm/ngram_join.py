@@ -2,8 +2,9 @@
 
 A text's set is its distinct five-word shingles.  Jaccard >= t means an overlap of at least
 T = ceil(t * n) for a set of n shingles, so a partner must occur on T of the n inverted lists.
-The n - T + 1 shortest lists are merged, where one occurrence makes a candidate, and the
-T - 1 longest are never merged but probed by binary search in the candidate's sorted set.
+Lists are divided by length: the L longest are set aside, the others are merged, and a set that the
+merge meets T - L times is a candidate, whose missing occurrences are looked up in the long lists by
+binary search, dropped as soon as T is out of reach.
 
 How it is laid out on a cluster
   * Sets are keyed by a 64-bit fingerprint of the whole set, so exact copies are one class from
@@ -12,20 +13,24 @@ How it is laid out on a cluster
     a bucket sorts them and returns to each class only those shingles that another class has.
     A class with fewer than T of these has no partner and is gone: this removes almost
     all of an ordinary corpus before any candidate exists.  Shingles that are very frequent in
-    a bounded sample of texts skip the bucket, so no bucket holds a hot list; the sample steers
-    only the order of lists (any one order gives the same links), never a result.
-  * Merging: in a hub round each short list proposes pairs with one of its classes only (the
-    smallest at first, then one by a hash of list and round), which is linear in the list; links
-    found are contracted to components, and lists within one component close.  When such a
-    round finds few links, the lists still open try every pair of classes in different
+    a bounded sample of texts skip the bucket; the sample steers only the order of lists (any one
+    order gives the same links), never a result.
+  * Across the cluster the division has L = T - 1: the shortest lists of a class (its "prefix") are
+    joined, where one occurrence makes a candidate, and the other T - 1 are never moved; the pair's
+    sets are probed by binary search.  In a hub round each short list proposes pairs with one of
+    its classes only (the smallest at first, then one by a hash of list and round), which is linear
+    in the list; links found are contracted to components, and lists within one component close.
+    A list is dealt in pieces of at most about ``SPREAD`` postings, so no task gets a hot one.
+  * When such a round finds few links, the lists still open try every pair of classes in different
     components: short lists propose pairs, cut by the size and position bounds; long ones are
-    cut into blocks, whose inverted lists are merged in one task and give links only.  A pair
-    inside a component cannot change the components, so they are exact, and a group of near
-    copies makes no rows for its pairs.
-  * Links of a document, when asked for, are counted per component, block by block.
+    cut into blocks, and a task searches the inverted lists of one block with the sets of another,
+    L chosen for each search by its cost.  A pair inside a component cannot change the components,
+    so they are exact, and a group of near copies makes no rows for its pairs.
+  * Links of a document, when asked for, are counted by the same search within each component.
 
 Shingles are compared by 48 bits of a hash within a bucket of at least 3 bits: two different
-shingles of one pair of 500-shingle texts collide with probability below 1e-9.
+shingles of one pair of 500-shingle texts collide with probability below 1e-9.  Two different sets
+have one fingerprint with probability 2**-64: in 10**8 texts with 3e-4, in 10**10 some three pairs.
 
 Defined results: words are runs of characters other than space and U+0009-000D, A-Z lower-cased;
 a text of one to four words is one shingle; null or wordless texts have n_shingles 0 and are
@@ -53,7 +58,9 @@ SAMPLE_TEXTS = 4_000
 COMMON_LIMIT = 200_000
 HUB_TURNS = 6
 LONG_LIST = 128
+SPREAD = 1024
 BLOCK = 512
+BLOCK_TOKENS = 1_000_000
 _TOKEN_BITS = 48
 _MASK = U64((1 << _TOKEN_BITS) - 1)
 
@@ -239,10 +246,16 @@ def _sharer(parts: int):
     return shared
 
 
-_SETS = "class long, n int, token binary, prefix array<long>"
+_SETS = "class long, n int, token binary, prefix array<struct<list:long,spread:int>>"
 
 
-def _setter(percent: int):
+def _pieces(rank: np.ndarray, per_sample: float) -> np.ndarray:
+    """Into how many pieces a list goes, from its rank: its length, or that in the sample, as a power."""
+    length = np.where(rank < 200, 2.0 ** (rank / 8), per_sample * 2.0 ** ((rank.astype(float) - 200) / 4))
+    return np.ceil(length / SPREAD).astype(np.int32)
+
+
+def _setter(percent: int, per_sample: float):
     def sets(table: pa.Table) -> pa.Table:
         """Classes that share at least T tokens: sorted tokens for probing, and the shortest lists."""
         key, n, owner, token, rank = _gathered(table)
@@ -257,11 +270,12 @@ def _setter(percent: int):
         first, size, shared, short = (x[short > 0] for x in (key[owner[first]], size, shared, short))
         order = np.lexsort((token, rank, own))
         place = np.arange(len(token)) - np.repeat(np.cumsum(shared) - shared, shared)
-        lists = token[order][place < np.repeat(short, shared)]
+        order = order[place < np.repeat(short, shared)]
+        lists = pa.StructArray.from_arrays([pa.array(token[order].view(np.int64)), pa.array(_pieces(rank[order], per_sample))], ["list", "spread"])
         offsets = np.concatenate(([0], np.cumsum(short))).astype(np.int32)
         return pa.table({
             "class": pa.array(first.view(np.int64)), "n": pa.array(size, pa.int32()), "token": _binary(_pack(token), 6 * np.cumsum(shared)),
-            "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.view(np.int64))),
+            "prefix": pa.ListArray.from_arrays(pa.array(offsets), lists),
         })
 
     return sets
@@ -302,18 +316,26 @@ def _contracted(label: DataFrame, links: DataFrame) -> DataFrame:
     return stored(label.join(merged, "root", "left").select("class", F.coalesce("_to", "root").alias("root")), "join-labels")
 
 
+_PIECE = ["list", "piece"]
+
+
+def _all_pieces(lists: DataFrame) -> DataFrame:
+    """A row per list to a row per piece of it."""
+    return lists.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("spread") - 1))).drop("spread")
+
+
 def _open(postings: DataFrame) -> DataFrame:
     """Postings of the lists that still touch two components at least."""
-    mixed = postings.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("list")
-    return stored(postings.join(mixed, "list", "left_semi"), "join-open-lists")
+    mixed = postings.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("spread").alias("spread")).where("lo != hi")
+    return stored(postings.join(_all_pieces(mixed.select("list", "spread")), _PIECE, "left_semi"), "join-open-lists")
 
 
 def _relabelled(postings: DataFrame, label: DataFrame) -> DataFrame:
     return postings.drop("root").join(label, "class")
 
 
-def _side(postings: DataFrame, side: str) -> DataFrame:
-    return postings.select("list", F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("p").alias(f"p_{side}"), F.col("root").alias(f"r_{side}"))
+def _side(postings: DataFrame, side: str, *keys: str) -> DataFrame:
+    return postings.select(*keys, F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("p").alias(f"p_{side}"), F.col("root").alias(f"r_{side}"))
 
 
 def _blocks(long: DataFrame, block: int) -> DataFrame:
@@ -321,10 +343,10 @@ def _blocks(long: DataFrame, block: int) -> DataFrame:
 
     Of each list the component with most postings is the base.  Its postings need not meet each
     other; the rest, cut into blocks, meets the base's blocks and its own."""
-    of_root = long.groupBy("list", "root").agg(F.count("*").alias("m"))
-    shape = of_root.groupBy("list").agg(F.max_by("root", F.struct("m", "root")).alias("base"), F.max("m").alias("most"), F.sum("m").alias("all"))
+    of_root = long.groupBy("list", "root").agg(F.count("*").alias("m"), F.max("spread").alias("spread"))
+    shape = of_root.groupBy("list").agg(F.max_by("root", F.struct("m", "root")).alias("base"), F.max("m").alias("most"), F.sum("m").alias("all"), F.max("spread").alias("spread"))
     blocks = {"n_base": F.ceil(F.col("most") / block).cast("int"), "n_rest": F.ceil((F.col("all") - F.col("most")) / block).cast("int")}
-    placed = long.join(shape.select("list", "base", *[c.alias(k) for k, c in blocks.items()]), "list")
+    placed = long.join(_all_pieces(shape.select("list", "spread", "base", *[c.alias(k) for k, c in blocks.items()])), _PIECE)
     rest = F.col("root") != F.col("base")
     own = F.pmod(F.xxhash64("class"), F.when(rest, F.col("n_rest")).otherwise(F.col("n_base"))).cast("int")
     placed = placed.withColumns({"_own": own, "_rest": rest})
@@ -338,20 +360,49 @@ def _blocks(long: DataFrame, block: int) -> DataFrame:
 
 
 class _Inverted:
-    """Inverted lists of some sets, merged for one query set at a time."""
+    """Inverted lists of some sets, searched for the sets that share T tokens with a query."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int):
         token = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) <= 1 << 16 else np.int32), [len(x) for x in sets])
         order = np.argsort(token, kind="stable")
-        self.token, self.owner, self.n = token[order], owner[order], len(sets)
-
-    def overlaps(self, query: np.ndarray) -> np.ndarray:
-        """How many tokens each set shares with the query."""
+        self.token, self.owner, self.percent = token[order], owner[order], percent
+
+    def _set_aside(self, length: np.ndarray, least: int) -> int:
+        """How many of the lists, rising in length, to probe and not to merge: what the merge reads,
+        and at most so many candidates with a binary search in each long list."""
+        aside = np.arange(min(least, len(length) + 1))
+        total = np.concatenate(([0], np.cumsum(length)))
+        merged = total[len(length) - aside]
+        steps = np.concatenate(([0], np.cumsum(np.log2(length[::-1] + 1.0))))[aside]
+        return int(np.argmin(merged + merged / (least - aside) * steps + 2_000 * aside))
+
+    def search(self, query: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, overlap) of those that share at least T tokens with a query whose whole set has n."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         low, high = np.searchsorted(self.token, query, "left"), np.searchsorted(self.token, query, "right")
-        length = high - low
-        at = np.repeat(low, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        return np.bincount(self.owner[at], minlength=self.n)
+        order = np.argsort(high - low, kind="stable")
+        low, high = low[order], high[order]
+        low, high = low[high > low], high[high > low]
+        least, length = needed(n, self.percent), high - low
+        if len(length) < least:
+            return none
+        aside = self._set_aside(length, least)
+        k = len(length) - aside
+        at = np.repeat(low[:k] - np.cumsum(length[:k]) + length[:k], length[:k]) + np.arange(int(length[:k].sum()))
+        met = np.sort(self.owner[at], kind="stable")
+        edge = np.append(np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1]))), len(met))
+        count, found = np.diff(edge), met[edge[:-1]]
+        on = count >= least - aside
+        found, count = found[on], count[on]
+        for j in range(k, len(length)):
+            if not len(found):
+                return none
+            own = self.owner[low[j] : high[j]]
+            count = count + (own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found)
+            on = count + (len(length) - 1 - j) >= least
+            found, count = found[on], count[on]
+        return found.astype(np.int64), count
 
 
 def _block_linker(percent: int):
@@ -365,12 +416,13 @@ def _block_linker(percent: int):
         if len(left) and len(right):
             key, n, root = (table.column(c).to_numpy() for c in ("class", "n", "root"))
             sets = [_unpack(x) for x in table.column("token").to_pylist()]
-            lists = _Inverted([sets[i] for i in right])
+            lists = _Inverted([sets[i] for i in right], percent)
             for i in left.tolist():
-                common = lists.overlaps(sets[i])
-                hit = np.flatnonzero((100 * common >= percent * (n[right] + n[i] - common)) & (root[right] != root[i]))
-                hit = hit[np.unique(root[right[hit]], return_index=True)[1]]
-                found += [(int(key[i]), int(key[right[j]])) for j in hit]
+                there, common = lists.search(sets[i], n[i])
+                hit = right[there[100 * common >= percent * (n[right[there]] + n[i] - common)]]
+                hit = hit[root[hit] != root[i]]
+                hit = hit[np.unique(root[hit], return_index=True)[1]]
+                found += [(int(key[i]), int(key[j])) for j in hit]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return link
@@ -391,10 +443,11 @@ def _block_counter(percent: int):
             left, right = (rows, rows) if within else (rows[side[rows] == 0], rows[side[rows] == 1])
             if not len(left) or not len(right):
                 continue
-            lists = _Inverted([sets[i] for i in right])
+            lists = _Inverted([sets[i] for i in right], percent)
             for i in left.tolist():
-                common = lists.overlaps(sets[i])
-                hit = right[(100 * common >= percent * (n[right] + n[i] - common)) & (right != i)]
+                there, common = lists.search(sets[i], n[i])
+                hit = right[there[100 * common >= percent * (n[right[there]] + n[i] - common)]]
+                hit = hit[hit != i]
                 linked[i] += weight[hit].sum()
                 if not within:
                     linked[hit] += weight[i]
@@ -408,16 +461,18 @@ def link_counts(label: DataFrame, weights: DataFrame, sets: DataFrame, percent:
     """(class, linked): how many documents of other classes each class links with.
 
     Links lie within components.  Small components are packed together; larger ones are cut into
-    blocks that meet pairwise, a task holding two blocks.  No pair becomes a row, but each pair of
-    classes of a component is counted once, so the work is the square of its distinct sets."""
-    sizes = label.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
+    blocks of about ``BLOCK_TOKENS`` tokens that meet pairwise, a task holding two blocks.  No pair
+    becomes a row, but each pair of classes of a component is searched once, so the work is the square
+    of its distinct sets, and a class travels as often as its component has blocks."""
+    own = label.join(sets.select("class", F.col("n").cast("long").alias("tokens")), "class")
+    sizes = own.groupBy("root").agg(F.count("*").alias("m"), F.sum("tokens").alias("tokens")).where("m > 1")
     placed = stored(label.join(sizes, "root").join(weights, "class"), "join-weighed")
-    packs = max(1, placed.count() // (4 * BLOCK))
+    packs = max(1, -(-(placed.where(F.col("tokens") <= BLOCK_TOKENS).join(own.select("class", F.col("tokens").alias("size")), "class").agg(F.sum("size")).first()[0] or 0) // BLOCK_TOKENS))
     columns = ["class", "root", "weight"]
     zero = F.lit(0)
-    small = placed.where(F.col("m") <= BLOCK).select(*columns, F.pmod(F.xxhash64("root"), F.lit(packs)).alias("pack"), zero.alias("i"), zero.alias("j"), zero.alias("side"))
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = placed.where(F.col("m") > BLOCK).withColumn("_own", F.pmod(F.xxhash64("class"), n_blocks).cast("int")).withColumn("_all", F.sequence(zero, n_blocks - 1))
+    small = placed.where(F.col("tokens") <= BLOCK_TOKENS).select(*columns, F.pmod(F.xxhash64("root"), F.lit(packs)).alias("pack"), zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    n_blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
+    large = placed.where(F.col("tokens") > BLOCK_TOKENS).withColumn("_own", F.pmod(F.xxhash64("class"), n_blocks).cast("int")).withColumn("_all", F.sequence(zero, n_blocks - 1))
     left = large.select(*columns, F.col("root").alias("pack"), F.col("_own").alias("i"), F.explode(F.filter("_all", lambda j: j >= F.col("_own"))).alias("j"), zero.alias("side"))
     right = large.select(*columns, F.col("root").alias("pack"), F.explode(F.filter("_all", lambda i: i < F.col("_own"))).alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side"))
     dealt = small.withColumn("kind", zero).unionByName(left.unionByName(right).withColumn("kind", F.lit(1))).join(sets.select("class", "n", "token"), "class")
@@ -428,10 +483,10 @@ def link_counts(label: DataFrame, weights: DataFrame, sets: DataFrame, percent:
 def _across(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components, from every pair of classes that a list still holds apart: pair by
     pair in short lists, block by block in long ones."""
-    length = postings.groupBy("list").agg(F.count("*").alias("_length"))
-    sized = stored(postings.join(length, "list"), "join-sized-lists")
-    short, long = (sized.where(c).drop("_length") for c in (F.col("_length") <= LONG_LIST, F.col("_length") > LONG_LIST))
-    pairs = _side(short, "a").join(_side(short, "b"), "list").where("a < b AND r_a != r_b").where(_possible(percent)).select("a", "b").distinct()
+    length = postings.groupBy("list").agg(F.count("*").alias("length"), F.max("spread").alias("spread"))
+    sized = stored(postings.join(_all_pieces(length), _PIECE), "join-sized-lists")
+    short, long = (sized.where(c).drop("length") for c in (F.col("length") <= LONG_LIST, F.col("length") > LONG_LIST))
+    pairs = _side(short, "a", "list").join(_side(short, "b", "list"), "list").where("a < b AND r_a != r_b").where(_possible(percent)).select("a", "b").distinct()
     links = _verified(stored(pairs, "join-cross-pairs"), sets, percent)
     if not long.isEmpty():
         dealt = _blocks(long, BLOCK).join(sets.select("class", "token"), "class")
@@ -446,16 +501,18 @@ def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, perc
     buckets = max(8, -(-total // BUCKET_SHINGLES))
     common = spark.sparkContext.broadcast(_common(docs, text_col, k, n_docs, SAMPLE_TEXTS, COMMON_LIMIT))
     shared = _send(docs, text_col, k, buckets, common).groupBy("bucket").applyInArrow(_sharer(buckets), _SHARED)
-    sets = stored(shared.groupBy("part").applyInArrow(_setter(percent), _SETS), "join-sets")
+    sets = stored(shared.groupBy("part").applyInArrow(_setter(percent, max(1.0, n_docs / SAMPLE_TEXTS)), _SETS), "join-sets")
     own = F.size("prefix") - 1 + (F.ceil(F.lit(percent) * F.col("n") / 100)).cast("int")  # shared tokens
-    lists = sets.select("class", "n", (F.col("n") - own).alias("unique"), F.posexplode("prefix").alias("at", "list"))
-    postings = _open(lists.select("list", "class", "n", (F.col("unique") + F.col("at") + 1).alias("p"), F.col("class").alias("root")))
+    lists = sets.select("class", "n", (F.col("n") - own).alias("unique"), F.posexplode("prefix").alias("at", "l"))
+    piece = F.pmod(F.xxhash64("class"), F.col("l.spread")).cast("int").alias("piece")
+    postings = _open(lists.select("l.list", piece, "l.spread", "class", "n", (F.col("unique") + F.col("at") + 1).alias("p"), F.col("class").alias("root")))
     label = sets.select("class", F.col("class").alias("root"))
 
     for turn in range(HUB_TURNS):
         rank = F.col("class") if turn == 0 else F.xxhash64("list", "class", F.lit(turn))
-        hubs = postings.groupBy("list").agg(F.min_by(F.struct("class", "n", "p", "root"), rank).alias("hub")).select("list", "hub.*")
-        pairs = _side(hubs, "a").join(_side(postings, "b"), "list").where("r_a != r_b").where(_possible(percent))
+        hubs = postings.groupBy("list").agg(F.min_by(F.struct("class", "n", "p", "root"), rank).alias("hub"), F.max("spread").alias("spread"))
+        hubs = _all_pieces(hubs.select("list", "spread", "hub.*"))
+        pairs = _side(hubs, "a", *_PIECE).join(_side(postings, "b", *_PIECE), _PIECE).where("r_a != r_b").where(_possible(percent))
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-hub-pairs")
         links = stored(_verified(pairs, sets, percent), "join-hub-links")
         found, tried = links.count(), pairs.count()

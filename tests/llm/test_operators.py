@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate as wu_manber, fingerprint, mixing, ngram_join, pii, quality, secrets, sharding, substring_dedup, textkernel, token_output, workspace
+from geoloom.llm import decontaminate as wu_manber, fingerprint, graph, mixing, ngram_join, pii, quality, secrets, sharding, substring_dedup, textkernel, token_output, workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [f"w{i}" for i in range(400)] + ["é", "ça", "straße", "日本", "A", "a"]
@@ -85,9 +85,9 @@ def components(rows):
     return [(i, len(s), best[find(x)] if s else i) for x, (i, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("long_list", "block", "turns"), [(128, 512, 6), (3, 4, 1), (3, 4, 0)])
-def test_join_components(spark, rows, monkeypatch, long_list, block, turns):
-    for name, value in (("LONG_LIST", long_list), ("BLOCK", block), ("HUB_TURNS", turns), ("BUCKET_SHINGLES", 900), ("FLUSH", 500)):
+@pytest.mark.parametrize(("long_list", "block", "turns", "spread"), [(128, 512, 6, 1024), (3, 4, 1, 2), (3, 4, 0, 3)])
+def test_join_components(spark, rows, monkeypatch, long_list, block, turns, spread):
+    for name, value in (("LONG_LIST", long_list), ("BLOCK", block), ("HUB_TURNS", turns), ("SPREAD", spread), ("BLOCK_TOKENS", 150 * block), ("BUCKET_SHINGLES", 900), ("FLUSH", 500)):
         monkeypatch.setattr(ngram_join, name, value)
     got = ngram_join.jaccard_components(frame(spark, rows), count_links=True).collect()
     assert sorted((r.id, r.n_shingles, r.component) for r in got) == sorted(components(rows))
@@ -96,6 +96,52 @@ def test_join_components(spark, rows, monkeypatch, long_list, block, turns):
     assert {r.id: r.n_links for r in got} == links
 
 
+def test_search_of_inverted_lists(monkeypatch):
+    """Divided lists find what counting all of them finds, however many are set aside."""
+    rng = np.random.default_rng(2)
+    common = rng.choice(2**40, 400, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(common, rng.integers(1, 60)), rng.choice(common[:40], rng.integers(1, 40)))) if k % 3 else common[k : k + 50]) for k in range(120)]
+    lists = ngram_join._Inverted(sets, 75)
+    chosen, real = [], ngram_join._Inverted._set_aside
+    for pick in (real, lambda self, length, least: least - 1, lambda self, length, least: 0, lambda self, length, least: (least - 1) // 2):
+        monkeypatch.setattr(ngram_join._Inverted, "_set_aside", lambda self, length, least, pick=pick: (chosen.append(x := pick(self, length, least)), x)[1])
+        for query in sets:
+            n = len(query)
+            got = dict(zip(*(x.tolist() for x in lists.search(query, n)), strict=True))
+            both = {k: len(np.intersect1d(query, x)) for k, x in enumerate(sets)}
+            assert got == {k: v for k, v in both.items() if v >= ngram_join.needed(n, 75)}
+    assert len(set(chosen)) > 10
+    long = np.array([1] * 30 + [5000] * 10)
+    assert real(lists, long, 30) == 10  # few short lists are merged, the long ones probed
+    assert real(lists, np.full(40, 1000), 30) == 0
+
+
+def test_pieces_of_lists():
+    rank = np.minimum(199, 8 * np.log2(np.array([1, 2, 900, 5000, 100_000]))).astype(np.uint8)
+    assert ngram_join._pieces(rank, 1.0).tolist() == [1, 1, 1, 5, 91]
+    assert ngram_join._pieces(np.array([200, 240], np.uint8), 50.0).tolist() == [1, 50]
+
+
+def test_components_of_random_graphs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FLUSH", 7)
+    rng = random.Random(9)
+    for n, m, parts in ((60, 40, 5), (200, 260, 4), (50, 49, 6)):
+        links = [(rng.randrange(n) - 20, rng.randrange(n) - 20) for _ in range(m)] if n != 50 else [(i, i + 1) for i in range(49)]
+        parent = {x: x for l in links for x in l}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        got = graph.components(spark.createDataFrame(links, "a long, b long").repartition(parts)).collect()
+        linked = {x for a, b in links if a != b for x in (a, b)}
+        assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in linked)
+
+
 def test_join_keeps_links_when_the_sample_calls_lists_common(spark, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "SAMPLE_TEXTS", 10_000)
     got = ngram_join.jaccard_components(frame(spark, rows * 2)).select("id", "n_shingles", "component").collect()
