@@ -18,6 +18,10 @@ from geoloom.llm.substring_dedup import dedup_substrings
 from geoloom.llm.token_output import training_order
 
 
+#: A public byte-level BPE with 50,256 ranks.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,7 +58,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return training_order(_table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
 def op8_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

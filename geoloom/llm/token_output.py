@@ -8,14 +8,19 @@ of these numbers and gives each record its global slot.  Slots are dealt by rang
 slots [s * shard_records, (s + 1) * shard_records) in order, so a reader resumes at any slot
 by seeking to a multiple of the stride.
 
-Scale: records are written once to the shared folder with their number within the task that made
-them; offsets of tasks are sums over one row per task.  The numbering is then data, and a lost
-executor costs re-reads only.  The one shuffle of records deals them to their shards.
-A text is cut before each space that follows a non-space, which is always a border of the
-vocabulary's own pre-tokenisation; each distinct piece of a chunk is encoded once.
-
-Defined results: null or empty text makes no record; identical rows make records of their own;
-an empty table gives an empty result.  The numbering follows the order of the input's partitions.
+The number of a record comes from its data alone: documents are dealt to buckets by a hash of id and
+text, a bucket is ordered by id, that hash and the place in the text, and buckets follow one another.
+So any rerun, on any partitioning, gives the same records the same slots.
+
+Scale: records go to their bucket (``BUCKET_ROWS`` documents on average) in one shuffle and are written
+to the shared folder with their number in it; first numbers of buckets are sums over one row per
+bucket.  A lost executor then costs re-reads only.  The second shuffle deals records straight to
+the partition of their shard, without sampling.  A text is cut before each space that follows a
+non-space, which is always a border of the vocabulary's own pre-tokenisation; each distinct piece of
+a chunk is encoded once.
+
+Defined results: null or empty text makes no record; identical rows make records of their own, which
+may stand for each other; an empty table gives an empty result.  Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -29,7 +34,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from geoloom.llm.textkernel import U64, mix, pieces, segment_hashes, text_buffer
 from geoloom.llm.workspace import stored
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEPARATOR = 50256
 #: Fixed value: the pre-tokenisation that the vocabulary was made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,7 +42,8 @@ SHARD_RECORDS = 16_384
 KEY = 0x5DEECE66D
 ROUNDS = 6
 CHUNK_BYTES = 1 << 20
-BROADCAST_TASKS = 500_000
+BUCKET_ROWS = 2_000
+BROADCAST_BUCKETS = 500_000
 
 _encodings: dict[int, tuple] = {}
 
@@ -120,22 +125,19 @@ def encode_texts(column: pa.Array, raw_vocabulary: bytes, dtype) -> tuple[np.nda
     return _flat(np.concatenate(parts).astype(dtype), base[inverse], length), np.concatenate(([0], np.cumsum(length)))[first[1:]]
 
 
-_RECORD = "part int, number long, chunk int, n_tokens int, tokens binary"
+_RECORD = "row long, chunk int, n_tokens int, tokens binary"
 
 
 def records(docs: DataFrame, id_col: str, text_col: str, vocabulary: bytes, length: int, separator: int) -> DataFrame:
-    """(id, part, number, chunk, n_tokens, tokens): the records of each text, numbered in their task."""
+    """(id, row, chunk, n_tokens, tokens): the records of each text; row is a hash of id and text."""
     kind = docs.schema[id_col].dataType.simpleString()
     dtype = np.dtype("<u2") if separator < 1 << 16 else np.dtype("<u4")
     raw = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in pieces(whole, text_col, CHUNK_BYTES):
-                ids, ends = encode_texts(batch.column(text_col), raw.value, dtype)
+            for batch in pieces(whole, "text", CHUNK_BYTES):
+                ids, ends = encode_texts(batch.column("text"), raw.value, dtype)
                 size = np.diff(ends, prepend=0)
                 size_all = np.where(size > 0, size + 1, 0)  # with the separator
                 n = -(-size_all // length)
@@ -146,30 +148,33 @@ def records(docs: DataFrame, id_col: str, text_col: str, vocabulary: bytes, leng
                 chunk = np.arange(len(text)) - np.repeat(first, n)
                 stride = length * dtype.itemsize
                 blob = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((np.arange(len(text) + 1) * stride).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                own = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(id_col).take(pa.array(text)), pa.array(np.full(len(text), part), pa.int32()), pa.array(number + np.arange(len(text)), pa.int64()),
-                        pa.array(chunk, pa.int32()), pa.array(np.minimum(length, size_all[text] - chunk * length), pa.int32()), blob,
-                    ],
-                    ["id", "part", "number", "chunk", "n_tokens", "tokens"],
+                    [batch.column("id").take(own), batch.column("row").take(own), pa.array(chunk, pa.int32()), pa.array(np.minimum(length, size_all[text] - chunk * length), pa.int32()), blob],
+                    ["id", "row", "chunk", "n_tokens", "tokens"],
                 )
-                number += len(text)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {_RECORD}")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
+    return named.mapInArrow(run, f"id {kind}, {_RECORD}")
 
 
 def training_order(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, separator: int = SEPARATOR, length: int = LENGTH,
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, length: int = LENGTH,
     shard_records: int = SHARD_RECORDS, key: int = KEY,
 ) -> DataFrame:
-    """(shard, slot, id, chunk, n_tokens, tokens), range-partitioned by shard and sorted by slot;
-    tokens are ``length`` little-endian ids of 16 bits (32 if the vocabulary needs them)."""
-    with open(vocabulary, "rb") as file:  # a fixed file beside the library, read by the driver and broadcast
+    """(shard, slot, id, chunk, n_tokens, tokens), a partition per shard and sorted by slot;
+    tokens are ``length`` little-endian ids of 16 bits (32 if the vocabulary needs them).  ``vocabulary``
+    is the path of the ranks on the driver, which broadcasts them."""
+    with open(vocabulary, "rb") as file:
         raw = file.read()
-    made = stored(records(docs, id_col, text_col, raw, length, separator), "token-records")
-    per_part = made.groupBy("part").agg(F.max("number").alias("last"))
-    parts = stored(per_part.withColumn("base", F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("last"), "token-parts")
-    n_parts, n = parts.count(), made.count()
+    buckets = docs.count() // BUCKET_ROWS + 1
+    made = records(docs, id_col, text_col, raw, length, separator).withColumn("bucket", F.pmod("row", F.lit(buckets)))
+    place = Window.partitionBy("bucket").orderBy("id", "row", "chunk")
+    made = stored(made.withColumn("number", F.row_number().over(place) - 1).drop("row"), "token-records")
+    per_bucket = made.groupBy("bucket").agg(F.max("number").alias("last"))
+    base = F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = stored(per_bucket.withColumn("base", base).drop("last"), "token-buckets")
+    n = made.count()
 
     @F.pandas_udf("long")
     def slot(number):
@@ -177,9 +182,9 @@ def training_order(
 
         return pd.Series(feistel(number.to_numpy(), n, key))
 
-    placed = made.join(F.broadcast(parts) if n_parts <= BROADCAST_TASKS else parts, "part").withColumn("slot", slot(F.col("base") + F.col("number")))
+    placed = made.join(F.broadcast(bases) if buckets <= BROADCAST_BUCKETS else bases, "bucket").withColumn("slot", slot(F.col("base") + F.col("number")))
     placed = placed.select(F.floor(F.col("slot") / shard_records).cast("long").alias("shard"), "slot", "id", "chunk", "n_tokens", "tokens")
-    return placed.repartitionByRange(max(1, -(-n // shard_records)), "shard").sortWithinPartitions("slot")
+    return placed.repartitionById(max(1, -(-n // shard_records)), F.col("shard").cast("int")).sortWithinPartitions("slot")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:

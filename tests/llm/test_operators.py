@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate as wu_manber, fingerprint, graph, mixing, ngram_join, pii, quality, secrets, sharding, substring_dedup, textkernel, token_output, workspace
+from geoloom.llm import decontaminate as wu_manber, fingerprint, graph, mixing, ngram_join, pii, quality, queries, secrets, sharding, substring_dedup, textkernel, token_output, workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [f"w{i}" for i in range(400)] + ["é", "ça", "straße", "日本", "A", "a"]
@@ -570,7 +570,7 @@ def test_shards_written(spark, rows, tmp_path):
 def encoding():
     tiktoken = pytest.importorskip("tiktoken")
     try:
-        lines = open(token_output.VOCABULARY, "rb").read().splitlines()
+        lines = open(queries.VOCABULARY, "rb").read().splitlines()
     except OSError:
         pytest.skip("no vocabulary")
     return tiktoken.Encoding("t", pat_str=token_output.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, special_tokens={})
@@ -578,7 +578,7 @@ def encoding():
 
 def test_tokens_round_trip(spark, rows, encoding, tmp_path):
     rows = rows + [(10**7 + i, t) for i, t in enumerate(["a  b   x  \n y'll don't", "　 　a", "é à  b  c", " lead  trail  ", "日本 語  x"])]
-    made = workspace.stored(token_output.training_order(frame(spark, rows), length=16, shard_records=50), "t")
+    made = workspace.stored(token_output.training_order(frame(spark, rows), queries.VOCABULARY, length=16, shard_records=50), "t")
     got = made.orderBy("slot").collect()
     assert [r.slot for r in got] == list(range(len(got)))
     assert all(r.shard == r.slot // 50 for r in got)
@@ -600,9 +600,31 @@ def test_tokens_round_trip(spark, rows, encoding, tmp_path):
     assert [r.slot for r in token_output.read_from(made, len(got) - 3).collect()] == list(range(len(got) - 3, len(got)))
 
 
+def test_slots_do_not_depend_on_partitions(spark, rows, encoding, monkeypatch):
+    """Numbers by bucket, id, hash and chunk, permuted: the same slots from any split of the input."""
+    monkeypatch.setattr(token_output, "BUCKET_ROWS", 10)
+    made = [
+        sorted((r.slot, r.shard, r.id, r.chunk, bytes(r.tokens)) for r in token_output.training_order(df, queries.VOCABULARY, length=16, shard_records=50).collect())
+        for df in (frame(spark, rows), frame(spark, rows).repartition(1), frame(spark, rows[::-1]).repartition(11))
+    ]
+    assert made[0] == made[1] == made[2]
+    row = {r.doc_id: r.h for r in frame(spark, rows).select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    n, buckets = len(made[0]), len(rows) // 10 + 1
+    order = sorted((row[i] % buckets, i, row[i], chunk) for _, _, i, chunk, _ in made[0])
+    slots = token_output.feistel(np.arange(n), n)
+    assert {(i, chunk): int(slots[k]) for k, (_, i, _, chunk) in enumerate(order)} == {(i, chunk): s for s, _, i, chunk, _ in made[0]}
+
+
 def test_tokens_odd_rows(spark, encoding):
-    got = token_output.training_order(odd(spark), length=64)
-    assert {r.id for r in got.select("id").distinct().collect()} == {i for i, t in ODD if t}
+    got = token_output.training_order(odd(spark), queries.VOCABULARY, length=64).collect()
+    whole = Counter()
+    for r in got:
+        whole[r.id] += r.n_tokens
+    want = Counter()
+    for i, t in ODD:
+        if t:
+            want[i] += len(encoding.encode_ordinary(t)) + 1
+    assert whole == want
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
@@ -882,7 +904,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     for made in (
         ngram_join.jaccard_components(none), ngram_join.keep_one(none), fingerprint.fingerprints(none), substring_dedup.dedup_substrings(none), wu_manber.decontaminate(none, bench),
-        secrets.scan_secrets(none), sharding.assign_shards(none), token_output.training_order(none),
+        secrets.scan_secrets(none), sharding.assign_shards(none), token_output.training_order(none, queries.VOCABULARY),
     ):
         assert made.count() == 0
 

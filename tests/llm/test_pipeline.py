@@ -98,7 +98,7 @@ def test_stages(spark, folder, tmp_path):
     assert max(Counter(r[0] for r in mixed_rows).values()) <= 3
 
     tiktoken = pytest.importorskip("tiktoken")
-    lines = open(token_output.VOCABULARY, "rb").read().splitlines()
+    lines = open(queries.VOCABULARY, "rb").read().splitlines()
     encoding = tiktoken.Encoding("t", pat_str=token_output.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, special_tokens={})
     assert sorted(r.slot for r in records) == list(range(len(records)))
     texts = Counter((r[0], r[1]) for r in mixed_rows if r[1])
