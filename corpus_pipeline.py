@@ -12,6 +12,7 @@ from geoloom.llm.decontaminate import decontaminate
 from geoloom.llm.mixing import emitted, mix_sources
 from geoloom.llm.ngram_join import keep_one
 from geoloom.llm.quality import resample
+from geoloom.llm.queries import VOCABULARY
 from geoloom.llm.token_output import training_order
 from geoloom.llm.workspace import shielded, stored
 from geoloom.shipping import shipping
@@ -43,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: token records in training order."""
-    return training_order(docs).withColumnRenamed("id", "doc_id")
+    return training_order(docs, VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
