@@ -2,14 +2,15 @@
 
 Tokens (words) are summed per source; a source's target is its weight's share of the total,
 stopped at ``max_rate`` times what it has, the excess going to the others by weight until none is
-above.  That fixed point is a water level L with target = min(cap, L * weight), found in closed
-form from the sources sorted by cap / weight.  The rate is target / size; a document is taken
+above.  That fixed point is a water level L with target = min(cap, L * weight): it starts as if
+none were stopped and is raised by what those over their cap leave, until no more go over.  The rate is target / size; a document is taken
 floor(rate) times, plus once more if a uniform hash of (seed, doc_id) lies below the fraction.
 
 Scale: one map-side-combined aggregate over the documents, then work on one row per source.  The
 rates are joined back by broadcast only while the sources number at most ``broadcast_sources``;
-beyond that it is an ordinary join whose skewed source AQE splits.  The global windows below run
-on the table of sources, never on documents.
+beyond that it is an ordinary join whose skewed source AQE splits.  Sources may be as many as hosts:
+their ranks come from ranges (a row per range is summed in order) and the water level from a few
+aggregates, exact sums of whole numbers, so no task holds them all.
 
 Defined results: a null source is a source of its own, last in order; null or wordless text has
 size 0 and is taken 0 words; a source without words has target 0; an empty table gives no rows;
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geoloom.llm.workspace import renewed
+from geoloom.llm.workspace import renewed, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_RATE = 3.0
@@ -38,24 +39,36 @@ def uniform(seed: int, key: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Adds rank, from 0, by code point with null last: places within ranges, and where each range begins."""
+    key = [F.col("source").isNull(), F.col("source").cast("binary")]
+    ranged = stored(sizes.repartitionByRange(*key).withColumn("range", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*key)) - 1
+    return ranged.withColumn("place", place).join(first, "range").withColumn("rank", F.col("first") + F.col("place")).drop("range", "place", "first")
+
+
+def water_level(table: DataFrame, max_rate: float) -> float:
+    """L for which the sum of min(max_rate * size, L * weight) is the sum of sizes; (source_size, weight)."""
+    total, weights = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = total / weights if weights else float("inf")
+    while True:
+        over = F.col("source_size") * F.lit(float(max_rate)) / F.col("weight") < F.lit(level)
+        full, free = table.agg(F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        higher = (total - max_rate * full) / free if free else float("inf")
+        if higher <= level:
+            return level
+        level = higher
+
+
 def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
-    """From (source, source_size): weight, target and rate of each source."""
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    everything = Window.partitionBy()
-    table = sizes.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    table = table.withColumn("_cap", F.col("source_size") * F.lit(float(max_rate))).withColumn("_level", F.col("_cap") / F.col("_weight"))
-    rising = Window.orderBy("_level", F.col("source").isNull(), F.col("source").cast("binary"))
-    table = (
-        table.withColumn("_total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("_below", F.coalesce(F.sum("_cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_open", F.sum("_weight").over(rising.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_share", (F.col("_total") - F.col("_below")) / F.col("_open"))
-    )
-    # the first source, by level, that its share does not fill sets the water level
-    level = F.min(F.when(F.col("_share") <= F.col("_level"), F.struct("_level", "_share"))).over(everything)["_share"]
-    target = F.least(F.col("_cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("_weight"))
+    """From (source, source_size): _source, source_size, weight, target and rate of each source."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = stored(_ranked(sizes).select("source", "source_size", weight.alias("weight")), "mix-weights")
+    target = F.least(F.col("source_size") * F.lit(float(max_rate)), F.lit(water_level(table, max_rate)) * F.col("weight"))
     return table.withColumn("target", target).select(
-        F.col("source").alias("_source"), "source_size", F.col("_weight").alias("weight"), "target",
+        F.col("source").alias("_source"), "source_size", "weight", "target",
         F.when(F.col("source_size") > 0, F.least(F.lit(float(max_rate)), F.col("target") / F.col("source_size"))).otherwise(0.0).alias("rate"),
     )
 
@@ -70,7 +83,7 @@ def mix_sources(
     sized = docs.withColumn("size", n_words(F.col(text_col)))
     sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     rates = source_rates(sizes, weights, max_rate)
-    few = docs.select(source_col).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
+    few = rates.count() <= broadcast_sources
     joined = sized.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
     coin = (uniform(seed, F.col(id_col)) < F.col("rate") - F.floor("rate")).cast("int")
     return joined.withColumn("copies", (F.floor("rate") + coin).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))

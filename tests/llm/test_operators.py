@@ -892,8 +892,31 @@ def test_mixing(spark):
     assert sorted(map(tuple, small)) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Ranks over several ranges, and sources that reach their cap one after another."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * int(3 ** rng.uniform(0, 6))), f"s{rng.randrange(70)}" if i % 40 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, target = mixed(rows)
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = mixing.mix_sources(df, broadcast_sources=5).collect()
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        assert {r.source: r.source_size for r in got} == size
+        assert all(r.target == pytest.approx(target[r.source]) for r in got)
+    assert 3 < sum(target[s] == 3 * size[s] for s in size) < len(size)
+
+
 def test_mixing_odd_rows(spark):
-    assert mixing.mix_sources(odd(spark)).count() == len(ODD)
+    own = odd(spark).withColumns({"weight": F.lit("mine"), "rank": F.lit(1)})
+    got = mixing.mix_sources(own)
+    assert sorted(got.columns) == sorted([c for c in own.columns if c not in ("size", "weight")] + ["size", "source_size", "weight", "target", "rate", "copies", "taken"])
+    size, target = mixed([(i, t, "s" if i is not None and i > 2 else None) for i, t in ODD])
+    assert got.where("rank = 1 AND _row = 1 AND bytes = 'b'").count() == len(ODD)
+    for r in got.collect():
+        assert (r["size"], r.source_size) == (len(WORD.findall(r.text or "")), size[r.source])
+        assert r.target == pytest.approx(target[r.source])
+        assert r.taken == r["size"] * r.copies <= 3 * r["size"]
     assert mixing.mix_sources(odd(spark).limit(0)).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix_sources(empty).collect()] == [(0.0, 0)] * 2
