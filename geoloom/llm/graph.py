@@ -68,9 +68,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     edges = stored(pairs.mapInArrow(_planted, "u long, v long"), name)
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{name}-least")  # so that the join can split a hub
+        large = stored(both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = large.join(lowest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = stored(small.where("u != v").distinct(), name)
     return edges.distinct().select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

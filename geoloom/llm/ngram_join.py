@@ -465,7 +465,7 @@ def link_counts(label: DataFrame, weights: DataFrame, sets: DataFrame, percent:
     becomes a row, but each pair of classes of a component is searched once, so the work is the square
     of its distinct sets, and a class travels as often as its component has blocks."""
     own = label.join(sets.select("class", F.col("n").cast("long").alias("tokens")), "class")
-    sizes = own.groupBy("root").agg(F.count("*").alias("m"), F.sum("tokens").alias("tokens")).where("m > 1")
+    sizes = stored(own.groupBy("root").agg(F.count("*").alias("m"), F.sum("tokens").alias("tokens")).where("m > 1"), "join-sizes")
     placed = stored(label.join(sizes, "root").join(weights, "class"), "join-weighed")
     packs = max(1, -(-(placed.where(F.col("tokens") <= BLOCK_TOKENS).join(own.select("class", F.col("tokens").alias("size")), "class").agg(F.sum("size")).first()[0] or 0) // BLOCK_TOKENS))
     columns = ["class", "root", "weight"]
@@ -535,7 +535,7 @@ def jaccard_components(
     members = stored(membership(docs, id_col, text_col, k), "join-members")
     roots, sets = class_links(docs, members, text_col, k, percent)
     rooted = stored(members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "join-rooted")
-    smallest = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("component"))
+    smallest = stored(rooted.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("component")), "join-smallest")  # so that the join can split a large component
     named = rooted.join(smallest, "root", "left")
     names = ["id", "n_shingles", "class", "root", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component")]
     if count_links:
