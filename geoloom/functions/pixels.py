@@ -16,8 +16,8 @@ def matched(value: Column, mean: Column, std: Column, to_mean: Column, to_std: C
 
 
 def to_byte(value: Column) -> Column:
-    """Clip to 0..255 and truncate; NaN and null give null instead of a wrapped number."""
-    return F.when(~F.isnan(value), F.least(F.lit(255.0), F.greatest(F.lit(0.0), value)).cast("int"))
+    """Clip to 0..255 and truncate; NaN gives 0, as in byte strips, and null gives null."""
+    return F.when(F.isnan(value), 0).when(value.isNotNull(), F.least(F.lit(255.0), F.greatest(F.lit(0.0), value)).cast("int"))
 
 
 def unit(pixels: Column) -> Column:
@@ -48,6 +48,23 @@ def flipped(position: Column, size: int | Column, flip: Column) -> Column:
     return F.when(flip, size - 1 - position).otherwise(position)
 
 
+def transformed(
+    pixels: Column, height: int, width: int, train: Column, seed: int, epoch: Column, key: Column,
+    mean: tuple[float, ...] = CHANNEL_MEAN, std: tuple[float, ...] = CHANNEL_STD,
+) -> Column:
+    """The transform of a split in one expression: interleaved (H*W*C) bytes to a normalised (C*H*W)
+    tensor, mirrored along both axes by a training row's own coins; other rows keep their place."""
+    n, area = len(mean), height * width
+    wide, tall = (train & coin(seed, epoch, key, salt) for salt in "hv")
+
+    def value(i: Column) -> Column:
+        c, y, x = F.floor(i / area).cast("int"), F.floor(i % area / width).cast("int"), i % width
+        source = (flipped(y, height, tall) * width + flipped(x, width, wide)) * n + c
+        return (F.get(pixels, source) / F.lit(255.0) - F.get(F.lit(list(mean)), c)) / F.get(F.lit(list(std)), c)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(area * n - 1)), value)
+
+
 def _weights(n_in: int, n_out: int) -> np.ndarray:
     """Row-normalised triangle filter between pixel centres; widened when shrinking."""
     scale = n_in / n_out

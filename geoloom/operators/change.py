@@ -11,11 +11,11 @@ from geoloom.functions.geo import centroid
 GREY, GREEN, RED = (0.85, 0.85, 0.85), (0.1, 0.5, 0.1), (0.85, 0.1, 0.1)
 
 
-def was_forest(label: Column, conf: Column, min_conf: float = 0.0, forest: tuple[int, ...] = FOREST_LABELS) -> Column:
+def was_forest(label: Column, conf: Column, min_conf: float | Column = 0.0, forest: tuple[int, ...] = FOREST_LABELS) -> Column:
     return label.isin(*forest) & (conf >= min_conf)
 
 
-def became_target(label: Column, conf: Column, min_conf: float = 0.0, target: tuple[int, ...] = TARGET_LABELS) -> Column:
+def became_target(label: Column, conf: Column, min_conf: float | Column = 0.0, target: tuple[int, ...] = TARGET_LABELS) -> Column:
     return label.isin(*target) & (conf >= min_conf)
 
 
@@ -35,9 +35,21 @@ def change_cells(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("row", "co
     return left.join(right, list(keys)).withColumns({"was_forest": forest, "change": forest & became_target(F.col("label_b"), F.col("conf_b"), min_conf)})
 
 
-def change_summary(changed: DataFrame) -> DataFrame:
-    """(n_forest, n_change, percent): percent of forest cells to one digit, 0 without forest."""
-    counts = changed.agg(F.count_if("was_forest").alias("n_forest"), F.count_if("change").alias("n_change"))
+def gated(changed: DataFrame, min_conf: Column) -> DataFrame:
+    """The same cells judged again at another gate, which may be a column."""
+    forest = was_forest(F.col("label_a"), F.col("conf_a"), min_conf)
+    return changed.withColumns({"was_forest": forest, "change": forest & became_target(F.col("label_b"), F.col("conf_b"), min_conf)})
+
+
+def paired(b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The second date's cells under the names of the first date's scenes, by pairs(scene_a, scene_b).
+    Scenes of two dates then meet on (scene_id, row, col), any number of them in one job."""
+    return b.join(pairs, F.col("scene_id") == F.col("scene_b")).drop("scene_id", "scene_b").withColumnRenamed("scene_a", "scene_id")
+
+
+def change_summary(changed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n_forest, n_change, percent): percent of forest cells to one digit, 0 without forest."""
+    counts = changed.groupBy(*keys).agg(F.count_if("was_forest").alias("n_forest"), F.count_if("change").alias("n_change"))
     return counts.withColumn("percent", F.round(100 * F.col("n_change") / F.greatest(F.col("n_forest"), F.lit(1)), 1))
 
 
@@ -46,8 +58,8 @@ def change_events(changed: DataFrame, bounds: DataFrame, classes: DataFrame, key
     stands below both joins; order them by the keys when writing."""
     x, y = centroid(*(F.col(c) for c in ("left", "bottom", "right", "top")))
     found = changed.where("change").select(*keys, "label_a", "label_b").join(bounds, list(keys))
-    for side, name in (("label_a", "from_class"), ("label_b", "to_class")):
-        found = found.join(F.broadcast(classes.select(F.col("label").alias(side), F.col("class_name").alias(name))), side)
+    for side, name in (("label_a", "from_class"), ("label_b", "to_class")):  # Spark broadcasts a few classes by itself
+        found = found.join(classes.select(F.col("label").alias(side), F.col("class_name").alias(name)), side)
     return found.select(*keys, x.alias("centroid_x"), y.alias("centroid_y"), "from_class", "to_class", F.lit(crs).alias("crs"))
 
 

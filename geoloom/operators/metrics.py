@@ -29,10 +29,14 @@ def detection_scores(counts: DataFrame, digits: int = 4) -> DataFrame:
     return counts.withColumns({k: F.round(v, digits) for k, v in scores.items()})
 
 
-def threshold_sweep(changed: DataFrame, fractions: DataFrame, thresholds: DataFrame, keys: tuple[str, ...], digits: int = 4) -> DataFrame:
-    """Scores at each min_loss_frac of a small table of thresholds (some rows, broadcast)."""
+def threshold_sweep(changed: DataFrame, fractions: DataFrame, thresholds: DataFrame, keys: tuple[str, ...], digits: int = 4, most: int = 10_000) -> DataFrame:
+    """Scores at each min_loss_frac of a table of thresholds.  They are collected and sent along as one
+    array, so more than ``most`` are refused."""
+    swept_at = [r[0] for r in thresholds.select("min_loss_frac").limit(most + 1).collect()]
+    if len(swept_at) > most:
+        raise ValueError(f"more than {most} thresholds")
     cells = changed.select(*keys, "change").join(fractions.select(*keys, "loss_frac"), list(keys), "left")
-    swept = cells.crossJoin(F.broadcast(thresholds)).withColumn("ref", F.coalesce(F.col("loss_frac") > F.col("min_loss_frac"), F.lit(False)))
+    swept = cells.withColumn("min_loss_frac", F.explode(F.lit(swept_at))).withColumn("ref", F.coalesce(F.col("loss_frac") > F.col("min_loss_frac"), F.lit(False)))
     return detection_scores(detection_counts(swept, ("min_loss_frac",)), digits)
 
 

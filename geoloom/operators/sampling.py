@@ -12,29 +12,35 @@ def order_key(key: Column, seed: int | str = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
 
 
+def _ranked(rows: DataFrame, place: str, key: str, bits: int) -> DataFrame:
+    """Adds _rank, from 0 by (place, key), and _total; place is a hexadecimal hash."""
+    hashed = rows.withColumn("_b", F.conv(F.substring(place, 1, bits // 4), 16, 10).cast("int"))
+    sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))  # 2**bits rows at most
+    sizes = sizes.withColumns({
+        "_first": F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_total": F.sum("_n").over(Window.partitionBy()),
+    })
+    ranked = hashed.join(F.broadcast(sizes), "_b").withColumn("_rank", F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy(place, key)) - 1)
+    return ranked.drop("_b", "_n", "_first")
+
+
 def exact_split(rows: DataFrame, key: str, train: float = TRAIN_SHARE, val: float = VAL_SHARE, seed: int = SEED, bits: int = 12) -> DataFrame:
     """Adds split: int(train * n) rows "train", int(val * n) "val", the rest "test", by rank of a
     seeded hash; membership depends on key and seed only.
 
     No global sort: rows are counted per leading hash bits (a bounded table), which gives each
     bucket its first rank, and ranked within the bucket."""
-    hashed = rows.withColumn("_h", order_key(F.col(key), seed)).withColumn("_b", F.conv(F.substring("_h", 1, bits // 4), 16, 10).cast("int"))
-    sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
-    everything = Window.partitionBy()
-    sizes = sizes.withColumns({
-        "_first": F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_total": F.sum("_n").over(everything),
-    })
-    ranked = hashed.join(F.broadcast(sizes), "_b").withColumn("_rank", F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1)
+    ranked = _ranked(rows.withColumn("_h", order_key(F.col(key), seed)), "_h", key, bits)
     n_train, n_val = F.floor(F.col("_total") * train), F.floor(F.col("_total") * val)
     split = F.when(F.col("_rank") < n_train, "train").when(F.col("_rank") < n_train + n_val, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("_h", "_b", "_n", "_first", "_total", "_rank")
+    return ranked.withColumn("split", split).drop("_h", "_total", "_rank")
 
 
-def batches(rows: DataFrame, order: str, size: int, partition: tuple[str, ...] = ()) -> DataFrame:
-    """Adds batch: consecutive rows by ``order``, ``size`` to a batch, the last one kept.  Give a
-    partition (split, shard) for tables that do not fit one task."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*partition).orderBy(order)) - 1) / size).cast("int"))
+def batches(rows: DataFrame, place: str, key: str, size: int, bits: int = 12) -> DataFrame:
+    """Adds batch: consecutive rows by ``place`` (a hexadecimal hash, as of ``epoch_order``) and key, ``size``
+    to a batch, the last one kept.  Ranked as in ``exact_split``, without a global sort."""
+    ranked = _ranked(rows, place, key, bits)
+    return ranked.withColumn("batch", F.floor(F.col("_rank") / size).cast("int")).drop("_total", "_rank")
 
 
 def epoch_order(rows: DataFrame, key: str, epoch: int, seed: int = SEED) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from geoloom.config import PATCH
 
 
-def n_windows(extent: Column, size: int = PATCH, stride: int = PATCH) -> Column:
+def n_windows(extent: Column, size: int = PATCH, stride: int | Column = PATCH) -> Column:
     """Windows along an axis; 0 if the extent is smaller than one."""
-    return F.greatest(F.lit(0), F.floor((extent - size) / F.lit(stride)) + 1).cast("int")
+    stride = stride if isinstance(stride, Column) else F.lit(stride)
+    return F.greatest(F.lit(0), F.floor((extent - size) / stride) + 1).cast("int")
 
 
 def window_indexes(position: Column, extent: Column, size: int = PATCH, stride: int = PATCH) -> Column:
@@ -28,10 +29,10 @@ def explode_windows(pixels: DataFrame, height: Column, width: Column, size: int
     return rows.withColumn("col", F.explode(window_indexes(F.col("x"), width, size, stride)))
 
 
-def window_means(pixels: DataFrame, height: Column, width: Column, size: int = PATCH, stride: int = PATCH, value: str = "value") -> DataFrame:
-    """(scene_id, row, col, n_px, mean) per window; partial sums combine before the shuffle."""
+def window_means(pixels: DataFrame, height: Column, width: Column, size: int = PATCH, stride: int = PATCH, value: str = "value", keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
+    """(keys, row, col, n_px, mean) per window; partial sums combine before the shuffle."""
     there = explode_windows(pixels, height, width, size, stride)
-    return there.groupBy("scene_id", "row", "col").agg(F.count("*").alias("n_px"), F.avg(F.col(value).cast("double")).alias("mean"))
+    return there.groupBy(*keys, "row", "col").agg(F.count("*").alias("n_px"), F.avg(F.col(value).cast("double")).alias("mean"))
 
 
 def window_grid(scenes: DataFrame, size: int = PATCH, stride: int = PATCH) -> DataFrame:

@@ -66,8 +66,8 @@ def _windows(stride: int) -> str:
     return f"""WITH {_RASTER}, h AS (SELECT count(*) AS h FROM embeddings),
 r AS (SELECT i AS row FROM h, unnest(range(0, greatest(0, (h - 8) // {stride} + 1))) t(i)),
 c AS (SELECT i AS col FROM unnest(range(0, (21 - 8) // {stride} + 1)) t(i))
-SELECT row::INTEGER AS row, col::INTEGER AS col, count(*)::BIGINT AS n_px, round(avg(value), 6) AS mean
-FROM r, c, raster WHERE band = 0 AND y >= row * {stride} AND y < row * {stride} + 8 AND x >= col * {stride} AND x < col * {stride} + 8 GROUP BY 1, 2"""
+SELECT band, row::INTEGER AS row, col::INTEGER AS col, count(*)::BIGINT AS n_px, round(avg(value), 6) AS mean
+FROM r, c, raster WHERE y >= row * {stride} AND y < row * {stride} + 8 AND x >= col * {stride} AND x < col * {stride} + 8 GROUP BY 1, 2, 3"""
 
 
 def _linear(k: int) -> str:
@@ -137,10 +137,10 @@ SELECT scene_id, (y // 32)::INTEGER AS row, (x // 32)::INTEGER AS col, (scene_id
   (scene_id * 1000 + 10 * (x + 64))::DOUBLE AS "right", (9000000 - 10 * y)::DOUBLE AS top FROM w""",
         "softmax_argmax": f"""WITH x AS (SELECT vec_id, {_logits(0)} AS x FROM embeddings), e AS (SELECT *, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM x)
 SELECT vec_id, (list_position(x, list_max(x)) - 1)::INTEGER AS label, round(list_max(e) / list_sum(e), 6) AS conf, round(e[4] / list_sum(e), 6) AS p3 FROM e""",
-        "grid_densify": f"""WITH {_CELLS}, {_predicted("a", 0, where="vec_id % 3 = 0")}
+        "grid_densify": f"""WITH {_predicted("a", 0)}, cells AS (SELECT row, c::INTEGER AS col FROM (SELECT DISTINCT row FROM a), unnest(range(26)) t(c))
 SELECT row, col, coalesce(label, -1)::BIGINT AS label, round(coalesce(conf, 0), 6) AS conf FROM cells LEFT JOIN a USING (row, col)""",
-        "class_histogram": f"""WITH {_CLASSES}, {_predicted("a", 0, where="vec_id % 3 = 0")}
-SELECT c.label, class_name, count(a.label)::BIGINT AS n FROM classes c LEFT JOIN (SELECT label FROM a WHERE label < 8) a ON a.label = c.label GROUP BY 1, 2""",
+        "class_histogram": f"""WITH {_CLASSES}, {_predicted("a", 0)}
+SELECT c.label, class_name, count(a.label)::BIGINT AS n FROM classes c LEFT JOIN a ON a.label = c.label GROUP BY 1, 2""",
         "change_cells": f"WITH {_changed()} SELECT row, col, label_a, label_b, was_forest, change FROM changed",
         "change_events": f"""WITH {_changed()}, bounds AS (SELECT row, col, label_a, label_b, {_BOUNDS} FROM changed WHERE change)
 SELECT row, col, ("left" + "right") / 2 AS centroid_x, (bottom + top) / 2 AS centroid_y, {_NAMES}[label_a + 1] AS from_class, {_NAMES}[label_b + 1] AS to_class, 'EPSG:32720' AS crs FROM bounds""",
@@ -155,8 +155,11 @@ j AS (SELECT row, col, count(*)::BIGINT AS n_px, avg((y > 1997 AND y <= 2000)::I
 SELECT row, col, coalesce(n_px, 0)::BIGINT AS n_px, round(loss_frac, 6) AS loss_frac FROM cells LEFT JOIN j USING (row, col)""",
         "reference_cells": f"WITH {_FRACTIONS} SELECT row, col, loss_frac > 0.25 AS ref FROM fractions",
         "score_metrics": f"WITH {_SCORED} SELECT {_COUNT_NAMES}, {_SCORES} FROM counts",
-        "score_json": f"""WITH {_SCORED} SELECT '{{"detected_cells":' || detected_cells || ',"reference_cells":' || reference_cells || ',"true_positives":' || tp
-  || ',"false_positives":' || fp || ',"false_negatives":' || fn || '}}' AS json FROM counts""",
+        "score_json": f"""WITH {_SCORED}, scores AS (SELECT {_COUNT_NAMES}, {_SCORES} FROM counts)
+SELECT '{{' || concat_ws(',', {", ".join(f"""'"{c}":' || {c}""" for c in ("detected_cells", "reference_cells", "true_positives", "false_positives", "false_negatives", "precision", "recall", "f1", "iou"))}) || '}}' AS json FROM scores""",
+        "change_by_scene": f"""WITH {_changed()}
+SELECT 'a' || (row * 25 + col) % 3 AS scene_id, count(*) FILTER (was_forest)::BIGINT AS n_forest, count(*) FILTER (change)::BIGINT AS n_change,
+  round(100 * count(*) FILTER (change) / greatest(count(*) FILTER (was_forest), 1)::DOUBLE, 1) AS percent FROM changed GROUP BY 1""",
         "confusion_long": f"WITH {_PAIRS} SELECT label, pred, count(*)::BIGINT AS n FROM pairs GROUP BY 1, 2",
         "confusion_matrix": f"WITH {_PAIRS}, {_CLASSES} SELECT c.label, "
         + ", ".join(f"count(*) FILTER (pred = {k})::BIGINT AS p{k}" for k in range(10))
@@ -170,8 +173,8 @@ SELECT l_returnflag, round(sum(loss * n) / sum(n), 6) AS loss, sum(n)::BIGINT AS
         "trainable_parameters": "SELECT coalesce(sum(p_size) FILTER (p_partkey % 3 = 0), 0)::BIGINT AS n_trainable FROM part",
         "seeded_split": f"WITH {_SPLIT} SELECT vec_id, split FROM split",
         "split_class_balance": f"WITH {_SPLIT} SELECT split, label, count(*)::BIGINT AS n FROM split GROUP BY 1, 2",
-        "mini_batches": """SELECT label, ((r - 1) // 64)::INTEGER AS batch, count(*)::BIGINT AS n, min(vec_id) AS first_id
-FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) GROUP BY 1, 2""",
+        "mini_batches": """SELECT ((r - 1) // 64)::INTEGER AS batch, count(*)::BIGINT AS n, min(place) AS first_place, max(vec_id) AS last_id
+FROM (SELECT vec_id, md5('42-3-' || vec_id) AS place, row_number() OVER (ORDER BY md5('42-3-' || vec_id), vec_id) AS r FROM embeddings) GROUP BY 1""",
         "epoch_shuffle": "SELECT vec_id, md5('42-3-' || vec_id) AS place FROM embeddings",
         "best_epoch": f"WITH {_HISTORY} SELECT seq, round(val_acc, 6) AS val_acc FROM history WHERE val_acc > 0 ORDER BY history.val_acc DESC, seq LIMIT 1",
         "running_best": f"""WITH {_HISTORY} SELECT seq, round(val_acc, 6) AS val_acc,
@@ -180,13 +183,18 @@ FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_i
         "bbox_time_filter": f"""WITH {_CUBE} SELECT event_id, x, band FROM cube WHERE acq_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND band IN ('click', 'view', 'purchase')
   AND cloud_pct <= 20 AND x BETWEEN 10 AND 120 AND x % 50 BETWEEN 5 AND 40""",
         "scene_extent": f"""WITH {_CELLS}, b AS (SELECT {_BOUNDS} FROM cells) SELECT min("left") AS "left", min(bottom) AS bottom, max("right") AS "right", max(top) AS top FROM b""",
-        "normalize_channels": "SELECT vec_id, "
-        + ", ".join(f"round((embedding[{i + 1}]::DOUBLE - {config.CHANNEL_MEAN[i]}::DOUBLE) / {config.CHANNEL_STD[i]}::DOUBLE, 6) AS {c}" for i, c in enumerate("rgb"))
-        + " FROM embeddings",
+        "normalize_channels": "SELECT vec_id, x::INTEGER AS x, "
+        + ", ".join(f"round((embedding[x * 3 + {i + 1}]::DOUBLE - {config.CHANNEL_MEAN[i]}::DOUBLE) / {config.CHANNEL_STD[i]}::DOUBLE, 6) AS {c}" for i, c in enumerate("rgb"))
+        + " FROM embeddings, unnest(range(21)) t(x)",
         "to_tensor": "SELECT vec_id, " + ", ".join(f"round((vec_id * 7 + {i % 4 * 3 + i // 4} * 31) % 256 / 255.0::DOUBLE, 6) AS t{i}" for i in (0, 3, 4, 7, 11)) + " FROM embeddings",
-        "flip_augment": f"""WITH {_RASTER} SELECT y, x, (CASE WHEN {_coin("'scene'", 1, "v")} THEN 63 - y ELSE y END)::INTEGER AS to_y,
-  (CASE WHEN {_coin("'scene'", 1, "h")} THEN 20 - x ELSE x END)::INTEGER AS to_x FROM raster WHERE band = 0 AND y < 64""",
-        "split_transform": f"WITH {_SPLIT} SELECT vec_id, split, (CASE WHEN split = 'train' AND {_coin('vec_id', 2, 'h')} THEN 60 ELSE 3 END)::INTEGER AS x FROM split",
+        "flip_augment": f"""WITH {_RASTER}, h AS (SELECT count(*) AS h FROM embeddings), p AS (SELECT *, y // 64 AS patch, least(64, h - y // 64 * 64) AS size FROM raster, h)
+SELECT y, x, band, (patch * 64 + CASE WHEN {_coin("patch", 1, "v")} THEN size - 1 - y % 64 ELSE y % 64 END)::INTEGER AS to_y,
+  (CASE WHEN {_coin("patch", 1, "h")} THEN 20 - x ELSE x END)::INTEGER AS to_x FROM p""",
+        "split_transform": f"""WITH {_SPLIT}, t AS (SELECT *, i // 21 AS c, i % 21 AS x FROM split, unnest(range(63)) u(i)),
+f AS (SELECT *, CASE WHEN split = 'train' AND {_coin('vec_id', 2, 'h')} THEN 20 - x ELSE x END AS from_x FROM t)
+SELECT vec_id, split, i::INTEGER AS i, round(((vec_id * 7 + (from_x * 3 + c) * 31) % 256 / 255.0::DOUBLE - ({list(config.CHANNEL_MEAN)}::DOUBLE[])[c + 1]) / ({list(config.CHANNEL_STD)}::DOUBLE[])[c + 1], 6) AS t FROM f""",
+        "resize_bilinear": """WITH o AS (SELECT i, least(7, greatest(0, (i // 48 + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) AS y, least(7, greatest(0, (i % 48 // 3 + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) AS x, i % 3 AS c FROM unnest(range(768)) t(i))
+SELECT vec_id, string_agg(upper(printf('%02x', floor(vec_id % 50 + 8 * y + 3 * x + 20 * c + 0.5::DOUBLE)::INTEGER)), '' ORDER BY i) AS q FROM embeddings, o GROUP BY 1""",
         "predict_batch": "WITH l AS (SELECT vec_id, [" + ", ".join(f"({_linear(k)})::FLOAT" for k in range(10)) + "] AS l FROM embeddings) "
         "SELECT vec_id, (list_position(l, list_max(l)) - 1)::INTEGER AS pred, round(l[10]::DOUBLE, 3) AS logit9 FROM l",
         "labelled_folder": f"WITH {_FILES}, ranks AS (SELECT class_name, (row_number() OVER (ORDER BY class_name) - 1)::INTEGER AS label FROM (SELECT DISTINCT class_name FROM files)) "

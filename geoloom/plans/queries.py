@@ -7,7 +7,6 @@ vector, 25 to a grid row.  ``orders`` gives loss pixels and a training history,
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -108,17 +107,15 @@ def moment_match(s, d):
 
 
 def _windows(s, d, stride):
-    pix = _raster(s, d)
     height = _read(s, d, "embeddings").agg(F.count("*").cast("int").alias("height"))
-    placed = pix.where("band = 0").crossJoin(F.broadcast(height))
-    out = tiling.window_means(placed, F.col("height"), F.lit(21), 8, stride)
-    return out.select("row", "col", "n_px", F.round("mean", 6).alias("mean"))
+    placed = _raster(s, d).crossJoin(F.broadcast(height))
+    out = tiling.window_means(placed, F.col("height"), F.lit(21), 8, stride, keys=("scene_id", "band"))
+    return out.select("band", "row", "col", "n_px", F.round("mean", 6).alias("mean"))
 
 
 def window_counts(s, d):
-    scenes = _scenes(s, d)
-    parts = [scenes.select("scene_id", F.lit(k).alias("stride"), tiling.n_windows(F.col("height"), 64, k).alias("n_rows"), tiling.n_windows(F.col("width"), 64, k).alias("n_cols")) for k in (32, 64, 96)]
-    return reduce(DataFrame.unionByName, parts)
+    strides = _scenes(s, d).withColumn("stride", F.explode(F.lit([32, 64, 96])))
+    return strides.select("scene_id", "stride", tiling.n_windows(F.col("height"), 64, F.col("stride")).alias("n_rows"), tiling.n_windows(F.col("width"), 64, F.col("stride")).alias("n_cols"))
 
 
 def window_bounds(s, d):
@@ -134,18 +131,15 @@ def softmax_argmax(s, d):
     return out.select("vec_id", vectors.argmax(F.col("logits")).alias("label"), F.round(F.array_max("p"), 6).alias("conf"), F.round(F.get("p", F.lit(3)), 6).alias("p3"))
 
 
-def _sparse(s, d):
-    vec = _read(s, d, "embeddings").where("vec_id % 3 = 0").select("vec_id", "embedding")
-    return _cell(grid.predicted(vec, _logits(0)).select("vec_id", "label", "conf")).drop("vec_id")
-
-
 def grid_densify(s, d):
-    cells = _cell(_read(s, d, "embeddings").select("vec_id")).select("row", "col")
-    return grid.densify(_sparse(s, d), cells).select("row", "col", "label", F.round("conf", 6).alias("conf"))
+    """All predictions on a grid that is a column wider, so that every row has an empty cell."""
+    predictions = _dates(s, d)[0]
+    cells = predictions.select("row").distinct().withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(25))))
+    return grid.densify(predictions, cells).select("row", "col", "label", F.round("conf", 6).alias("conf"))
 
 
 def class_histogram(s, d):
-    return grid.class_histogram(_sparse(s, d).where("label < 8"), config.class_dim(s))
+    return grid.class_histogram(_dates(s, d)[0], config.class_dim(s))
 
 
 def change_cells(s, d):
@@ -162,8 +156,9 @@ def change_map_rgb(s, d):
 
 
 def change_gated(s, d):
-    parts = [change.change_summary(_changed(s, d, g, SHARP)).withColumn("min_conf", F.lit(g)) for g in (0.0, 0.5, 0.7)]
-    return reduce(DataFrame.unionByName, parts)
+    """Three confidence gates over one join of the dates."""
+    gates = _changed(s, d, 0.0, SHARP).withColumn("min_conf", F.explode(F.lit([0.0, 0.5, 0.7])))
+    return change.change_summary(change.gated(gates, F.col("min_conf")), ("min_conf",))
 
 
 def land_cover_transition(s, d):
@@ -192,7 +187,15 @@ def score_metrics(s, d):
 
 
 def score_json(s, d):
-    return tables.as_json(score_metrics(s, d).select("detected_cells", "reference_cells", "true_positives", "false_positives", "false_negatives"))
+    return tables.as_json(score_metrics(s, d))
+
+
+def change_by_scene(s, d):
+    """Three scenes in one job, each date under names of its own, paired by a table."""
+    pairs = s.createDataFrame([(f"a{k}", f"b{k}") for k in range(3)], "scene_a string, scene_b string")
+    a, b = (x.withColumn("scene_id", F.concat(F.lit(n), ((F.col("row") * 25 + F.col("col")) % 3).cast("string"))) for n, x in zip("ab", _dates(s, d), strict=True))
+    keys = ("scene_id", "row", "col")
+    return change.change_summary(change.change_cells(a, change.paired(b, pairs), keys), ("scene_id",))
 
 
 def confusion_long(s, d):
@@ -236,8 +239,8 @@ def split_class_balance(s, d):
 
 
 def mini_batches(s, d):
-    rows = _read(s, d, "embeddings").select("vec_id", "label")
-    return sampling.batches(rows, "vec_id", 64, ("label",)).groupBy("label", "batch").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+    rows = sampling.epoch_order(_read(s, d, "embeddings").select("vec_id"), "vec_id", 3)
+    return sampling.batches(rows, "place", "vec_id", 64).groupBy("batch").agg(F.count("*").alias("n"), F.min("place").alias("first_place"), F.max("vec_id").alias("last_id"))
 
 
 def epoch_shuffle(s, d):
@@ -266,9 +269,10 @@ def scene_extent(s, d):
 
 
 def normalize_channels(s, d):
-    rows = _read(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("v"))
-    out = rows.withColumn("z", pixels.normalised(F.col("v")))
-    return out.select("vec_id", *[F.round(F.get("z", F.lit(i)), 6).alias(c) for i, c in enumerate("rgb")])
+    """Each vector as 21 pixels of three channels."""
+    cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.slice("embedding", i * 3 + 1, 3), lambda v: v.cast("double")))).alias("x", "v")
+    out = _read(s, d, "embeddings").select("vec_id", cut).withColumn("z", pixels.normalised(F.col("v")))
+    return out.select("vec_id", "x", *[F.round(F.get("z", F.lit(i)), 6).alias(c) for i, c in enumerate("rgb")])
 
 
 def to_tensor(s, d):
@@ -278,24 +282,29 @@ def to_tensor(s, d):
 
 
 def flip_augment(s, d):
-    pix = _raster(s, d).where("band = 0 AND y < 64")
-    wide, tall = pixels.coin(42, F.lit(1), F.col("scene_id"), "h"), pixels.coin(42, F.lit(1), F.col("scene_id"), "v")
-    return pix.select("y", "x", pixels.flipped(F.col("y"), 64, tall).alias("to_y"), pixels.flipped(F.col("x"), 21, wide).alias("to_x"))
+    """The raster cut into patches of 64 rows, each mirrored by coins of its own; the last one may be lower."""
+    height = _read(s, d, "embeddings").agg(F.count("*").cast("int").alias("height"))
+    pix = _raster(s, d).crossJoin(F.broadcast(height)).withColumns({"patch": F.floor(F.col("y") / 64).cast("int"), "py": F.col("y") % 64})
+    size = F.least(F.lit(64), F.col("height") - F.col("patch") * 64)
+    wide, tall = (pixels.coin(42, F.lit(1), F.col("patch"), c) for c in "hv")
+    return pix.select("y", "x", "band", (F.col("patch") * 64 + pixels.flipped(F.col("py"), size, tall)).alias("to_y"), pixels.flipped(F.col("x"), 21, wide).alias("to_x"))
 
 
 def split_transform(s, d):
-    """Training rows are mirrored by their own coin, the others are not."""
-    rows = sampling.exact_split(_read(s, d, "embeddings").select("vec_id"), "vec_id")
-    flip = (F.col("split") == "train") & pixels.coin(42, F.lit(2), F.col("vec_id"), "h")
-    return rows.select("vec_id", "split", pixels.flipped(F.lit(3), 64, flip).alias("x"))
+    """The composed transform of rows of 21 pixels: training rows are mirrored by coins of their own, all
+    become unit tensors and are normalised."""
+    raw = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: ((F.col("vec_id") * 7 + i * 31) % 256).cast("double"))
+    rows = sampling.exact_split(_read(s, d, "embeddings").select("vec_id"), "vec_id").withColumn("v", raw)
+    made = rows.withColumn("t", pixels.transformed(F.col("v"), 1, 21, F.col("split") == "train", 42, F.lit(2), F.col("vec_id")))
+    return made.select("vec_id", "split", F.posexplode("t").alias("i", "t")).withColumn("t", F.round("t", 6))
 
 
 def resize_bilinear(s, d):
-    """Ramps of 8 x 8 pixels to 16 x 16, as sums of bytes."""
-    ramp = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: (i + F.col("vec_id")) % 256)
+    """Ramps of 8 x 8 pixels to 16 x 16, as hexadecimal bytes."""
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: (F.col("vec_id") % 50 + F.floor(i / 24) * 8 + F.floor(i % 24 / 3) * 3 + i % 3 * 20))
     hexed = F.unhex(F.array_join(F.transform(ramp, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     made = _read(s, d, "embeddings").select("vec_id", hexed.alias("p")).withColumn("q", pixels.resize_udf(8, 8, 16, 16)("p"))
-    return made.select("vec_id", F.length("q").alias("n_bytes"), F.conv(F.substring(F.hex("q"), 1, 2), 16, 10).cast("int").alias("first"))
+    return made.select("vec_id", F.hex("q").alias("q"))
 
 
 def predict_batch(s, d):
@@ -364,7 +373,7 @@ def head_history(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         change_sweep, band_moments, moment_match, window_counts, window_bounds, softmax_argmax, grid_densify, class_histogram, change_cells, change_events,
-        change_map_rgb, change_gated, land_cover_transition, zonal_loss_fraction, zonal_box_join, reference_cells, score_metrics, score_json, confusion_long,
+        change_map_rgb, change_gated, land_cover_transition, zonal_loss_fraction, zonal_box_join, reference_cells, score_metrics, score_json, change_by_scene, confusion_long,
         confusion_matrix, classification_report, accuracy, cross_entropy, weighted_loss, trainable_parameters, seeded_split, split_class_balance, mini_batches,
         epoch_shuffle, best_epoch, running_best, median_composite, bbox_time_filter, scene_extent, normalize_channels, to_tensor, flip_augment, split_transform,
         resize_bilinear, predict_batch, softmax_head_fit, labelled_folder, folder_class_counts, folder_class_root, loss_year_window, pixel_index_ranges,

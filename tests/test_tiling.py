@@ -50,9 +50,9 @@ def test_matching_equals_numpy(spark):
     assert [r.byte for r in got] == np.clip(scaled, 0, 255).astype(np.uint8).tolist()
 
 
-def test_bytes_are_clipped_truncated_and_nan_is_null(spark):
-    got = spark.createDataFrame([(-3.0,), (0.9,), (254.99,), (300.0,), (float("nan"),)], "v double").select(pixels.to_byte(F.col("v")).alias("b")).collect()
-    assert [r.b for r in got] == [0, 0, 254, 255, None]
+def test_bytes_are_clipped_truncated_and_nan_is_zero(spark):
+    got = spark.createDataFrame([(-3.0,), (0.9,), (254.99,), (300.0,), (float("nan"),), (None,)], "v double").select(pixels.to_byte(F.col("v")).alias("b")).collect()
+    assert [r.b for r in got] == [0, 0, 254, 255, 0, None]
 
 
 def test_softmax_survives_large_logits_and_ties_go_first(spark):
@@ -81,7 +81,7 @@ def test_best_epoch_is_the_earliest_of_equals(spark):
 
 
 def test_batches_keep_the_last_one(spark):
-    got = sampling.batches(spark.range(10), "id", 4).groupBy("batch").count().orderBy("batch").collect()
+    got = sampling.batches(sampling.epoch_order(spark.range(10), "id", 1), "place", "id", 4).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in got] == [4, 4, 2]
 
 
