@@ -92,3 +92,15 @@ def resize_udf(height: int, width: int, out_height: int, out_width: int, channel
         return pd.Series([None if b is None else resize(np.frombuffer(b, np.uint8).reshape(height, width, channels), out_height, out_width).tobytes() for b in blobs])
 
     return run
+
+
+def resize_any(blob: str, height: str, width: str, size: int, channels: int = 3) -> Column:
+    """Interleaved bytes of images of any size to (size, size); those of that size pass as they are."""
+
+    @F.pandas_udf("binary")
+    def run(blobs, heights, widths):
+        import pandas as pd
+
+        return pd.Series([b if (h, w) == (size, size) else resize(np.frombuffer(b, np.uint8).reshape(h, w, channels), size, size).tobytes() for b, h, w in zip(blobs, heights, widths, strict=True)])
+
+    return run(blob, height, width)

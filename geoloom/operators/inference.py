@@ -1,17 +1,16 @@
 """Batched model inference and the model head."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from geoloom.config import INFERENCE_BATCH
+from geoloom.config import CHANNEL_MEAN, CHANNEL_STD, INFERENCE_BATCH, PATCH
 from geoloom.functions.vectors import doubles
 
 
@@ -35,6 +34,41 @@ def infer(df: DataFrame, features: str, make: Callable[[], Callable], size: int,
     return df.withColumn("logits", udf.asNondeterministic()(features) if hasattr(udf, "asNondeterministic") else udf(features))
 
 
+def pooled(tensor: np.ndarray, parts: int = 4) -> np.ndarray:
+    """(batch, channels, H, W) normalised tensors to features: mean and spread of each channel in parts x
+    parts fields, and the mean size of its steps across and down."""
+    b, c, h, w = tensor.shape
+    fields = tensor[:, :, : h // parts * parts, : w // parts * parts].reshape(b, c, parts, h // parts, parts, w // parts)
+    steps = [np.abs(np.diff(tensor, axis=k)).mean((2, 3)) for k in (2, 3)]
+    return np.concatenate([fields.mean((3, 5)).reshape(b, -1), fields.std((3, 5)).reshape(b, -1), *steps], 1)
+
+
+def pixel_features(
+    patches: DataFrame, pixels: str = "pixels", size: int = PATCH, backbone: Callable[[], Callable] | None = None, batch_size: int = INFERENCE_BATCH,
+    mean: tuple[float, ...] = CHANNEL_MEAN, std: tuple[float, ...] = CHANNEL_STD,
+) -> DataFrame:
+    """Adds features: interleaved bytes become unit tensors, are normalised and go through a backbone, all
+    in one batched step.  ``backbone`` makes a function of (batch, channels, size, size) float arrays, once
+    per worker; by default ``pooled`` stands for it.  A patch without pixels has no features."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        net = backbone() if backbone else pooled
+        centre, spread = (np.array(x, np.float32)[None, :, None, None] for x in (mean, std))
+        for series in blobs:
+            out = [None] * len(series)
+            there = [i for i, b in enumerate(series) if b is not None]
+            for at in range(0, len(there), batch_size):
+                some = there[at : at + batch_size]
+                raw = np.stack([np.frombuffer(series.iloc[i], np.uint8).reshape(size, size, len(mean)) for i in some])
+                made = net((raw.transpose(0, 3, 1, 2).astype(np.float32) / np.float32(255) - centre) / spread)
+                for i, row in zip(some, np.asarray(made, np.float32), strict=True):
+                    out[i] = row
+            yield pd.Series(out, dtype=object)
+
+    return patches.withColumn("features", run(pixels))
+
+
 def head_features(df: DataFrame, embedding: str, label: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(doubles(F.col(embedding)))).withColumn("label", F.col(label).cast("double"))
 

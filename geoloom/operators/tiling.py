@@ -43,8 +43,8 @@ def window_grid(scenes: DataFrame, size: int = PATCH, stride: int = PATCH) -> Da
     return cells.withColumns({"y": F.col("row") * stride, "x": F.col("col") * stride})
 
 
-def patch_strips(strips: DataFrame, size: int = PATCH, stride: int = PATCH, channels: int = 3) -> DataFrame:
-    """(scene_id, row, col, pixels): patches from strips(scene_id, height, width, y0, n_rows, data),
+def patch_strips(strips: DataFrame, size: int = PATCH, stride: int = PATCH, channels: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(scene_id, carried columns, row, col, pixels): patches from strips(scene_id, height, width, y0, n_rows, data),
     data being n_rows * width interleaved byte pixels.
 
     A strip goes to the window rows that it touches; a group is one window row of one scene, that
@@ -54,7 +54,7 @@ def patch_strips(strips: DataFrame, size: int = PATCH, stride: int = PATCH, chan
     dealt = strips.withColumn("row", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
 
     def assemble(key, group):
-        scene, row = key
+        row = key[-1]
         width = int(group["width"].iloc[0])
         slab = np.zeros((size, width, channels), np.uint8)
         for y0, n, data in zip(group["y0"], group["n_rows"], group["data"], strict=True):
@@ -62,7 +62,8 @@ def patch_strips(strips: DataFrame, size: int = PATCH, stride: int = PATCH, chan
             a, b = max(row * stride, y0), min(row * stride + size, y0 + n)
             slab[a - row * stride : b - row * stride] = block[a - y0 : b - y0]
         starts = range(0, width - size + 1, stride)
-        return pd.DataFrame({"scene_id": scene, "row": int(row), "col": range(len(starts)), "pixels": [slab[:, x : x + size].tobytes() for x in starts]})
+        same = {c: [group[c].iloc[0]] * len(starts) for c in ("scene_id", *carried)}
+        return pd.DataFrame(same | {"row": [int(row)] * len(starts), "col": range(len(starts)), "pixels": [slab[:, x : x + size].tobytes() for x in starts]})
 
-    kind = strips.schema["scene_id"].dataType.simpleString()
-    return dealt.groupBy("scene_id", "row").applyInPandas(assemble, f"scene_id {kind}, row int, col int, pixels binary")
+    kinds = ", ".join(f"{c} {strips.schema[c].dataType.simpleString()}" for c in ("scene_id", *carried))
+    return dealt.groupBy("scene_id", "row").applyInPandas(assemble, f"{kinds}, row int, col int, pixels binary")

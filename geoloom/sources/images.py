@@ -13,6 +13,9 @@ from geoloom.config import CLASS_NAMES, EXPECTED_IMAGES
 EXTENSIONS = ("jpg", "jpeg", "png", "ppm", "bmp", "pgm", "tif", "tiff", "webp")
 
 
+MOST_CLASSES = 10_000
+
+
 def class_of(path: Column) -> Column:
     """Name of the folder that a file lies in."""
     return F.element_at(F.split(path, "/"), -2)
@@ -22,7 +25,9 @@ def labelled(files: DataFrame, path: str = "path", classes: tuple[str, ...] | No
     """Adds class_name and label, the index of the class among the sorted folder names (or among
     ``classes``, which must then be what is found)."""
     named = files.withColumn("class_name", class_of(F.col(path)))
-    found = sorted(r[0] for r in named.select("class_name").distinct().collect())  # one row per class
+    found = sorted(r[0] for r in named.select("class_name").distinct().limit(MOST_CLASSES + 1).collect())
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} class folders")
     if classes is not None and found != sorted(classes):
         raise ValueError(f"class folders {found} are not {sorted(classes)}")
     return named.withColumn("label", F.array_position(F.lit(found), F.col("class_name")).cast("int") - 1) if found else named.withColumn("label", F.lit(0))
@@ -79,9 +84,17 @@ def find_class_root(start: str, classes: tuple[str, ...] = CLASS_NAMES) -> Path:
     raise RuntimeError(f"no folder under {start} holds all classes")
 
 
-def relocate(root: str, target: str, classes: tuple[str, ...] = CLASS_NAMES) -> None:
-    """Move class folders to ``target`` unless they are there already."""
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below a folder; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+
+
+def relocate(root: str, target: str, classes: tuple[str, ...] = CLASS_NAMES, scratch: str | None = None) -> None:
+    """Move class folders to ``target`` unless they are there already.  A ``scratch`` folder is deleted
+    afterwards if no file is left in it and ``target`` is not below it."""
     Path(target).mkdir(parents=True, exist_ok=True)
     for name in classes:
         if (Path(root) / name).is_dir() and not (Path(target) / name).exists():
             shutil.move(str(Path(root) / name), str(Path(target) / name))
+    if scratch and Path(scratch).is_dir() and not Path(target).resolve().is_relative_to(Path(scratch).resolve()) and not any(p.is_file() for p in Path(scratch).rglob("*")):
+        shutil.rmtree(scratch)

@@ -68,6 +68,122 @@ def test_geotiff_round_trip(dtype, deflate):
     assert crs == "EPSG:32720"
 
 
+def packed_lzw(data):
+    """The format's own encoder, for the reader."""
+    codes, table, width, out, omega = [], {}, 9, [], b""
+
+    def reset():
+        nonlocal width
+        table.clear()
+        table.update({bytes([i]): i for i in range(256)})
+        width = 9
+
+    def emit(code):
+        out.append((code, width))
+
+    emit(256)
+    reset()
+    n = 258
+    for byte in data:
+        more = omega + bytes([byte])
+        if more in table:
+            omega = more
+            continue
+        emit(table[omega])
+        table[more] = n
+        n += 1
+        width = 9 if n <= 511 else 10 if n <= 1023 else 11 if n <= 2047 else 12
+        omega = bytes([byte])
+        if n == 4095:
+            emit(table[omega])
+            emit(256)
+            reset()
+            n, omega = 258, b""
+    if omega:
+        emit(table[omega])
+        n += 1
+        width = 9 if n <= 511 else 10 if n <= 1023 else 11 if n <= 2047 else 12
+    emit(257)
+    bits = "".join(f"{c:0{w}b}" for c, w in out)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def rewritten(raw, pack, compression=None, predictor=None, tile=None):
+    """A file of ``encode`` (no compression) with its strips predicted and packed anew."""
+    h = geotiff.header(raw)
+    _, tag = geotiff._tags(raw)
+    blocks = []
+    for y in range(0, h.height, h.block_h):
+        block = np.frombuffer(raw, h.dtype, min(h.block_h, h.height - y) * h.width * h.n_bands, h.offsets[y // h.block_h]).reshape(-1, h.width, h.n_bands)
+        if predictor == 2:
+            block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
+        data = block.tobytes()
+        if predictor == 3:
+            size = h.dtype.itemsize
+            planes = np.frombuffer(block.astype(h.dtype.newbyteorder(">")).tobytes(), np.uint8).reshape(len(block), -1, size).transpose(0, 2, 1).reshape(len(block), -1)
+            line = planes.astype(np.int16)
+            line[:, h.n_bands :] -= planes[:, : -h.n_bands].astype(np.int16)
+            data = (line & 255).astype(np.uint8).tobytes()
+        blocks.append(pack(data))
+    tags = {k: v for k, v in tag.items()} | {geotiff.COMPRESSION: (compression,), geotiff.PREDICTOR: (predictor or 1,), geotiff.COUNTS: tuple(map(len, blocks))}
+    at, offsets = 8, []
+    for x in blocks:
+        offsets.append(at)
+        at += len(x)
+    tags[geotiff.OFFSETS] = tuple(offsets)
+    form = {geotiff.WIDTH: "I", geotiff.HEIGHT: "I", geotiff.OFFSETS: "I", geotiff.COUNTS: "I", geotiff.ROWS_PER_STRIP: "I", geotiff.PIXEL_SCALE: "d", geotiff.TIE_POINT: "d"}
+    entries, extra, after = b"", b"", at + 2 + 12 * len(tags) + 4
+    for k in sorted(tags):
+        f = form.get(k, "H")
+        data = struct.pack("<" + f * len(tags[k]), *tags[k])
+        code = {"H": 3, "I": 4, "d": 12}[f]
+        if len(data) > 4:
+            entries += struct.pack("<HHII", k, code, len(tags[k]), after + len(extra))
+            extra += data
+        else:
+            entries += struct.pack("<HHI", k, code, len(tags[k])) + data.ljust(4, b"\0")
+    return struct.pack("<2sHI", b"II", 42, at) + b"".join(blocks) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
+
+
+@pytest.mark.parametrize(("dtype", "predictor"), [("uint8", 1), ("uint8", 2), ("int16", 2), ("float32", 1), ("float32", 3), ("float64", 3)])
+@pytest.mark.parametrize(("name", "compression", "pack"), [("lzw", 5, packed_lzw), ("deflate", 8, zlib.compress), ("plain", 1, bytes)])
+def test_geotiff_of_other_writers(dtype, predictor, name, compression, pack):
+    rng = np.random.default_rng(5)
+    bands = (np.cumsum(rng.random((3, 130, 41)), 2) * 3 + rng.random((3, 130, 41))).astype(dtype)
+    raw = rewritten(geotiff.encode(bands, (10.0, 0.0, 5.0, 0.0, -10.0, 9.0), 32720, deflate=False), pack, compression, predictor)
+    h = geotiff.header(raw)
+    assert (geotiff.decode(raw)[0] == bands).all()
+    assert (geotiff.read_window(raw, h, 60, 70, 3, 17, 2) == bands[:2, 60:70, 3:17]).all()
+    assert geotiff.read_window(raw, h, 60, 60, 3, 17).size == 0
+    strips = list(geotiff.rows_of(raw, h, 10, 3))
+    assert [y for y, _ in strips] == [0, 64, 128]
+    assert (np.concatenate([x for _, x in strips], 1) == bands).all()
+
+
+def test_lzw_of_long_and_repeated_data():
+    for data in (b"a" * 30_000, bytes(range(256)) * 60, np.random.default_rng(1).integers(0, 256, 20_000).astype(np.uint8).tobytes(), b""):
+        assert geotiff.unpacked_lzw(packed_lzw(data)) == data
+
+
+def test_only_touched_blocks_are_unpacked(monkeypatch):
+    bands = np.zeros((1, 640, 8), np.uint8)
+    raw = geotiff.encode(bands, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0))
+    seen, real = [], geotiff._block
+    monkeypatch.setattr(geotiff, "_block", lambda raw, h, i, rows, per: (seen.append(i), real(raw, h, i, rows, per))[1])
+    geotiff.read_window(raw, geotiff.header(raw), 130, 200, 0, 8)
+    assert seen == [2, 3]
+
+
+@pytest.mark.parametrize(("change", "match"), [({"predictor": 3}, "predictor"), ({"compression": 7}, "compression")])
+def test_what_is_not_known_is_refused(change, match):
+    raw = geotiff.encode(np.zeros((1, 70, 8), np.uint8), (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), deflate=False)
+    with pytest.raises(ValueError, match=match):
+        geotiff.header(rewritten(raw, bytes, **({"compression": 1} | change)))
+    with pytest.raises(ValueError, match="predictor"):
+        geotiff.header(rewritten(geotiff.encode(np.zeros((1, 70, 8), np.float32), (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), deflate=False), bytes, 1, 2))
+
+
 @pytest.fixture
 def scene(tmp_path):
     bands = np.random.default_rng(4).gamma(2.0, 300.0, (3, 150, 140)).astype(np.float32)
@@ -208,3 +324,84 @@ def test_train_evaluate_classify_by_command_line(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/g")
     assert {"row", "col", "label", "conf"} <= set(got.columns)
     assert got.where("id % 3 = label").count() > 220
+
+
+def test_pixel_features_in_one_step(spark):
+    from geoloom.operators import inference
+
+    rng = np.random.default_rng(3)
+    patches = [rng.integers(0, 256, (8, 8, 3)).astype(np.uint8) for _ in range(5)]
+    df = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(patches)] + [(9, None)], "id int, pixels binary")
+    flat = {r.id: r.features for r in inference.pixel_features(df, size=8, backbone=lambda: lambda t: t.reshape(len(t), -1), batch_size=2).collect()}
+    assert flat[9] is None
+    for i, p in enumerate(patches):
+        want = (p.transpose(2, 0, 1) / 255 - np.array(config.CHANNEL_MEAN)[:, None, None]) / np.array(config.CHANNEL_STD)[:, None, None]
+        assert np.allclose(flat[i], want.reshape(-1), atol=1e-5)
+    assert {len(r.features) for r in inference.pixel_features(df.where("id < 9"), size=8).collect()} == {2 * 3 * 16 + 6}
+
+
+def test_from_images_and_scenes_to_scores_by_command_line(spark, tmp_path):
+    """Layout, features, training, two dates of two scenes, patches, grids, change, scores."""
+    rng = np.random.default_rng(7)
+    tones = {n: rng.integers(30, 220, 3) for n in config.CLASS_NAMES}
+    tones |= {"Forest": np.array([20, 90, 20]), "Pasture": np.array([200, 180, 60])}
+
+    def patch(name):
+        return np.clip(tones[name] + rng.integers(-9, 10, (64, 64, 3)), 0, 255).astype(np.uint8)
+
+    for name in config.CLASS_NAMES:
+        (tmp_path / "zip" / "inner" / name).mkdir(parents=True)
+        for k in range(12):
+            (tmp_path / "zip" / "inner" / name / f"{k}.png").write_bytes(png(patch(name)))
+    cli.main(["layout", f"{tmp_path}/zip", f"{tmp_path}/images"])
+    assert not (tmp_path / "zip").exists()
+    cli.main(["features", f"{tmp_path}/images", f"{tmp_path}/table"])
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 120
+    cli.main(["train", f"{tmp_path}/table", f"{tmp_path}/model"])
+    history = spark.read.json(f"{tmp_path}/model/history")
+    assert history.where("seconds > 0").count() == history.count()
+    plans = {"north_a": "FFP", "south_a": "FPF", "north_b": "PFP", "south_b": "FPP"}
+    for name, letters in plans.items():
+        row = [patch({"F": "Forest", "P": "Pasture"}[c]) for c in letters]
+        (tmp_path / f"{name}.tif").write_bytes(geotiff.encode(np.concatenate(row, 1).transpose(2, 0, 1).astype(np.float32), (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), 32720))
+    for date in "ab":
+        # every scene already has the reference's own radiometry here, so its patches go unmatched
+        parts = []
+        for place in ("north", "south"):
+            strips = geotiff.read_strips(spark, f"{tmp_path}/{place}_{date}.tif")
+            same = strips.withColumn("data", F.udf(lambda b: np.frombuffer(b, "<f4").astype(np.uint8).tobytes(), "binary")("data"))
+            from geoloom.functions.geo import window_bounds
+            from geoloom.operators import tiling
+
+            cut = tiling.patch_strips(same, carried=("crs", "transform")).withColumn("b", window_bounds(F.col("col") * 64, F.col("row") * 64, 64, F.col("transform")))
+            parts.append(cut.select("scene_id", "row", "col", "b.*", "crs", "pixels"))
+        parts[0].unionByName(parts[1]).write.parquet(f"{tmp_path}/patches_{date}")
+        cli.main(["classify", f"{tmp_path}/patches_{date}", f"{tmp_path}/model", f"{tmp_path}/grid_{date}"])
+        labels = {(r.scene_id[:5], r.col): config.CLASS_NAMES[r.label][0] for r in spark.read.parquet(f"{tmp_path}/grid_{date}").collect()}
+        assert labels == {(p, i): c for p in ("north", "south") for i, c in enumerate(plans[f"{p}_{date}"])}
+    with pytest.raises(ValueError, match="several scenes"):
+        cli.main(["detect", f"{tmp_path}/grid_a", f"{tmp_path}/grid_b", f"{tmp_path}/none"])
+    cli.main(["detect", f"{tmp_path}/grid_a", f"{tmp_path}/grid_b", f"{tmp_path}/out", "--pair", "north_a", "north_b", "--pair", "south_a", "south_b"])
+    cells = spark.read.parquet(f"{tmp_path}/out/cells")
+    assert sorted((r.scene_id, r.col) for r in cells.where("change").collect()) == [("north_a", 0), ("south_a", 2)]
+    loss = np.zeros((1, 64, 192), np.uint8)
+    loss[0, :, :64] = 18
+    (tmp_path / "loss.tif").write_bytes(geotiff.encode(loss, (10.0, 0.0, 0.0, 0.0, -10.0, 0.0)))
+    first = spark.read.parquet(f"{tmp_path}/grid_a").select("scene_id", "row", "col", "left", "bottom", "right", "top")
+    cells.drop("left", "bottom", "right", "top").join(first, ["scene_id", "row", "col"]).write.parquet(f"{tmp_path}/mask")
+    cli.main(["score", f"{tmp_path}/mask", f"{tmp_path}/loss.tif", "--year-a", "2016", "--year-b", "2024", "--out-json", f"{tmp_path}/score", "--per-scene"])
+    got = {r.scene_id: (r.true_positives, r.false_positives, r.false_negatives) for r in spark.read.json(f"{tmp_path}/score").collect()}
+    assert got == {"north_a": (1, 0, 0), "south_a": (0, 1, 1)}
+
+
+def test_composite_of_a_cube_to_files(spark, tmp_path):
+    rows = [(f"2024-01-{d:02d}", p, y, x, b, float(10 * y + x + d + 100 * k), 5.0) for p in "ab" for d in (1, 2, 9) for y in range(3) for x in range(4) for k, b in enumerate(("red", "nir"))]
+    spark.createDataFrame(rows, "acq_date string, period string, y int, x int, band string, value double, cloud_pct double").write.parquet(f"{tmp_path}/cube")
+    (tmp_path / "out").mkdir()
+    cli.main(["composite", f"{tmp_path}/cube", f"{tmp_path}/out", "--start", "2024-01-01", "--end", "2024-01-31", "--bands", "red", "nir", "--tif", "0", "0", "10", "--epsg", "32720"])
+    array, affine, crs = geotiff.decode((tmp_path / "out" / "a.tif").read_bytes())
+    assert array.shape == (2, 3, 4)
+    assert array[1, 2, 3] == 10 * 2 + 3 + 2 + 100
+    assert (affine, crs) == ((10.0, 0.0, 0.0, 0.0, -10.0, 0.0), "EPSG:32720")
+    cli.main(["composite", f"{tmp_path}/cube", f"{tmp_path}/table", "--start", "2024-01-01", "--end", "2024-01-02"])
+    assert spark.read.parquet(f"{tmp_path}/table").where("period = 'a' AND y = 0 AND x = 0 AND band = 'red'").first()["median"] == 1.5
