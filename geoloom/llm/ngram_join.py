@@ -541,7 +541,7 @@ def jaccard_components(
     if count_links:
         weights = members.where("n_shingles > 0").groupBy("class").agg(F.count("*").alias("weight"))
         linked = weights.join(link_counts(roots, weights, sets, percent), "class", "left")
-        linked = linked.select("class", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        linked = stored(linked.select("class", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-linked")  # so that the join can split a class of many copies
         named = named.join(linked, "class", "left")
         names.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return named.select(*names)

@@ -922,6 +922,46 @@ def test_mixing_odd_rows(spark):
     assert [(r.target, r.taken) for r in mixing.mix_sources(empty).collect()] == [(0.0, 0)] * 2
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    """Texts of 60,000 words, near copies of each other, one word of a megabyte, one word 200,000 times."""
+    rng = random.Random(21)
+    words = [rng.choice(VOCABULARY) + str(rng.randrange(50)) for _ in range(60_000)]
+    other = list(words)
+    other[30_000] = "changed"
+    return [(1, " ".join(words)), (2, "\n".join(other)), (3, "x" * (1 << 20)), (4, "again " * 200_000), (5, "é " * 1000), (6, None)]
+
+
+def test_long_texts_joined_and_fingerprinted(spark, long_rows):
+    got = ngram_join.jaccard_components(frame(spark, long_rows), count_links=True).collect()
+    assert sorted((r.id, r.n_shingles, r.component) for r in got) == sorted(components(long_rows))
+    assert {r.id: r.n_links for r in got} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+    near({r.doc_id: r for r in fingerprint.fingerprints(frame(spark, long_rows)).collect()}, long_rows)
+
+
+def test_long_texts_without_repeats_and_leaks(spark, long_rows):
+    got = substring_dedup.dedup_substrings(frame(spark, long_rows)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got)) == sorted(without_repeats(long_rows))
+    w = long_rows[0][1].split()
+    items = [(1, " ".join(w[29_000:29_020])), (2, " ".join(w[29_995:30_006])), (3, "again " * 12)]
+    made = wu_manber.decontaminate(frame(spark, long_rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in made.collect()} == {
+        1: (60_000, 31, ["1", "2"]), 2: (60_000, 20, ["1"]), 3: (1, 0, []), 4: (200_000, 200_000, ["3"]), 5: (1000, 0, []), 6: (0, 0, []),
+    }
+
+
+def test_long_texts_sharded_tokenised_weighed_and_mixed(spark, long_rows, encoding):
+    df = frame(spark, long_rows).withColumn("source", F.lit("s"))
+    assert {r.doc_id: r.bytes for r in sharding.assign_shards(df, limit_bytes=1 << 19).collect()} == {i: len((t or "").encode()) for i, t in long_rows}
+    tokens = Counter()
+    for r in token_output.training_order(df, queries.VOCABULARY).collect():
+        tokens[r.id] += r.n_tokens
+    assert tokens == {i: len(encoding.encode_ordinary(t)) + 1 for i, t in long_rows if t}
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sum(np.isfinite(r.log_weight) for r in quality.resample(df, labels).collect()) == len(long_rows)
+    assert {r.doc_id: (r["size"], r.taken) for r in mixing.mix_sources(df).collect()} == {i: (len((t or "").split()),) * 2 for i, t in long_rows}
+
+
 def test_empty_tables(spark):
     none = frame(spark, ODD).limit(0).withColumn("source", F.lit("s"))
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
