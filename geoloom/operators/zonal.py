@@ -33,7 +33,8 @@ def cell_pixels(cells: DataFrame, raster: DataFrame, block: int = BLOCK) -> Data
 
     The range join is made an equi-join on square blocks of pixels: a cell goes to the blocks that
     its box touches (one to four if it is smaller than a block), a pixel has one block, and the
-    exact test follows within the block."""
+    exact test follows within the block.  Blocks that no cell touches are dropped from the raster first:
+    there are few blocks beside pixels, so this join moves no raster while they fit a broadcast."""
 
     def blocks(low: str, high: str) -> Column:
         last = F.floor((F.col(high) - 1) / block)
@@ -42,6 +43,7 @@ def cell_pixels(cells: DataFrame, raster: DataFrame, block: int = BLOCK) -> Data
     dealt = cells.withColumn("_br", F.explode(blocks("r0", "r1"))).withColumn("_bc", F.explode(blocks("c0", "c1")))
     placed = raster.withColumns({"_br": F.floor(F.col("pr") / block), "_bc": F.floor(F.col("pc") / block)})
     inside = (F.col("pr") >= F.col("r0")) & (F.col("pr") < F.col("r1")) & (F.col("pc") >= F.col("c0")) & (F.col("pc") < F.col("c1"))
+    placed = placed.join(dealt.select("_br", "_bc").distinct(), ["_br", "_bc"], "left_semi")
     return dealt.join(placed, ["_br", "_bc"]).where(inside).drop("_br", "_bc")
 
 
