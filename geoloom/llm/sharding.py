@@ -12,7 +12,7 @@ further, from their rows alone.  The directory has about as many rows as there a
 
 Defined results: sizes are UTF-8 bytes, null text has none; a null id hashes as "null".  Rows that no
 bit of the address tells apart (repeated ids) and still exceed the limit go to numbered pages of
-their bucket, in order of a hash of the text; a row larger than the limit has a page for itself.
+their bucket, dealt by a hash of the text; a row larger than the limit has a page for itself.
 An empty table gives an empty result.  Input columns of the names of output columns are replaced, all
 others stay; names that begin with ``_geoloom`` are reserved.
 """
@@ -31,7 +31,7 @@ MORE_BITS = 8
 MOST_BITS = 56
 BROADCAST_CELLS = 100_000
 _ADDRESS, _BITS, _CELL, _KEY, _END, _PAGE = (f"_geoloom_{c}" for c in ("address", "bits", "cell", "key", "end", "page"))
-_SUM, _ROWS, _DEPTH = (f"_geoloom_{c}" for c in ("sum", "rows", "depth"))
+_SUM, _DEPTH, _PART, _SUM_PARTS = (f"_geoloom_{c}" for c in ("sum", "depth", "part", "parts"))
 
 
 def address(id_col: str) -> Column:
@@ -97,18 +97,21 @@ def assign_shards(
 
 
 def _paged(rows: DataFrame, text_col: str, limit: int, bits: int) -> DataFrame:
-    """Pages of rows that share all address bits: a row goes to the page in which it starts, and
-    rows that would cross its end go to the odd page after it, so no page exceeds the limit."""
-    order = Window.partitionBy(_CELL).orderBy(F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.least("bytes", F.lit(limit))).over(order)
+    """Pages of rows that share all address bits.  They are dealt to parts by a hash of the text, so
+    many that a part holds half a page on average.  In a part a row goes to the page in which it starts,
+    and rows that would cross its end go to the odd page after it, so no page exceeds the limit."""
     own = F.least("bytes", F.lit(limit))
+    parts = stored(rows.groupBy(_CELL).agg(F.greatest(F.lit(1), F.ceil(F.sum(own) * 2 / limit)).cast("int").alias(_SUM_PARTS)), "shard-parts")
+    dealt = rows.join(parts, _CELL).withColumn(_PART, F.pmod(F.xxhash64(text_col, F.lit(29)), F.col(_SUM_PARTS)).cast("int"))
+    within = Window.partitionBy(_CELL, _PART).orderBy(F.xxhash64(text_col))
+    end = F.sum(own).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first, last = F.floor((F.col(_END) - own) / limit), F.floor((F.col(_END) - F.lit(1)) / limit)
-    page = F.when(F.col("bytes") >= limit, F.concat(F.lit("r"), F.row_number().over(Window.partitionBy(_CELL).orderBy(F.xxhash64(text_col))).cast("string")))
+    page = F.when(F.col("bytes") >= limit, F.concat(F.lit("r"), F.row_number().over(within).cast("string")))
     page = page.when(first == last, F.concat(F.lit("p"), first.cast("string"))).otherwise(F.concat(F.lit("c"), last.cast("string")))
-    paged = rows.withColumn(_END, end).withColumn(_PAGE, page)
+    paged = dealt.withColumn(_END, end).withColumn(_PAGE, F.concat(F.col(_PART).cast("string"), page))
     shard = F.concat(F.expr(f"substring(lpad(bin({_ADDRESS}), {MOST_BITS}, '0'), 1, {bits})"), F.lit("-"), F.col(_PAGE))
     shard_bytes = F.sum("bytes").over(Window.partitionBy(_CELL, _PAGE))
-    return paged.withColumns({"depth": F.lit(bits), "shard": shard, "shard_bytes": shard_bytes}).drop(_END, _PAGE)
+    return paged.withColumns({"depth": F.lit(bits), "shard": shard, "shard_bytes": shard_bytes}).drop(_END, _PAGE, _PART, _SUM_PARTS)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

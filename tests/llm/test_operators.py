@@ -561,6 +561,20 @@ def test_shards_of_repeated_ids(spark):
     assert sorted(str((r.doc_id, r.text, r.bytes)) for r in got.collect()) == sorted(str((i, t, len((t or "").encode()))) for i, t in ODD)
 
 
+def test_shards_of_an_id_of_a_third_of_all_rows(spark, rows):
+    """Its pages come from many small groups, and stay within the limit."""
+    df = frame(spark, rows + [(1, f"text {i} " * (1 + i % 5)) for i in range(len(rows) // 2)])
+    got = sharding.assign_shards(df, limit_bytes=600).collect()
+    size = {}
+    for r in got:
+        size.setdefault(r.shard, []).append(r.bytes)
+    assert sum(map(len, size.values())) == df.count()
+    assert all(sum(size[r.shard]) == r.shard_bytes for r in got)
+    assert all(sum(v) <= 600 or sum(x > 0 for x in v) == 1 for v in size.values())
+    hot = [r for r in got if r.doc_id == 1]
+    assert len({r.shard for r in hot}) <= 5 * sum(r.bytes for r in hot) / 600
+
+
 def test_shards_written(spark, rows, tmp_path):
     sharding.write_shards(sharding.assign_shards(frame(spark, rows), limit_bytes=3000), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == len(rows)
