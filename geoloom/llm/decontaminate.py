@@ -58,7 +58,9 @@ class Patterns:
         self.items = [sorted(windows[w]) for w in self.words]
         self.m = len(self.words[0])
         self.b = min(2, self.m)
-        hashes = np.array([_word_hashes(list(w)) for w in self.words], U64)
+        distinct = sorted({x for w in self.words for x in w})
+        number = {x: i for i, x in enumerate(distinct)}
+        hashes = _word_hashes(distinct)[np.array([[number[x] for x in w] for w in self.words])]
         bits = max(12, min(22, int(np.ceil(np.log2(64 * len(self.words) + 1)))))
         self.drop = U64(64 - bits)
         self.shift = np.full(1 << bits, self.m - self.b + 1, np.uint8)
