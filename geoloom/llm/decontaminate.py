@@ -10,8 +10,9 @@ Cursors of many text segments advance together in numpy; segments overlap by not
 window is owned by the segment in which it ends.
 
 Scale: the documents are read once and never shuffled.  The benchmark is streamed into blocks of
-at most ``block_words`` words; a block is what a task holds and what is broadcast (its bound is
-this parameter), and each further block is one more pass over the row as it streams by.
+at most ``block_words`` words, each compiled and broadcast; a task searches ``BLOCKS_AT_ONCE`` blocks,
+which bounds what it holds, in one pass over its rows.  Only a benchmark beyond that (four million words)
+takes another pass, over rows written to the shared folder in between.
 
 Defined results: null or wordless text has no words and no hits; an empty benchmark hits
 nothing; repeated items count once by item_id; a null item_id is the item "null"; repeated
@@ -29,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.textkernel import _STEP, ALNUM, LOWER, U64, Words, cut, pieces, text_buffer
-from geoloom.llm.workspace import renewed
+from geoloom.llm.workspace import renewed, stored
 
 WINDOW = 10
 SEGMENT = 256
 BLOCK_WORDS = 500_000
+BLOCKS_AT_ONCE = 8
 OUT = "n_words long, n_hit long, n_items long, items array<string>, hits array<struct<start:int,end:int>>"
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -147,24 +149,27 @@ def decontaminate(
     for column in OUT.split(", "):
         name, kind = column.split(" ", 1)
         out = out.withColumn(name, F.lit(None).cast(kind))
-    done = False
+    context, held, first = docs.sparkSession.sparkContext, [], True
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        out, done = _pass(out, text_col, docs.sparkSession.sparkContext.broadcast(compile_patterns(block, window))), True
-    if not done:
-        out = _pass(out, text_col, docs.sparkSession.sparkContext.broadcast([]))
+        if len(held) == BLOCKS_AT_ONCE:
+            out, held, first = stored(_pass(out, text_col, held), "decontaminated"), [], False
+        held.append(context.broadcast(compile_patterns(block, window)))
+    if held or first:
+        out = _pass(out, text_col, held)
     return out.select(
         *[F.col(f"`{c}`") for c in kept], *added,
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def _pass(docs: DataFrame, text_col: str, patterns) -> DataFrame:
+def _pass(docs: DataFrame, text_col: str, blocks: list) -> DataFrame:
     names = [x.split(" ", 1)[0] for x in OUT.split(", ")]
 
     def scan(batches):
+        patterns = [p for block in blocks for p in block.value]
         for whole in batches:
             for batch in pieces(whole, text_col):
-                yield _scan(batch, text_col, patterns.value, names)
+                yield _scan(batch, text_col, patterns, names)
 
     return docs.mapInArrow(scan, docs.schema)
 

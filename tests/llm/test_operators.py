@@ -400,8 +400,9 @@ def hits(docs, items, k=10):
     return out
 
 
-@pytest.mark.parametrize("block_words", [500_000, 40])
-def test_decontamination(spark, rows, block_words):
+@pytest.mark.parametrize(("block_words", "at_once"), [(500_000, 8), (40, 100), (100, 2)])
+def test_decontamination(spark, rows, monkeypatch, block_words, at_once):
+    monkeypatch.setattr(wu_manber, "BLOCKS_AT_ONCE", at_once)
     rng = random.Random(3)
     items = [(k, " ".join((t or "x").split()[a : a + 14])) for k, (_, t) in enumerate(rng.sample(rows, 30)) for a in [rng.randrange(6)]]
     items += [(100, "w1 w2"), (101, "日本"), (102, "!!"), (103, None), (104, "W1, w2."), (None, "w5")]
