@@ -7,8 +7,9 @@ merge meets T - L times is a candidate, whose missing occurrences are looked up
 binary search, dropped as soon as T is out of reach.
 
 How it is laid out on a cluster
-  * Sets are keyed by a 64-bit fingerprint of the whole set, so exact copies are one class from
-    the first shuffle on and are never expanded into pairs.
+  * Sets are keyed by a fingerprint of the whole set, so exact copies are one class from the first
+    shuffle on and are never expanded into pairs.  It has 64 bits; where different sets have the same
+    one, told by 64 further bits, each of them goes by its further bits instead.
   * List lengths: every class sends its shingles, packed in blobs, to hash ranges ("buckets");
     a bucket sorts them and returns to each class only those shingles that another class has.
     A class with fewer than T of these has no partner and is gone: this removes almost
@@ -29,8 +30,10 @@ How it is laid out on a cluster
   * Links of a document, when asked for, are counted by the same search within each component.
 
 Shingles are compared by 48 bits of a hash within a bucket of at least 3 bits: two different
-shingles of one pair of 500-shingle texts collide with probability below 1e-9.  Two different sets
-have one fingerprint with probability 2**-64: in 10**8 texts with 3e-4, in 10**10 some three pairs.
+shingles of one pair of 500-shingle texts collide with probability below 1e-9.  Sets are told apart by
+about 126 bits of their shingles' hashes: in 10**12 texts two collide with probability below 1e-13.
+The list of shared 64-bit fingerprints, which goes through the driver, has by chance three entries in
+10**10 texts and 30,000 in 10**12.
 
 Defined results: words are runs of characters other than space and U+0009-000D, A-Z lower-cased;
 a text of one to four words is one shingle; null or wordless texts have n_shingles 0 and are
@@ -65,13 +68,22 @@ _TOKEN_BITS = 48
 _MASK = U64((1 << _TOKEN_BITS) - 1)
 
 
-def text_sets(batch: pa.RecordBatch, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set size of each text, its fingerprint, text of each shingle, shingle)."""
+def text_sets(batch: pa.RecordBatch, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set size of each text, its fingerprint, further bits of it, text of each shingle, shingle)."""
     text, value = distinct_per_text(*shingles(words_of(batch.column(text_col), NON_SPACE, lower=True), k))
     n = np.bincount(text, minlength=batch.num_rows)
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(value, dtype=U64)))
     ends = np.cumsum(n)
-    return n, mix((total[ends] - total[ends - n]) ^ mix(n.astype(U64))), text, value
+
+    def folded(terms: np.ndarray) -> np.ndarray:
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(terms, dtype=U64)))
+        return mix((total[ends] - total[ends - n]) ^ mix(n.astype(U64)))
+
+    return n, folded(value), folded((value ^ (value >> U64(32))) * value), text, value
+
+
+def class_keys(first: np.ndarray, second: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """What sets go by: the fingerprint, or its further bits where different sets share the fingerprint."""
+    return np.where(np.isin(first, shared), second, first) if len(shared) else first
 
 
 def needed(n, percent: int):
@@ -96,19 +108,29 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def membership(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n_shingles, class): class is the fingerprint of the set."""
+    """(id, n_shingles, class, further): class is the fingerprint of the set, further its further bits."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, text_col):
-                n, key, _, _ = text_sets(batch, text_col, k)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array(key.view(np.int64))], ["id", "n_shingles", "class"])
+                n, first, second, _, _ = text_sets(batch, text_col, k)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), *[pa.array(x.view(np.int64)) for x in (first, second)]], ["id", "n_shingles", "class", "further"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n_shingles long, class long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n_shingles long, class long, further long")
 
 
-def _common(docs: DataFrame, text_col: str, k: int, n_docs: int, sample: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def classed_members(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, n_shingles, class) with one class for each different set, and the shared fingerprints."""
+    met = stored(membership(docs, id_col, text_col, k), "join-members")
+    apart = met.groupBy("class").agg(F.min("further").alias("lo"), F.max("further").alias("hi")).where("lo != hi")
+    shared = sorted(r["class"] for r in apart.select("class").collect())
+    if shared:
+        met = stored(met.withColumn("class", F.when(F.col("class").isin(shared), F.col("further")).otherwise(F.col("class"))), "join-members")
+    return met.drop("further"), np.array(shared, np.int64).view(U64)
+
+
+def _common(docs: DataFrame, text_col: str, k: int, shared: np.ndarray, n_docs: int, sample: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that at least three of about ``sample`` texts have, and their order (200 to 255).
     Texts are picked by a hash of the text.  A hint for the order of lists; it bounds nothing."""
     part = docs.select(text_col)
@@ -118,7 +140,8 @@ def _common(docs: DataFrame, text_col: str, k: int, n_docs: int, sample: int, li
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, text_col):
-                _, key, text, value = text_sets(batch, text_col, k)
+                _, first, second, text, value = text_sets(batch, text_col, k)
+                key = class_keys(first, second, shared)
                 yield pa.RecordBatch.from_arrays([pa.array(key[text].view(np.int64)), pa.array(value.view(np.int64))], ["class", "token"])
 
     seen = part.mapInArrow(run, "class long, token long").distinct().groupBy("token").agg(F.count("*").alias("df"))
@@ -148,7 +171,7 @@ def _blobs(key, n, text, value, rank, buckets: int) -> Iterator[dict]:
 _SENT = "bucket int, key binary, n binary, count binary, token binary, rank binary"
 
 
-def _send(docs: DataFrame, text_col: str, k: int, buckets: int, common) -> DataFrame:
+def _send(docs: DataFrame, text_col: str, k: int, shared: np.ndarray, buckets: int, common) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("key", "n", "count", "token", "rank")]])
 
     def flush(held) -> pa.RecordBatch:
@@ -177,8 +200,8 @@ def _send(docs: DataFrame, text_col: str, k: int, buckets: int, common) -> DataF
         held, size = [], 0
         for whole in batches:
             for batch in pieces(whole, text_col):
-                n, key, text, value = text_sets(batch, text_col, k)
-                held.append((n, key, text, value))
+                n, first, second, text, value = text_sets(batch, text_col, k)
+                held.append((n, class_keys(first, second, shared), text, value))
                 size += len(value)
                 if size >= FLUSH:
                     yield flush(held)
@@ -494,14 +517,14 @@ def _across(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(links, "join-cross-links")
 
 
-def class_links(docs: DataFrame, members: DataFrame, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def class_links(docs: DataFrame, members: DataFrame, shared: np.ndarray, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(class, root) of the classes that may have a partner, and their sets."""
     spark = docs.sparkSession
     total, n_docs = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = max(8, -(-total // BUCKET_SHINGLES))
-    common = spark.sparkContext.broadcast(_common(docs, text_col, k, n_docs, SAMPLE_TEXTS, COMMON_LIMIT))
-    shared = _send(docs, text_col, k, buckets, common).groupBy("bucket").applyInArrow(_sharer(buckets), _SHARED)
-    sets = stored(shared.groupBy("part").applyInArrow(_setter(percent, max(1.0, n_docs / SAMPLE_TEXTS)), _SETS), "join-sets")
+    common = spark.sparkContext.broadcast(_common(docs, text_col, k, shared, n_docs, SAMPLE_TEXTS, COMMON_LIMIT))
+    held = _send(docs, text_col, k, shared, buckets, common).groupBy("bucket").applyInArrow(_sharer(buckets), _SHARED)
+    sets = stored(held.groupBy("part").applyInArrow(_setter(percent, max(1.0, n_docs / SAMPLE_TEXTS)), _SETS), "join-sets")
     own = F.size("prefix") - 1 + (F.ceil(F.lit(percent) * F.col("n") / 100)).cast("int")  # shared tokens
     lists = sets.select("class", "n", (F.col("n") - own).alias("unique"), F.posexplode("prefix").alias("at", "l"))
     piece = F.pmod(F.xxhash64("class"), F.col("l.spread")).cast("int").alias("piece")
@@ -532,8 +555,13 @@ def jaccard_components(
     """(id, n_shingles, class, root, component), a row per document: the component is named by
     its smallest id, root is the class that stands for it.  With ``count_links`` also n_links, the
     number of other rows that the document links with."""
-    members = stored(membership(docs, id_col, text_col, k), "join-members")
-    roots, sets = class_links(docs, members, text_col, k, percent)
+    return _joined(docs, id_col, text_col, k, percent, count_links)[0]
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, count_links: bool) -> tuple[DataFrame, np.ndarray]:
+    """What ``jaccard_components`` returns, and the shared fingerprints."""
+    members, shared = classed_members(docs, id_col, text_col, k)
+    roots, sets = class_links(docs, members, shared, text_col, k, percent)
     rooted = stored(members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "join-rooted")
     smallest = stored(rooted.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("component")), "join-smallest")  # so that the join can split a large component
     named = rooted.join(smallest, "root", "left")
@@ -544,13 +572,13 @@ def jaccard_components(
         linked = stored(linked.select("class", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-linked")  # so that the join can split a class of many copies
         named = named.join(linked, "class", "left")
         names.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return named.select(*names)
+    return named.select(*names), shared
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of the smallest id
     (null last) stays, once if it is repeated; texts without words all stay."""
-    found = jaccard_components(docs, id_col, text_col, k, percent)
+    found, shared = _joined(docs, id_col, text_col, k, percent, False)
     key = F.struct(F.col("id").isNull().alias("none"), "id", "class")
     keepers = found.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("keep")).select(F.col("keep.id").alias("_id"), F.col("keep.class").alias("_keeper"))
     shaped = docs.withColumns({"_class": F.lit(0).cast("long"), "_n": F.lit(0).cast("long")})
@@ -559,8 +587,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, text_col):
-                n, own, _, _ = text_sets(batch, text_col, k)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64)), pa.array(n, pa.int64())], names)
+                n, first, second, _, _ = text_sets(batch, text_col, k)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(class_keys(first, second, shared).view(np.int64)), pa.array(n, pa.int64())], names)
 
     classed = docs.mapInArrow(run, shaped.schema)
     met = classed.join(keepers, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_keeper")), "left")

@@ -148,6 +148,19 @@ def test_join_keeps_links_when_the_sample_calls_lists_common(spark, rows, monkey
     assert sorted(map(tuple, got)) == sorted(components(rows * 2))
 
 
+def test_join_of_sets_that_share_a_fingerprint(spark, rows, monkeypatch):
+    """Different sets of one 64-bit fingerprint are told apart by the further bits, also when one stays."""
+    real = ngram_join.text_sets
+    weak = lambda *a: (lambda n, first, *rest: (n, first & np.uint64(3), *rest))(*real(*a))
+    monkeypatch.setattr(ngram_join, "text_sets", weak)
+    found = components(rows)
+    got = ngram_join.jaccard_components(frame(spark, rows), count_links=True).collect()
+    assert sorted((r.id, r.n_shingles, r.component) for r in got) == sorted(found)
+    assert len({r["class"] for r in got if r.n_shingles}) == len({shingles(t) for _, t in rows if shingles(t)})
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    assert kept == sorted({c if n else i for i, n, c in found})
+
+
 def test_join_odd_rows(spark):
     key = lambda r: str(tuple(r))
     got = ngram_join.jaccard_components(odd(spark)).select("id", "n_shingles", "component").collect()
